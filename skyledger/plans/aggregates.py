@@ -11,7 +11,10 @@ from skyledger.plans.tables import FLIGHTS, OUTCOMES, flights, outcomes, read, r
 
 _WITH = f"WITH {FLIGHTS} "
 _FULL = f"WITH {FLIGHTS}, {OUTCOMES} "
-_LATE = F.col("late") == 1
+def _late():
+    return F.col("late") == 1
+
+
 _WILSON = """round(((s / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt((s / n * (1 - s / n) + 3.8416 / (4 * n)) / n) / (1 + 3.8416 / n)) * 100, 6) AS lower,
   round(((s / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt((s / n * (1 - s / n) + 3.8416 / (4 * n)) / n) / (1 + 3.8416 / n)) * 100, 6) AS upper"""
 
@@ -22,29 +25,29 @@ def _rate_sql(key: str, extra: str = "") -> str:
 
 @register("e_b2_wilson_rate_by_group", _rate_sql("carrier"))
 def _(spark, d):
-    return rounded(reports.delay_rate(flights(spark, d), ["carrier"], _LATE))
+    return rounded(reports.delay_rate(flights(spark, d), ["carrier"], _late()))
 
 
 @register("e_d1_rate_by_block", _rate_sql("priority"))
 def _(spark, d):
-    return rounded(reports.delay_rate(flights(spark, d), ["priority"], _LATE))
+    return rounded(reports.delay_rate(flights(spark, d), ["priority"], _late()))
 
 
 @register("e_d2_rate_by_weekday", _rate_sql("weekday", "").replace("FROM f", "FROM (SELECT *, ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][isodow(d)] AS weekday FROM f)"))
 def _(spark, d):
     from skyledger.functions.times import weekday_name
 
-    return rounded(reports.delay_rate(flights(spark, d).withColumn("weekday", weekday_name(F.weekday("d") + 1)), ["weekday"], _LATE))
+    return rounded(reports.delay_rate(flights(spark, d).withColumn("weekday", weekday_name(F.weekday("d") + 1)), ["weekday"], _late()))
 
 
 @register("e_d4_monthly_rate_by_year", _rate_sql("y, m", "").replace("FROM f", "FROM (SELECT *, year(d)::INTEGER AS y, month(d)::INTEGER AS m FROM f)"))
 def _(spark, d):
-    return rounded(reports.delay_rate(flights(spark, d).withColumns({"y": F.year("d"), "m": F.month("d")}), ["y", "m"], _LATE))
+    return rounded(reports.delay_rate(flights(spark, d).withColumns({"y": F.year("d"), "m": F.month("d")}), ["y", "m"], _late()))
 
 
 @register("e_d6_daily_series", _rate_sql("d"))
 def _(spark, d):
-    return rounded(reports.delay_rate(flights(spark, d), ["d"], _LATE))
+    return rounded(reports.delay_rate(flights(spark, d), ["d"], _late()))
 
 
 @register("p1_p2_target_recovery", f"{_FULL} SELECT recovered, nonarrival, eligible, ArrDel15, count(*) AS n, round(sum(ArrDelayMinutes), 4) AS mins FROM x GROUP BY ALL")
@@ -85,7 +88,7 @@ def _(spark, d):
 @register("e_a2_severity_by_group", f"""{_WITH} SELECT carrier, count(minutes) AS rows, round(avg(minutes), 6) AS mean, round(quantile_cont(minutes, 0.5), 6) AS median, round(quantile_cont(minutes, 0.9), 6) AS p90
   FROM f WHERE late = 1 GROUP BY carrier""")
 def _(spark, d):
-    return rounded(reports.severity(flights(spark, d).filter(_LATE), ["carrier"], "minutes"))
+    return rounded(reports.severity(flights(spark, d).filter(_late()), ["carrier"], "minutes"))
 
 
 @register("a22_summary", f"""{_WITH} SELECT count(price) AS count, round(avg(price), 4) AS mean, round(stddev(price), 4) AS std, round(min(price), 4) AS min, round(quantile_cont(price, 0.5), 4) AS p50, round(quantile_cont(price, 0.9), 4) AS p90,
@@ -141,7 +144,7 @@ def _(spark, d):
 @register("e_c3_asymmetry", f"""{_WITH}, o AS (SELECT origin AS airport, count(*) AS origin_flights, avg(late) * 100 AS origin_rate FROM f GROUP BY origin), e AS (SELECT dest AS airport, count(*) AS dest_flights, avg(late) * 100 AS dest_rate FROM f GROUP BY dest)
   SELECT airport, origin_flights, dest_flights, round(origin_rate, 6) AS origin_rate, round(dest_rate, 6) AS dest_rate, round(origin_rate - dest_rate, 6) AS asymmetry FROM o JOIN e USING (airport)""")
 def _(spark, d):
-    return rounded(reports.side_asymmetry(flights(spark, d), "origin", "dest", _LATE))
+    return rounded(reports.side_asymmetry(flights(spark, d), "origin", "dest", _late()))
 
 
 @register("e_c2_top_airports", f"{_WITH} SELECT origin, count(*) AS flights, round(avg(late) * 100, 6) AS delay_rate FROM f GROUP BY origin ORDER BY count(*) DESC, origin LIMIT 10")
@@ -181,13 +184,13 @@ def _(spark, d):
 @register("a12_cut_left", f"""{_WITH} SELECT bin, count(*) AS flights, round(avg(late) * 100, 6) AS delay_rate, round(median(CASE WHEN late = 1 THEN minutes END), 6) AS median_delay FROM (SELECT *, CASE WHEN minutes >= -0.01 AND minutes < 10 THEN '0-10' WHEN minutes < 20 THEN '10-20' WHEN minutes < 30 THEN '20-30'
   WHEN minutes < 40 THEN '30-40' ELSE '40+' END AS bin FROM f) GROUP BY bin""")
 def _(spark, d):
-    return rounded(reports.binned_rate(flights(spark, d), F.col("minutes"), reports.GUST, _LATE, "minutes"))
+    return rounded(reports.binned_rate(flights(spark, d), F.col("minutes"), reports.GUST, _late(), "minutes"))
 
 
 @register("a13_cut_right", f"""{_WITH} SELECT bin, count(*) AS flights, round(avg(late) * 100, 6) AS delay_rate FROM (SELECT *, CASE WHEN minutes > 0 AND minutes <= 5 THEN '1-5' WHEN minutes <= 15 THEN '6-15' WHEN minutes <= 30 THEN '16-30' WHEN minutes <= 60 THEN '31-60' ELSE '61+' END AS bin FROM f)
   GROUP BY bin""")
 def _(spark, d):
-    return rounded(reports.binned_rate(flights(spark, d), F.col("minutes"), reports.DEMAND, _LATE, right=True))
+    return rounded(reports.binned_rate(flights(spark, d), F.col("minutes"), reports.DEMAND, _late(), right=True))
 
 
 @register("a14_qcut10", f"""{_WITH}, q AS (SELECT list_sort(list_distinct(quantile_cont(minutes, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS e FROM f)
