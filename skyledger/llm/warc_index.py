@@ -25,23 +25,26 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.common import map_arrow, new_path, written
 
-#: Lines of an index block, captures of an index part, about, the most parts, and bytes of an archive, about.
-BLOCK, PART, MOST_PARTS, ARCHIVE_BYTES = 300, 20_000, 20_000, 12_000_000
+#: Lines of an index block, captures of an index part, about, and the most parts.
+BLOCK, PART, MOST_PARTS = 300, 20_000, 20_000
 #: An empty gzip member: what Spark's writer puts behind each record, and gzip readers skip.
 _GAP = zlib.compress(b"", wbits=31)
 _URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^#]*)", re.S)
 
 
 def url_key(url: str | None) -> str:
-    """Host labels reversed, then the rest: ``http://www.a.com:80/b?c#d`` is ``com,a)/b?c``. Null: ``-``."""
-    if url is None:
-        return "-"
-    host, port, rest = _URL.match(url.strip()).groups()
+    """Host labels reversed, then the rest: ``http://www.a.com:80/b?c#d`` is ``com,a)/b?c``. Null and empty: as ``target``."""
+    host, port, rest = _URL.match(target(url).strip()).groups()
     host = host.lower().removeprefix("www.").rstrip(".")
     port = f":{port}" if port and port not in ("80", "443") else ""
     return re.sub(r"\s", "%20", f"{','.join(reversed(host.split('.')))}{port}){rest if rest.startswith('/') else '/' + rest}".lower())
 
 
+def target(url: str | None) -> str:
+    """The url as a record keeps it: without line breaks, and ``about:blank`` for none."""
+    return re.sub(r"[\r\n]", "", url or "") or "about:blank"
+
+
 def _record_id(page: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
 
@@ -52,8 +55,7 @@ def _member(lines: list[str], block: bytes) -> bytes:
 
 
 def _lines(kind: str, page: int | None, url: str | None, size: int, digest: str, date: str) -> list[str]:
-    target = re.sub(r"[\r\n]", "", url or "about:blank")
-    return [f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", f"X-Page-Id: {'' if page is None else page}"]
+    return [f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", f"X-Page-Id: {'' if page is None else page}"]
 
 
 def response(page: int | None, url: str | None, payload: bytes, digest: str, date: str) -> bytes:
@@ -92,35 +94,29 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     Of equal payloads of at least ``least_bytes`` bytes the row of the largest id is the response (rows
     that repeat it too), the others revisit it; a payload whose ids are all null is never revisited.
-    Null html is an empty payload. Each payload is compressed once, and only then shuffled.
+    Null html is an empty payload. Only digests that repeat are joined to the pages, and the joined
+    partitions are the archives: one shuffle of the pages.
     """
     folder = path or new_path(pages.sparkSession, "warc")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("html"))
+    rows = rows.withColumn("sha1", F.sha1("html"))
+    again = rows.filter(F.octet_length("html") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("latest"), F.count("*").alias("n"))
+    again = written(again.filter("n > 1 and latest is not null").drop("n"), "latest")
 
-    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                payloads = [x or b"" for x in part.column("html").cast(pa.binary()).to_pylist()]
-                digests = [payload_digest(p) for p in payloads]
-                records = [response(i, u, p, d, date) for i, u, p, d in zip(part.column("id").to_pylist(), part.column("url").to_pylist(), payloads, digests)]
-                yield {"id": part.column("id"), "url": part.column("url"), "size": [len(p) for p in payloads], "digest": digests, "record": records}
-
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    rows = map_arrow(rows, {"id": "long", "url": "string", "size": "long", "digest": "string", "record": "binary"}, digested)
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "records")
-    latest = written(rows.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("id").alias("latest")).filter("latest is not null"), "latest")
-    judged = rows.join(latest, "digest", "left")
-
-    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            cells = zip(*(b.column(c).to_pylist() for c in ("id", "url", "size", "digest", "record", "latest")))
-            yield {"row": b.column("row"), "record": [r if latest is None or latest == i or size < least_bytes else revisit(i, u, size, d, date, latest) for i, u, size, d, r, latest in cells]}
-
-    records = map_arrow(judged, {"row": "long", "record": "binary"}, decided)
-    total = rows.agg(F.sum(F.length("record"))).first()[0] or 0
-    dealt = records.repartitionByRange(1 + int(total) // ARCHIVE_BYTES, "row").sortWithinPartitions("row")
+                out = []
+                for page, url, payload, sha1, latest in zip(*(part.column(c).to_pylist() for c in ("id", "url", "html", "sha1", "latest"))):
+                    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                    first = latest is None or latest == page or len(payload) < least_bytes
+                    out.append(response(page, url, payload, digest, date) if first else revisit(page, url, len(payload), digest, date, latest))
+                yield {"record": out}
+
+    records = map_arrow(rows.join(again, "sha1", "left"), {"record": "binary"}, recorded)
     gap = _GAP.decode("latin-1")
-    dealt.select(F.col("record").cast("string")).write.option("lineSep", gap).option("encoding", "ISO-8859-1").text(folder)
+    records.select(F.col("record").cast("string")).write.option("lineSep", gap).option("encoding", "ISO-8859-1").text(folder)
     return folder
 
 
@@ -191,7 +187,7 @@ def lookup(index: CaptureIndex, urls: DataFrame, url_col: str = "url") -> DataFr
             out = [(bounds[p][0], k) for k in {url_key(u) for u in b.column("url").to_pylist()} for p in range(bisect_left(lasts, k), bisect_right(firsts, k))]
             yield {"part": [p for p, _ in out], "key": [k for _, k in out]}
 
-    keys = map_arrow(urls.select(F.coalesce(F.col(url_col).cast("string"), F.lit("about:blank")).alias("url")), {"part": "int", "key": "string"}, routed).distinct()
+    keys = map_arrow(urls.select(F.col(url_col).cast("string").alias("url")), {"part": "int", "key": "string"}, routed).distinct()
 
     def searched(table: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
@@ -235,6 +231,7 @@ def read_captures(captures: DataFrame) -> DataFrame:
                     out[k].append(v)
             yield out
 
-    dealt = captures.repartition("path", (F.col("offset") / 2_000_000).cast("long")).sortWithinPartitions("path", "offset")
+    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are small but reads are not: the number is kept
+    dealt = captures.repartition(parts, "path", (F.col("offset") / 1_000_000).cast("long")).sortWithinPartitions("path", "offset")
     return map_arrow(dealt, {"page_id": "long", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long"}, rows)
 
