@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The best path maximises the sum of the model's piece scores. Characters arrive one by one; scores are
-kept for the last ``longest`` boundaries only, since no piece is longer, and ids are committed as soon
-as the backpointers of all these boundaries meet in one. No piece crosses the start of a run of spaces
-or a line break, so all paths meet there, and what lies between two such points is encoded alike
-wherever it stands; workers remember short ones.
+The best path maximises the sum of the model's piece scores. Characters arrive one by one. No piece
+is longer than ``longest`` characters, so only that many boundaries can still be extended; whenever the
+window holds twice as many, ids are committed up to the boundary where the backpointers of all live ones meet. No piece crosses the start of a run of spaces
+or a line break, and pieces of several spaces cost more than single ones, so all paths meet before every
+space and line break; what lies between two such points is encoded alike wherever it stands, and workers
+remember short ones.
 
 The pieces and scores come from the model file. For a model trained by merges the scores are ranks:
 the result is the best path under these scores, which need not be the order in which merges apply.
@@ -12,20 +13,21 @@ the result is the best path under these scores, which need not be the order in w
 
 from __future__ import annotations
 
-import re
+import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from skyledger.llm.common import map_arrow, picked
+from skyledger.llm.common import Recent, ids_by_word, map_arrow, picked, portions, text_bytes
 
-#: Stretches remembered by a worker, and the longest that is remembered, in characters.
-REMEMBERED, SHORT = 400_000, 64
-_STRETCH = re.compile(r" +[^ \n]*|[^ \n]+|\n")
+#: New stretches for which a worker remembers stretches, and the longest that it remembers, in characters.
+REMEMBERED, SHORT = 100_000, 64
 
 
 class Model:
@@ -37,10 +39,9 @@ class Model:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes: list[bytes] = []
         self.byte_id: dict[int, int] = {}
-        #: By first character, then by the next and so on; at "" the (id, cost) of the piece that ends here.
-        self.tree: dict = {}
-        self.longest = worst = 1
-        found = []
+        #: A node is (children by character, id of the piece that ends here or -1, its cost).
+        self.root: tuple = ({}, -1, 0.0)
+        self.longest, worst, found = 1, 1.0, []
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -53,83 +54,101 @@ class Model:
                 if " " in piece.lstrip(" ") or "\n" in piece.strip("\n"):
                     raise ValueError(f"piece {piece!r} crosses the start of a word")
                 self.bytes.append(piece.encode())
-                found.append((piece, i, -sp.get_score(i)))
+                if piece.strip(" ") or len(piece) == 1 or -sp.get_score(i) < 1e6:
+                    found.append((piece, i, -sp.get_score(i)))
                 self.longest = max(self.longest, len(piece))
-        for piece, i, cost in found:
-            node = self.tree
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = (i, cost)
-            worst = max(worst, cost if cost < 1e8 else 1)
+        for piece, i, cost in sorted(found, key=lambda x: -len(x[0])):  # a prefix is made before it becomes a piece
+            *path, last = piece
+            children = self.root[0]
+            for c in path:
+                children = children.setdefault(c, ({}, -1, 0.0))[0]
+            children[last] = (children.get(last, ({},))[0], i, cost)
+            worst = max(worst, cost if cost < 1e8 else 1.0)
         #: What one byte costs where no piece has the character.
         self.byte_cost = worst + 10.0
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(REMEMBERED, SHORT)
+        self.size = np.array([len(b) for b in self.bytes])
+        self.first = self.size.cumsum() - self.size
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
-    def fallback(self, c: str) -> list[int]:
-        return [self.byte_id[b] for b in c.encode()]
+    def fallback(self, c: str) -> tuple[int, ...]:
+        return tuple(self.byte_id[b] for b in c.encode())
 
 
 class Stream:
-    """Viterbi over characters that arrive in any portions; ``ids`` grows as paths converge."""
+    """Viterbi over characters that arrive in any portions; ``ids`` grows as paths converge.
+
+    ``cost`` and ``back`` stand for the boundaries since the last commit: the least cost of a path up to
+    each, and the boundary before it with the ids between.
+    """
 
     def __init__(self, model: Model) -> None:
         self.model, self.ids = model, []
-        self.at = 0  # boundary reached
-        self.done = 0  # boundary up to which ids are committed
-        self.cost: dict[int, float] = {0: 0.0}
-        self.back: dict[int, tuple[int, list[int]]] = {}
-        self.open: list[tuple[int, dict]] = []  # (start, node) of pieces that may still grow
+        self.cost: list[float] = [0.0]
+        self.back: list[tuple] = [()]
+        self.open: list[tuple[int, tuple]] = []  # (start, node) of pieces that may still grow
 
     def feed(self, text: str) -> None:
-        tree, longest = self.model.tree, self.model.longest
+        root, most = self.model.root, 2 * self.model.longest
+        cost, back, open_ = self.cost, self.back, self.open
+        first = root[0]
         for c in text:
-            start, end = self.at, self.at + 1
-            grown, best, path = [], None, None
-            self.open.append((start, tree))
-            for s, node in self.open:
-                node = node.get(c)
-                if node is None:
-                    continue
-                own = node.get("")
-                if len(node) > (own is not None):
-                    grown.append((s, node))
-                if own and (best is None or self.cost[s] + own[1] < best):  # of equal costs the longest last piece stays
-                    best, path = self.cost[s] + own[1], (s, [own[0]])
-            if c not in tree or "" not in tree[c]:
+            start = len(cost) - 1
+            best, path, grown = math.inf, None, []
+            for s, node in open_:
+                node = node[0].get(c)
+                if node is not None:
+                    if node[1] >= 0 and cost[s] + node[2] < best:  # of equal costs the longest last piece stays
+                        best, path = cost[s] + node[2], (s, node[1])
+                    if node[0]:
+                        grown.append((s, node))
+            node = first.get(c)
+            if node is not None and node[1] >= 0:
+                if cost[start] + node[2] < best:
+                    best, path = cost[start] + node[2], (start, node[1])
+            else:
                 bytes_ = self.model.fallback(c)
-                if best is None or self.cost[start] + self.model.byte_cost * len(bytes_) < best:
-                    best, path = self.cost[start] + self.model.byte_cost * len(bytes_), (start, bytes_)
-            self.cost[end], self.back[end], self.open, self.at = best, path, grown, end
-            self.cost.pop(end - longest - 1, None)
-            if not grown:
-                self._commit(end)
-            elif end - self.done > 2 * longest:
+                if cost[start] + self.model.byte_cost * len(bytes_) < best:
+                    best, path = cost[start] + self.model.byte_cost * len(bytes_), (start, bytes_)
+            if node is not None and node[0]:
+                grown.append((start, node))
+            cost.append(best)
+            back.append(path)
+            open_ = grown
+            if start >= most:
+                self.open = open_
                 self._converge()
+                cost, back, open_ = self.cost, self.back, self.open
+        self.open = open_
 
     def _commit(self, to: int) -> None:
-        out = []
-        b = to
-        while b > self.done:
-            b, ids = self.back.pop(b)
+        """Ids up to boundary ``to`` are final; what is kept starts there."""
+        out, at = [], to
+        while at:
+            at, ids = self.back[at]
             out.append(ids)
         for ids in reversed(out):
-            self.ids += ids
-        self.done = to
-        self.back = {k: v for k, v in self.back.items() if k > to}
+            if type(ids) is tuple:
+                self.ids += ids
+            else:
+                self.ids.append(ids)
+        self.cost = self.cost[to:]
+        self.back = [(), *((s - to, ids) for s, ids in self.back[to + 1 :])]
+        self.open = [(s - to, node) for s, node in self.open]
 
     def _converge(self) -> None:
         """Commits up to the last boundary that the paths of all live boundaries share."""
-        live = {self.at, *(s for s, _ in self.open)}
+        live = {len(self.cost) - 1, *(s for s, _ in self.open)}
         while len(live) > 1:
             last = max(live)
             live.remove(last)
-            live.add(self.back[last][0] if last > self.done else self.done)
+            live.add(self.back[last][0] if last else 0)
         meet = live.pop()
-        if meet > self.done:
+        if meet:
             self._commit(meet)
 
     def close(self) -> list[int]:
-        self._commit(self.at)
+        self._commit(len(self.cost) - 1)
         return self.ids
 
 
@@ -138,31 +157,42 @@ def load(path: str) -> Model:
     return Model(path)
 
 
+def _stretch_ids(model: Model, words: list[str]) -> list[bytes]:
+    """Packed ids of stretches: a space and a word, or, after the mark, a line break and a word."""
+    out = []
+    for w in words:
+        stream = Stream(model)
+        stream.feed(w[1:] if w.startswith(_BREAK) else " " + w)
+        out.append(array("I", stream.close()).tobytes())
+    return out
+
+
+#: A line break gets a space and a mark before it, so that texts split at spaces alone; the mark says that
+#: the space is not the text's. A word can start with it in no other way, since every break has its own.
+_BREAK = "\x01\n"
+
+
+def encode_texts(model: Model, texts: pa.Array) -> list[np.ndarray]:
+    """Ids of each text; like the library, a space is put in front and U+2581 counts as a space. Empty and null: none."""
+    texts = pc.fill_null(texts, "")
+    words = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "▁", " "), "\n", " " + _BREAK), " ")
+    out = ids_by_word(words, "<u4", lambda distinct: model.known.of(distinct, lambda new: _stretch_ids(model, new)))
+    return [ids if n else ids[:0] for ids, n in zip(out, pc.binary_length(texts).to_pylist())]
+
+
 def encode_text(model: Model, text: str) -> np.ndarray:
-    """Ids of a text; like the library, a space is put in front and U+2581 counts as a space. Empty: none."""
-    if not text:
-        return np.zeros(0, "<u4")
-    known = model.known
-    stretches = _STRETCH.findall(" " + text.replace("▁", " "))
+    return encode_texts(model, pa.array([text], pa.string()))[0]
+
+
+def decode_ids(model: Model, ids: np.ndarray) -> bytes:
+    """UTF-8 of the ids' text, put together by index; the space put in front is taken off."""
     out = []
-    for s in stretches:
-        ids = known.get(s)
-        if ids is None:
-            stream = Stream(model)
-            stream.feed(s)
-            ids = np.array(stream.close(), "<u4").tobytes()
-            if len(s) <= SHORT:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[s] = ids
-        out.append(ids)
-    return np.frombuffer(b"".join(out), "<u4")
-
-
-def decode_ids(model: Model, ids: np.ndarray) -> str:
-    """The text of ids; the space put in front is taken off, bytes that are no UTF-8 become U+FFFD."""
-    text = b"".join(map(model.bytes.__getitem__, ids.tolist()))
-    return text.removeprefix(b" ").decode("utf-8", "replace")
+    for at in range(0, len(ids), 100_000):
+        part = ids[at : at + 100_000]
+        n = model.size[part]
+        upto = n.cumsum()
+        out.append(model.flat[np.repeat(model.first[part] - upto + n, n) + np.arange(upto[-1])].tobytes())
+    return b"".join(out).removeprefix(b" ")
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,20 +201,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         model = load(path)
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                yield {"id": part.column("id"), "ids": [encode_text(model, x or "").astype(np.int32) for x in part.column("text").to_pylist()]}
+            for part in portions(b, 1000, 4_000_000):
+                yield {"id": part.column("id"), "ids": [x.astype(np.int32) for x in encode_texts(model, part.column("text"))]}
 
     return map_arrow(picked(docs, id_col, text_col), {"id": "long", "ids": "array<int>"}, rows)
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
-    """(id, text) of (id, ids); null ids give an empty text."""
+    """(id, text) of (id, ids); null ids give an empty text, bytes that are no UTF-8 become U+FFFD."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         model = load(path)
         for b in batches:
-            yield {"id": b.column("id"), "text": [decode_ids(model, np.array(x or [], np.int64)) for x in b.column("ids").to_pylist()]}
+            yield {"id": b.column("id"), "text": [decode_ids(model, np.array(x or [], np.int64)).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]}
 
     return map_arrow(coded.select("id", "ids"), {"id": "long", "text": "string"}, rows)
 
@@ -199,14 +228,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         model = load(path)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                out = {k: [] for k in ("n_chars", "n_ids", "ids_crc32", "text_crc32", "exact")}
-                for text in part.column("text").to_pylist():
-                    ids = encode_text(model, text or "")
+            for part in portions(b, 1000, 4_000_000):
+                out = {k: [] for k in ("n_ids", "ids_crc32", "text_crc32", "exact")}
+                for text, ids in zip(text_bytes(part), encode_texts(model, part.column("text"))):
                     again = decode_ids(model, ids)
-                    for k, v in zip(out, (len(text or ""), len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(again.encode()), again == (text or ""))):
+                    for k, v in zip(out, (len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(again), again == text)):
                         out[k].append(v)
-                yield {"id": part.column("id")} | out
+                yield {"id": part.column("id"), "n_chars": pc.utf8_length(pc.fill_null(part.column("text"), "")).cast(pa.int64())} | out
 
     return map_arrow(picked(docs, id_col, text_col), {"id": "long", "n_chars": "long", "n_ids": "long", "ids_crc32": "long", "text_crc32": "long", "exact": "boolean"}, rows)
