@@ -11,66 +11,91 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import map_arrow, new_path, picked, text_bytes, written
+from skyledger.llm.common import Recent, bounded_sample, ids_by_word, map_arrow, new_path, picked, portions, written
 
 #: Documents that the dictionary is trained on, the most ids that one of them may have, and the dictionary's bytes.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 512, 4096, 32_768
 #: Bytes of frames in one file, about.
 FILE_BYTES = 12_000_000
-#: Words remembered by a worker, and the longest that is remembered, in bytes.
-REMEMBERED, SHORT = 500_000, 64
+#: New words for which a worker remembers words, and the longest that it remembers, in characters.
+REMEMBERED, SHORT = 150_000, 64
 MAGIC = b"SKYTOK01"
 _INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("size", "<u4"), ("ids", "<u4")])
 
 
+#: Words that are cut here as the tokenizer cuts them: printable Latin text without apostrophes, which
+#: start its contractions. Below U+0180 lower case is one character (but of U+0130) and normal form changes nothing.
+_LATIN = re.compile("[!-&(-~\u00a1-\u012f\u0131-\u017f]+")
+_PIECE = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Character that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others by U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 class WordEncoder:
-    """A tokenizer whose words never cross white space: encodes new words, remembers short ones."""
+    """A tokenizer whose words never cross white space: encodes new words, remembers short ones.
+
+    Latin words are cut into pieces and each new piece goes to the tokenizer's model; any other word goes
+    through the whole tokenizer. Both give the ids that the word has in its text.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words. An ASCII word, with or without a full stop or comma behind it, has the ids
-        of its lower case and of the mark; every other word is encoded as it stands."""
-        plain = {w: (w[:-1] if w[-1:] in b".," else w).lower() for w in words}
-        plain = {w: core for w, core in plain.items() if core.isalpha()}
-        need = ({b".", b","} | set(plain.values()) | words - plain.keys()) - self.known.keys()
-        need = list(need)
-        new = dict(zip(need, self._encode(need)))
-        get = lambda w: new[w] if w in new else self.known[w]
-        return new | {w: get(core) + (get(w[-1:]) if w[-1:] in b".," else b"") for w, core in plain.items()}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
-        split = [t.split() for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = set().union(*split)
-            found = self._learn(new)
-            self.known |= {w: i for w, i in found.items() if len(w) <= SHORT}
-            long = {w: i for w, i in found.items() if len(w) > SHORT}
-            if long:
-                return [b"".join([long[w] if w in long else self.known[w] for w in words]) for words in split]
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.known, self.pieces = Recent(REMEMBERED, SHORT), {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces = {}
+            if len(piece) <= SHORT:
+                self.pieces[piece] = ids
+        return ids
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        found, other, latin, cut, piece = {}, [], _LATIN.fullmatch, _PIECE.findall, self._piece
+        for w in words:
+            if latin(w) and "<|" not in w:
+                found[w] = b"".join(map(piece, cut(w.lower())))
+            else:
+                other.append(w)
+        if other:
+            found |= zip(other, (array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)))
+        return [found[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """16-bit ids of each text; null counts as empty.
+
+        Where no text can hold a special token, A-Z are lower-cased for all words at once, and a full stop or
+        comma between a letter and white space becomes a word: the tokenizer does both to every word.
+        """
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,])([ \n])", r"\1 \2\3")
+        return ids_by_word(pc.ascii_split_whitespace(pc.fill_null(texts, "")), "<u2", lambda words: self.known.of(words, self._learn))
 
 
 @lru_cache(maxsize=2)
@@ -83,8 +108,8 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = 2) -> bytes:
     most ``SAMPLE_IDS`` ids each. Samples too few to train on are joined as plain content; none: empty."""
     import zstandard
 
-    some = docs.filter(F.length("text") <= 4 * SAMPLE_IDS).orderBy(F.xxhash64("id", "text"), "id").limit(SAMPLE_DOCS)
-    sample = [ids + struct.pack("<H", end_id) for ids in encoder(path).encode([(r.text or "").encode() for r in some.collect()])]
+    some = bounded_sample(docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= 4 * SAMPLE_IDS), docs, SAMPLE_DOCS)
+    sample = [ids.tobytes() + struct.pack("<H", end_id) for ids in encoder(path).encode(pa.array([r.text for r in some.collect()], pa.string()))]
     sample = [x for x in sample if len(x) <= 2 * SAMPLE_IDS]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
@@ -147,12 +172,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     folder = path or new_path(spark, "tokens")
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        zstd = zstandard.ZstdCompressor(level=3, **({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}))
+        zstd = zstandard.ZstdCompressor(level=1, **({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}))
         end = struct.pack("<H", end_id)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                ids = [x + end for x in encoder(tokenizer).encode(text_bytes(part))]
+            for part in portions(b, 3000, 6_000_000):
+                ids = [x.tobytes() + end for x in encoder(tokenizer).encode(part.column("text"))]
                 yield {"id": part.column("id"), "ids": [len(x) // 2 for x in ids], "frame": [zstd.compress(x) for x in ids]}
 
     frames = map_arrow(rows_in, {"id": "long", "ids": "int", "frame": "binary"}, framed)
