@@ -80,8 +80,13 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.length(text_col).alias("n"))
     rows = rows.filter("lang is not null and n > 0").filter((F.col("n") <= SAMPLE_CHARS) & F.col("id").isNotNull() & ~held_out("id", FOLDS, HELD_FOLD))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = {r.id: r.lang for r in rows.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS).select("id", "lang").orderBy("id", F.desc("lang")).collect()}
+    order = [F.xxhash64("id"), F.col("id")]
+    # the first of each of 64 parts of a language, then the first of these: the second step has a fixed bound
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    rows = rows.withColumn("rank", rank("lang", "part")).filter(F.col("rank") <= SAMPLE_DOCS // 8)
+    rows = rows.withColumn("rank", rank("lang")).filter(F.col("rank") <= SAMPLE_DOCS)
+    chosen = {r.id: r.lang for r in rows.select("id", "lang").orderBy("id", F.desc("lang")).collect()}
     if not chosen:
         return LanguageModel(np.zeros(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
     ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long"))  # SAMPLE_DOCS for each language

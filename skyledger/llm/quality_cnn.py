@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import held_out, map_arrow, picked, text_bytes
+from skyledger.llm.common import bounded_sample, held_out, map_arrow, picked, text_bytes
 
 CHUNK, WIDTH, STRIDE, FILTERS = 512, 8, 2, 16
 #: The bound of the labelled sample: documents of each label, and characters of one document.
@@ -121,7 +121,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id", FOLDS, HELD_FOLD))
     marked = marked.groupBy("id").agg(F.min("label").alias("label"))
-    some = [marked.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS) for k in (0, 1)]
+    each = [marked.filter(F.col("label") == k) for k in (0, 1)]
+    some = [bounded_sample(rows, rows, SAMPLE_DOCS) for rows in each]
     chosen = {r.id: r.label for r in some[0].union(some[1]).collect()}
     if not chosen:
         return ByteCnn().fit([], [])
