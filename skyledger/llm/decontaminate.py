@@ -142,8 +142,13 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield [(r.name, r.text.encode()) for r in items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == k).collect()]
 
 
-def _with_matches(docs: DataFrame, text_col: str, window: int, one) -> DataFrame:
-    """``docs`` with ``__n_words``, ``__spans`` and ``__items`` for the items of one block."""
+def _sent(benchmark: DataFrame, id_col: str, text_col: str) -> list:
+    """The benchmark's blocks, each of ``BLOCK_WORDS`` words, about, as broadcast lists."""
+    return [benchmark.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, id_col, text_col)]
+
+
+def _scanned(docs: DataFrame, text_col: str, window: int, one, schema: T.StructType, then) -> DataFrame:
+    """``then`` applied to each portion of ``docs`` with its numbers of words, hit spans and items of one block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton([(name, item_words(text)) for name, text in one.value], window)
@@ -157,11 +162,20 @@ def _with_matches(docs: DataFrame, text_col: str, window: int, one) -> DataFrame
                     n.append(len(words))
                     spans.append([x for pair in hit for x in pair])
                     items.append(sorted(names))
-                new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "__n_words", "__spans", "__items"])
+                yield then(part, n, spans, items)
+
+    return docs.mapInArrow(rows, schema)
+
+
+def _with_matches(docs: DataFrame, text_col: str, window: int, one) -> DataFrame:
+    """``docs`` with ``__n_words``, ``__spans`` and ``__items`` for the items of one block."""
+
+    def then(part: pa.RecordBatch, n: list, spans: list, items: list) -> pa.RecordBatch:
+        new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "__n_words", "__spans", "__items"])
 
     more = T.StructType.fromDDL("__n_words long, __spans array<int>, __items array<string>")
-    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, *more.fields]))
+    return _scanned(docs, text_col, window, one, T.StructType([*docs.schema.fields, *more.fields]), then)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
@@ -172,8 +186,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     benchmark hits nothing. Repeated rows are each answered. A benchmark beyond one block costs one
     pass over the documents for each block; the passes are joined on a row number that was written.
     """
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_id, item_text)]  # one block: BLOCK_WORDS, about
+    sent = _sent(benchmark, item_id, item_text)
     if len(sent) == 1:
         return _with_matches(docs, text_col, window, sent[0])
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
@@ -218,18 +231,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     names = docs.columns
 
+    def cut(b: pa.RecordBatch, words: list, spans: list, _items: list) -> pa.RecordBatch:
+        texts, keep = b.column(text_col).to_pylist(), [True] * b.num_rows
+        for i, (flat, n) in enumerate(zip(spans, words)):
+            if flat:
+                keep[i] = sum(flat[1::2]) - sum(flat[::2]) <= max_coverage * n
+                raw = texts[i].encode()
+                at = [m.span() for m in _WORD.finditer(raw)]
+                cuts = [0, *(x for s, e in zip(flat[::2], flat[1::2]) for x in (at[s][0], at[e - 1][1])), len(raw)]
+                texts[i] = b"".join(raw[s:e] for s, e in zip(cuts[::2], cuts[1::2])).decode()
+        columns = [pa.array(texts, pa.string()) if name == text_col else b.column(name) for name in names]
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    sent = _sent(benchmark, "item_id", "text")
+    if len(sent) == 1:
+        return _scanned(docs, text_col, window, sent[0], docs.schema, cut)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, keep = b.column(text_col).to_pylist(), [True] * b.num_rows
-            for i, (flat, n) in enumerate(zip(b.column("__spans").to_pylist(), b.column("__n_words").to_pylist())):
-                if flat:
-                    keep[i] = sum(flat[1::2]) - sum(flat[::2]) <= max_coverage * n
-                    raw = texts[i].encode()
-                    at = [m.span() for m in _WORD.finditer(raw)]
-                    cuts = [0, *(x for s, e in zip(flat[::2], flat[1::2]) for x in (at[s][0], at[e - 1][1])), len(raw)]
-                    texts[i] = b"".join(raw[s:e] for s, e in zip(cuts[::2], cuts[1::2])).decode()
-            columns = [pa.array(texts, pa.string()) if name == text_col else b.column(name) for name in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+            yield cut(b, b.column("__n_words").to_pylist(), b.column("__spans").to_pylist(), [])
 
     return matches(docs, benchmark, text_col, window=window).mapInArrow(rows, docs.schema)
 
