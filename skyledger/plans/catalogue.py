@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from skyledger.plans import aggregates, modelling, temporal  # noqa: F401
+from skyledger.plans import aggregates, modelling, temporal, weather_reports  # noqa: F401
