@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.operators.contracts import ContractError, forbid_columns, require_columns, require_none
+from skyledger.operators.contracts import ContractError, forbid_columns, require_columns
 from skyledger.operators.joins import days
 
 #: Fixed values: (name, month, day) of fixed dates and (name, month, weekday from Monday = 0, which one,
@@ -59,11 +59,11 @@ def add_holidays(df: DataFrame, date_col: str = "FlightDate") -> DataFrame:
     """``df`` with the calendar's four columns; a date that is none raises."""
     forbid_columns(require_columns(df, [date_col]), COLUMNS)
     dated = df.withColumn("__date", F.col(date_col).cast("string").substr(1, 10).try_cast("date"))
-    require_none(dated, **{"date is missing or unreadable": F.col("__date").isNull()})
-    ends = dated.agg(F.min("__date").alias("a"), F.max("__date").alias("z")).first()
-    if ends.a is None:
-        ends = type(ends)(a=dt.date(2024, 1, 1), z=dt.date(2024, 1, 1))
-    calendar = holiday_calendar(df.sparkSession, ends.a, ends.z, "__date")
+    ends = dated.agg(F.min("__date").alias("a"), F.max("__date").alias("z"), F.count_if(F.col("__date").isNull()).alias("bad")).first()
+    if ends.bad:
+        raise ContractError(f"date is missing or unreadable: {ends.bad} rows")
+    day = dt.date(2024, 1, 1)  # of an empty table: any
+    calendar = holiday_calendar(df.sparkSession, ends.a or day, ends.z or day, "__date")
     return dated.join(F.broadcast(calendar), "__date", "left").drop("__date")  # one row for each day
 
 
