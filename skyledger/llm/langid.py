@@ -1,6 +1,7 @@
 """Language identification by nearest centroids of TF-IDF n-gram vectors.
 
-Byte 2- and 3-grams of the lower-cased text are hashed into ``DIMENSIONS`` buckets, weighted by
+ASCII letters are lower-cased and runs of other ASCII characters become one space, so that marks and digits
+say nothing. Byte 2- and 3-grams of the result are hashed into ``DIMENSIONS`` buckets, weighted by
 log(1 + count) and inverse document frequency, and normalised. Each language has up to ``CENTROIDS``
 centroids from spherical k-means. A text gets the language of the centroid of greatest cosine; it is
 rejected when its cosine is below that centroid's own limit.
@@ -24,9 +25,14 @@ SAMPLE_DOCS, SAMPLE_CHARS = 400, 30_000
 FOLDS, HELD_FOLD = 3, 1
 
 
+#: ASCII letters to lower case, other ASCII to a space; bytes of other characters stay.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+
+
 def counts(texts: list[bytes]) -> np.ndarray:
     """n-gram counts of each text as float32 rows; each text stands between spaces."""
-    data = np.frombuffer(b"".join(b" " + t.lower() + b"   " for t in texts), np.uint8).astype(np.uint32)
+    texts = [b" ".join(t.translate(_LETTERS).split()) for t in texts]
+    data = np.frombuffer(b"".join(b" " + t + b"   " for t in texts), np.uint8).astype(np.uint32)
     size = np.array([len(t) + 2 for t in texts])
     start = np.concatenate(([0], (size + 2)[:-1].cumsum())) if len(texts) else np.zeros(0, np.int64)
     # the n-grams of a text start at its leading space and end at the space behind it at the latest
