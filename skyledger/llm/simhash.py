@@ -180,6 +180,16 @@ def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
     return map_arrow(dealt, {"a": "long", "b": "long"}, compared)
 
 
+def named(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, fp, component) of ``prints`` (id, fp): the least of the ids ``first`` of ``nodes`` (fp, first) that ``edges`` tie."""
+    groups = connected_components(edges).withColumnRenamed("node", "fp")
+    rooted = nodes.join(groups, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    rooted = written(rooted.select("fp", "first", "root"), "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("component")), "least")
+    named = written(rooted.join(least, "root").select("fp", "component"), "named")
+    return prints.join(named, "fp").select("id", "fp", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_distance: int = 4) -> DataFrame:
     """(id, fp, component): every row of ``docs`` with its fingerprint and the least id that links reach.
 
@@ -189,12 +199,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    groups = connected_components(links(nodes, max_distance)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(groups, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    rooted = written(rooted.select("fp", "first", "root"), "rooted")
-    least = written(rooted.groupBy("root").agg(F.min("first").alias("component")), "least")
-    named = written(rooted.join(least, "root").select("fp", "component"), "named")
-    return prints.join(named, "fp").select("id", "fp", "component")
+    return named(prints, nodes, links(nodes, max_distance))
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with the rows that name their own component in ``found`` (id, component), one of each id, and those without an id."""
+    keep = found.filter(F.col("id") == F.col("component")).select("id").distinct()
+    key = F.col(id_col)
+    kept = docs.filter(key.isNotNull()).join(keep.withColumnRenamed("id", "__keep"), key.cast("long") == F.col("__keep"), "left_semi")
+    return kept.dropDuplicates([id_col]).unionByName(docs.filter(key.isNull()))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_distance: int = 4) -> DataFrame:
@@ -202,8 +215,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Of rows that share that id one stays. Rows with a null id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle_words, max_distance)
-    keep = found.filter(F.col("id") == F.col("component")).select("id").distinct()
-    key = F.col(id_col)
-    kept = docs.filter(key.isNotNull()).join(keep.withColumnRenamed("id", "__keep"), key.cast("long") == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.filter(key.isNull()))
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, shingle_words, max_distance), id_col)
