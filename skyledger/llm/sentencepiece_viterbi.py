@@ -3,9 +3,9 @@
 The best path maximises the sum of the model's piece scores. Characters arrive one by one. No piece
 is longer than ``longest`` characters, so only that many boundaries can still be extended; whenever the
 window holds twice as many, ids are committed up to the boundary where the backpointers of all live ones meet. No piece crosses the start of a run of spaces
-or a line break, and pieces of several spaces cost more than single ones, so all paths meet before every
-space and line break; what lies between two such points is encoded alike wherever it stands, and workers
-remember short ones.
+or a line break, so all paths meet before every run of spaces and every line break; what lies between two
+such points, a run of spaces with the word after it, is encoded alike wherever it stands, and workers
+remember short ones. Within a run all pieces of spaces are in the search.
 
 The pieces and scores come from the model file. For a model trained by merges the scores are ranks:
 the result is the best path under these scores, which need not be the order in which merges apply.
@@ -54,8 +54,7 @@ class Model:
                 if " " in piece.lstrip(" ") or "\n" in piece.strip("\n"):
                     raise ValueError(f"piece {piece!r} crosses the start of a word")
                 self.bytes.append(piece.encode())
-                if piece.strip(" ") or len(piece) == 1 or -sp.get_score(i) < 1e6:
-                    found.append((piece, i, -sp.get_score(i)))
+                found.append((piece, i, -sp.get_score(i)))
                 self.longest = max(self.longest, len(piece))
         for piece, i, cost in sorted(found, key=lambda x: -len(x[0])):  # a prefix is made before it becomes a piece
             *path, last = piece
@@ -87,9 +86,10 @@ class Stream:
         self.cost: list[float] = [0.0]
         self.back: list[tuple] = [()]
         self.open: list[tuple[int, tuple]] = []  # (start, node) of pieces that may still grow
+        self.full = 2 * model.longest  # boundaries at which paths are next tried for a common one
 
     def feed(self, text: str) -> None:
-        root, most = self.model.root, 2 * self.model.longest
+        root = self.model.root
         cost, back, open_ = self.cost, self.back, self.open
         first = root[0]
         for c in text:
@@ -115,7 +115,7 @@ class Stream:
             cost.append(best)
             back.append(path)
             open_ = grown
-            if start >= most:
+            if start >= self.full:
                 self.open = open_
                 self._converge()
                 cost, back, open_ = self.cost, self.back, self.open
@@ -146,6 +146,9 @@ class Stream:
         meet = live.pop()
         if meet:
             self._commit(meet)
+            self.full = max(2 * self.model.longest, len(self.cost) + self.model.longest // 2)
+        else:  # in a long run of spaces paths stay apart: each try costs as much as the run is long
+            self.full += self.full // 4
 
     def close(self) -> list[int]:
         self._commit(len(self.cost) - 1)
@@ -158,11 +161,11 @@ def load(path: str) -> Model:
 
 
 def _stretch_ids(model: Model, words: list[str]) -> list[bytes]:
-    """Packed ids of stretches: a space and a word, or, after the mark, a line break and a word."""
+    """Packed ids of stretches: spaces and a word, all but the first space as U+2581, or, after the mark, a line break and a word."""
     out = []
     for w in words:
         stream = Stream(model)
-        stream.feed(w[1:] if w.startswith(_BREAK) else " " + w)
+        stream.feed(w[1:] if w.startswith(_BREAK) else " " + w.replace("▁", " "))
         out.append(array("I", stream.close()).tobytes())
     return out
 
@@ -175,7 +178,9 @@ _BREAK = "\x01\n"
 def encode_texts(model: Model, texts: pa.Array) -> list[np.ndarray]:
     """Ids of each text; like the library, a space is put in front and U+2581 counts as a space. Empty and null: none."""
     texts = pc.fill_null(texts, "")
-    words = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "▁", " "), "\n", " " + _BREAK), " ")
+    spaced = pc.replace_substring_regex(pc.replace_substring(texts, "▁", " "), "^ ", "▁")
+    spaced = pc.replace_substring(pc.replace_substring(spaced, "  ", " ▁"), "▁ ", "▁▁")  # a run keeps its first space only
+    words = pc.split_pattern(pc.replace_substring(spaced, "\n", " " + _BREAK), " ")
     out = ids_by_word(words, "<u4", lambda distinct: model.known.of(distinct, lambda new: _stretch_ids(model, new)))
     return [ids if n else ids[:0] for ids, n in zip(out, pc.binary_length(texts).to_pylist())]
 

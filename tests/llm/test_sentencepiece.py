@@ -75,3 +75,41 @@ def test_frames(make_docs):
     texts = {r.id: r.text for r in v.decode(coded, PATH).collect()}
     assert texts[5] == TEXTS[5] and texts[99] == "" and v.round_trip(rows.limit(0), PATH).count() == 0
     assert v.decode_ids(model, np.array([model.byte_id[0xFF]])) == b"\xff"
+
+
+SPACED = ["a   b", "    if x:\n        return  y", "  two", " ", "   ", "x \n  y", "a\n\n   \n b   ", "a|      b |   c", "▁▁▁x ▁ y▁", " " * 40 + "end", "\x01\n  \x01", "tab \t   tab"]
+
+
+def model_search(text):
+    """Least cost over all paths of the pieces in the model file itself, and the cost of ids."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    plain = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    pieces = {sp.id_to_piece(i).replace("▁", " "): -sp.get_score(i) for i in plain}
+    costs, longest, byte_cost = {i: -sp.get_score(i) for i in plain}, max(map(len, pieces)), v.load(PATH).byte_cost
+    s = " " + text.replace("▁", " ")
+    cost = [0.0] + [float("inf")] * len(s)
+    for end in range(1, len(s) + 1):
+        for start in range(max(0, end - longest), end):
+            cost[end] = min(cost[end], cost[start] + pieces.get(s[start:end], float("inf")))
+        if s[end - 1] not in pieces:
+            cost[end] = min(cost[end], cost[end - 1] + byte_cost * len(s[end - 1].encode()))
+    return cost[-1], lambda ids: sum(costs.get(i, byte_cost) for i in ids)
+
+
+@pytest.mark.parametrize("text", [*TEXTS[1:], *SPACED])
+def test_least_cost_of_the_model_file(text):
+    model = v.load(PATH)
+    best, cost = model_search(text)
+    ids = v.encode_text(model, text)
+    whole = v.Stream(model)
+    whole.feed(" " + text.replace("▁", " "))
+    assert cost(ids.tolist()) == pytest.approx(best, rel=1e-12) and whole.close() == ids.tolist()
+    assert v.decode_ids(model, ids).decode() == text.replace("▁", " ")
+
+
+def test_long_runs_of_spaces_take_pieces_of_16():
+    model = v.load(PATH)
+    ids = v.encode_text(model, "x" + " " * 50_000 + "y")
+    assert len(ids) < 50_000 / 16 + 5 and v.decode_ids(model, ids) == b"x" + b" " * 50_000 + b"y"
