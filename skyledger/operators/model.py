@@ -165,7 +165,7 @@ def attributions(tree: _Tree, x: Sequence[float], out: list[float]) -> float:
 
 
 def tree_attributions(model: DelayModel, sample: DataFrame, key: str) -> DataFrame:
-    """(key, feature, contribution) of each row of a bounded sample, with feature ``__base`` for the expected
+    """(key, feature, contribution) of each row of ``sample``, with feature ``__base`` for the expected
     score and ``__margin`` for the model's own raw score: contributions and base add up to the margin."""
     forest = []
     for t in model.trees._java_obj.trees():
