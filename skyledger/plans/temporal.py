@@ -191,6 +191,16 @@ def _(spark, d):
     return demand.add_schedule_demand(e, e.filter("id % 3 <> 0")).select("id", *demand.OUTPUTS)
 
 
+@register("d11_schedule_demand_all", """WITH e AS (SELECT event_id AS id, CAST(user_id % 12 AS INTEGER) AS o, CAST((user_id + event_id) % 12 AS INTEGER) AS t, date_trunc('hour', ts) AS h, date_trunc('hour', ts - INTERVAL 1 HOUR) AS dh, ts - INTERVAL 1 HOUR AS dt, CAST(event_id % 240 AS INTEGER) AS mins FROM events),
+  dep AS (SELECT o, h, count(*) AS n FROM e GROUP BY ALL), arr AS (SELECT t AS port, date_trunc('hour', dt + to_minutes(mins)) AS a, count(*) AS n FROM e GROUP BY ALL)
+  SELECT id, CAST(dep.n AS INTEGER) AS origin_sched_deps_this_hour, CAST(coalesce(x.n, 0) AS INTEGER) AS origin_sched_arrivals_this_hour, CAST(dep.n + coalesce(x.n, 0) AS INTEGER) AS origin_sched_ops_this_hour, CAST(coalesce(y.n, 0) AS INTEGER) AS dest_sched_arrivals_this_hour
+  FROM e JOIN dep ON e.o = dep.o AND e.h = dep.h LEFT JOIN arr x ON x.port = e.o AND x.a = e.h LEFT JOIN arr y ON y.port = e.t AND y.a = e.dh""")
+def _(spark, d):
+    hour = F.make_dt_interval(F.lit(0), F.lit(1))
+    e = read(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 12).cast("int").alias("Origin"), ((F.col("user_id") + F.col("event_id")) % 12).cast("int").alias("Dest"), T.floor_hour(F.col("ts")).alias("dep_hour_local"), T.floor_hour(F.col("ts") - hour).alias("dest_departure_hour_local"), (F.col("ts") - hour).alias("dest_departure_time_local"), (F.col("event_id") % 240).cast("int").alias("CRSElapsedTime"))
+    return demand.add_schedule_demand(e, e).select("id", *demand.OUTPUTS)
+
+
 @register("e_f2_demand_by_band", """WITH g AS (SELECT CAST(user_id % 12 AS INTEGER) AS o, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY ALL), b AS (SELECT e.event_type, CASE WHEN n <= 5 THEN '1-5' WHEN n <= 15 THEN '6-15' WHEN n <= 30 THEN '16-30' WHEN n <= 60 THEN '31-60' ELSE '61+' END AS band FROM events e JOIN g ON g.o = e.user_id % 12 AND g.h = date_trunc('hour', e.ts))
   SELECT band, count(*) AS rows, round(avg((event_type = 'error')::INT), 6) AS rate FROM b GROUP BY band""")
 def _(spark, d):

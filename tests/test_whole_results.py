@@ -8,3 +8,8 @@ from skyledger.plans import registry
 def test_tree_attributions_of_every_row(spark, sf):
     found = registry.queries()["m17_tree_attributions"](spark, sf)
     assert found.select("key").distinct().count() == spark.read.parquet(f"{sf}/events.parquet").count() > 200
+
+
+def test_demand_of_every_event(spark, sf):
+    found = registry.queries()["d11_schedule_demand_all"](spark, sf)
+    assert found.select("id").distinct().count() == spark.read.parquet(f"{sf}/events.parquet").count()
