@@ -31,6 +31,12 @@ def _(spark, d):
     return rows.select("airport", "hour", "observation_time_local", "wind_gust_kt", F.round("snapshot_age_minutes", 4).alias("age"), F.col("weather_observation_missing").cast("int").alias("missing"))
 
 
+@register("j1_d14_asof_snapshot_all", f"WITH {_SNAP} SELECT airport, hour, t AS observation_time_local, gust AS wind_gust_kt, round(epoch_us(hour - t) / 6e7, 4) AS age, CAST(t IS NULL AS INTEGER) AS missing FROM h".replace("epoch_us(hour - t)", "(epoch_us(hour) - epoch_us(t))"))
+def _(spark, d):
+    rows = _hourly(spark, d)
+    return rows.select("airport", "hour", "observation_time_local", "wind_gust_kt", F.round("snapshot_age_minutes", 4).alias("age"), F.col("weather_observation_missing").cast("int").alias("missing"))
+
+
 @register("j1_asof_without_tolerance", """WITH r AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL), l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error')
   SELECT l.event_id, l.ts, r.ts AS last_ts, r.value FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
 def _(spark, d):
@@ -79,6 +85,21 @@ def _(spark, d):
     return _history(spark, d, False)
 
 
+def _whole_history(spark, d, include_current):
+    rows = weather.add_history(_hourly(spark, d), include_current=include_current, checked=False)
+    return rows.select("airport", "hour", F.col("ifr_hours_past3").cast("int").alias("ifr_hours"), F.round("precip_3h", 4).alias("precip_3h"), "max_gust_3h")
+
+
+@register("w3_d7_rolling_history_all", _history_sql("2 PRECEDING", "CURRENT ROW").removesuffix(" WHERE max_gust_3h IS NOT NULL"))
+def _(spark, d):
+    return _whole_history(spark, d, True)
+
+
+@register("w4_d7_rolling_history_exclusive_all", _history_sql("3 PRECEDING", "1 PRECEDING").removesuffix(" WHERE max_gust_3h IS NOT NULL"))
+def _(spark, d):
+    return _whole_history(spark, d, False)
+
+
 @register("w2_hourly_steps", f"WITH {OBSERVATIONS}, {_GRID}, s AS (SELECT (epoch_us(hour) - epoch_us(lag(hour) OVER (PARTITION BY airport ORDER BY hour))) / 6e7 AS step FROM g) SELECT count(*) AS rows, count(step) AS steps, count(*) FILTER (step <> 60) AS bad FROM s")
 def _(spark, d):
     grid = joins.hours_of(observations(spark, d).select("airport").distinct().withColumns({"a": F.lit(_FIRST).cast("timestamp_ntz"), "z": F.lit(_LAST).cast("timestamp_ntz")}), ["airport"], "a", "z")
