@@ -2,14 +2,15 @@
 
 A file is: magic, sha256 of the dictionary, one zstandard frame for each document, the index (for each
 document its id, whether that is null, frame offset, frame length and number of ids, little-endian),
-then the index's offset, the number of documents and the magic again. Ids are stored as unsigned 16-bit
-numbers. Files are written and read by Spark, so they may lie in any store; the writer ends each with a
-line break. Names sort in the order of document ids.
+then the index's offset, the number of documents, the bytes of an id (2 where the vocabulary allows, else 4)
+and the magic again. Files are written and read by Spark, so they may lie in any store; the writer ends
+each with a line break. The part numbers in the names follow the order of document ids.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import Recent, bounded_sample, ids_by_word, map_arrow, new_path, picked, portions, written
@@ -31,16 +32,27 @@ from skyledger.llm.common import Recent, bounded_sample, ids_by_word, map_arrow,
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 512, 4096, 32_768
 #: Bytes of frames in one file, about.
 FILE_BYTES = 12_000_000
+#: Files whose ids are added up in one task.
+FILES_AT_ONCE = 4096
 #: New words for which a worker remembers words, and the longest that it remembers, in characters.
 REMEMBERED, SHORT = 150_000, 64
 MAGIC = b"SKYTOK01"
 _INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("size", "<u4"), ("ids", "<u4")])
 
 
+#: The rules under which a word has the same ids alone as in its text.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_SPECIAL = {"<|startoftext|>", "<|endoftext|>"}
+
 #: Words that are cut here as the tokenizer cuts them: printable Latin text without apostrophes, which
 #: start its contractions. Below U+0180 lower case is one character (but of U+0130) and normal form changes nothing.
 _LATIN = re.compile("[!-&(-~\u00a1-\u012f\u0131-\u017f]+")
 _PIECE = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: A full stop or comma between such a letter and ASCII white space. Neither side can compose with it, so it is
+#: a piece of its own in the tokenizer too.
+_STOP = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f])([.,])([ \n])"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,11 +62,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
 
 
-class WordEncoder:
-    """A tokenizer whose words never cross white space: encodes new words, remembers short ones.
+class TextEncoder:
+    """A tokenizer's ids of whole texts.
 
-    Latin words are cut into pieces and each new piece goes to the tokenizer's model; any other word goes
-    through the whole tokenizer. Both give the ids that the word has in its text.
+    Under the rules checked here no piece crosses ASCII white space and normal form changes nothing across
+    it, so each distinct word of a batch is encoded once and short ones are remembered. Latin words are cut
+    into pieces and each new piece goes to the tokenizer's model; any other word goes through the whole
+    tokenizer. Under any other rules whole texts go through the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,20 +76,29 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = _rules_known(json.loads(self.tokenizer.to_str()))
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known, self.pieces = Recent(REMEMBERED, SHORT), {}
 
+    @property
+    def dtype(self) -> str:
+        return "<u2" if self.kind == "H" else "<u4"
+
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
             shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            ids = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(self.pieces) >= REMEMBERED:
                 self.pieces = {}
             if len(piece) <= SHORT:
                 self.pieces[piece] = ids
         return ids
 
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, words: list[str]) -> list[bytes]:
         found, other, latin, cut, piece = {}, [], _LATIN.fullmatch, _PIECE.findall, self._piece
         for w in words:
@@ -84,23 +107,29 @@ class WordEncoder:
             else:
                 other.append(w)
         if other:
-            found |= zip(other, (array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)))
+            found |= zip(other, self._plain(other))
         return [found[w] for w in words]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """16-bit ids of each text; null counts as empty.
+        """Ids of each text; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            return [np.frombuffer(x, self.dtype) for x in self._plain(texts.to_pylist())]
+        apart = pc.replace_substring_regex(texts, _STOP, r"\1 \2\3")
+        return ids_by_word(pc.ascii_split_whitespace(apart), self.dtype, lambda words: self.known.of(words, self._learn))
 
-        Where no text can hold a special token, A-Z are lower-cased for all words at once, and a full stop or
-        comma between a letter and white space becomes a word: the tokenizer does both to every word.
-        """
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\pL)([.,])([ \n])", r"\1 \2\3")
-        return ids_by_word(pc.ascii_split_whitespace(pc.fill_null(texts, "")), "<u2", lambda words: self.known.of(words, self._learn))
+
+def _rules_known(file: dict) -> bool:
+    steps = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    special = {t["content"] for t in file.get("added_tokens", []) if not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])}
+    plain = special == {t["content"] for t in file.get("added_tokens", [])} <= _SPECIAL
+    whole = not (file.get("truncation") or file.get("padding") or file.get("post_processor") or file["model"].get("dropout"))
+    return file.get("normalizer") == _NORMALIZER and steps == [_SPLIT, _BYTES] and plain and whole
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> TextEncoder:
+    return TextEncoder(path)
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int = 2) -> bytes:
@@ -109,21 +138,22 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = 2) -> bytes:
     import zstandard
 
     some = bounded_sample(docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= 4 * SAMPLE_IDS), docs, SAMPLE_DOCS)
-    sample = [ids.tobytes() + struct.pack("<H", end_id) for ids in encoder(path).encode(pa.array([r.text for r in some.collect()], pa.string()))]
-    sample = [x for x in sample if len(x) <= 2 * SAMPLE_IDS]
+    own = encoder(path)
+    sample = [ids for ids in own.encode(pa.array([r.text for r in some.collect()], pa.string())) if len(ids) < SAMPLE_IDS]
+    sample = [np.append(ids, end_id).astype(own.dtype).tobytes() for ids in sample]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except zstandard.ZstdError:
         return b"".join(sample)[:DICTIONARY_BYTES]
 
 
-def _pack(frames: list[tuple[int | None, int, bytes]], dictionary_hash: bytes) -> bytes:
+def _pack(frames: list[tuple[int | None, int, bytes]], dictionary_hash: bytes, width: int) -> bytes:
     index = np.zeros(len(frames), _INDEX)
     offset = len(MAGIC) + 32
     for i, (doc, ids, frame) in enumerate(frames):
         index[i] = (doc or 0, doc is None, offset, len(frame), ids)
         offset += len(frame)
-    return b"".join([MAGIC, dictionary_hash, *(f for _, _, f in frames), index.tobytes(), struct.pack("<QI", offset, len(frames)), MAGIC])
+    return b"".join([MAGIC, dictionary_hash, *(f for _, _, f in frames), index.tobytes(), struct.pack("<QIB", offset, len(frames), width), MAGIC])
 
 
 class TokenFile:
@@ -137,14 +167,15 @@ class TokenFile:
             raise ValueError("not a token file")
         if data[8:40] != hashlib.sha256(dictionary).digest():
             raise ValueError("written with another dictionary")
-        at, n = struct.unpack("<QI", data[-20:-8])
+        at, n, width = struct.unpack("<QIB", data[-21:-8])
+        self.dtype = f"<u{width}"
         self.data, self.index = data, np.frombuffer(data, _INDEX, n, at)
         self.zstd = zstandard.ZstdDecompressor(**({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}))
 
     def ids(self, i: int) -> np.ndarray:
         entry = self.index[i]
         frame = self.data[int(entry["offset"]) : int(entry["offset"]) + int(entry["size"])]
-        out = np.frombuffer(self.zstd.decompress(frame), "<u2").astype("<u4")
+        out = np.frombuffer(self.zstd.decompress(frame), self.dtype).astype("<u4")
         if len(out) != entry["ids"]:
             raise ValueError("a frame has another number of ids than the index")
         return out
@@ -173,28 +204,34 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         zstd = zstandard.ZstdCompressor(level=1, **({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}))
-        end = struct.pack("<H", end_id)
+        own = encoder(tokenizer)
+        end = np.array([end_id], own.dtype).tobytes()
         for b in batches:
             for part in portions(b, 3000, 6_000_000):
-                ids = [x.tobytes() + end for x in encoder(tokenizer).encode(part.column("text"))]
-                yield {"id": part.column("id"), "ids": [len(x) // 2 for x in ids], "frame": [zstd.compress(x) for x in ids]}
+                ids = [x.tobytes() + end for x in own.encode(part.column("text"))]
+                yield {"id": part.column("id"), "ids": [len(x) // len(end) for x in ids], "frame": [zstd.compress(x) for x in ids]}
 
     frames = map_arrow(rows_in, {"id": "long", "ids": "int", "frame": "binary"}, framed)
     frames = written(frames.withColumn("row", F.monotonically_increasing_id()), "frames")
     total = frames.agg(F.sum(F.length("frame") + _INDEX.itemsize)).first()[0] or 0
     order = ["id", "row"]
     dealt = frames.repartitionByRange(1 + int(total) // FILE_BYTES, *order).sortWithinPartitions(*order)
-    digest = hashlib.sha256(dictionary).digest()
+    digest, width = hashlib.sha256(dictionary).digest(), np.dtype(encoder(tokenizer).dtype).itemsize
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         own = [x for b in batches for x in zip(b.column("id").to_pylist(), b.column("ids").to_pylist(), b.column("frame").to_pylist())]
         if own:
-            yield {"file": [_pack(own, digest)]}
+            yield {"file": [_pack(own, digest, width)]}
 
     map_arrow(dealt, {"file": "binary"}, filed).select(F.col("file").cast("string")).write.option("lineSep", "\n").text(folder)
     return folder, dictionary
 
 
+def part_number(path: Column) -> Column:
+    """The number in a file's name: Spark pads it to five digits, so beyond 99,999 files names no longer sort by it."""
+    return F.regexp_extract(path, r"part-(\d+)[^/]*$", 1).cast("long")
+
+
 def read_token_files(spark: SparkSession, folder: str, dictionary: bytes) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document in the files of ``folder``: start counts the ids
     of all documents before it, ids_crc32 is over little-endian 32-bit ids."""
@@ -213,6 +250,10 @@ def read_token_files(spark: SparkSession, folder: str, dictionary: bytes) -> Dat
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
     found = written(map_arrow(files, {"path": "string", "id": "long", "within": "long", "n_tokens": "long", "ids_crc32": "long"}, rows), "read")
-    each = found.groupBy("path").agg(F.sum("n_tokens").alias("n"))  # one row for each file
-    before = each.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("before"))
+    each = found.groupBy("path").agg(F.sum("n_tokens").alias("n")).withColumn("part", part_number(F.col("path")))  # one row for each file
+    each = written(each.withColumn("block", F.floor(F.col("part") / FILES_AT_ONCE)), "each")
+    blocks = each.groupBy("block").agg(F.sum("n").alias("n"))  # one row for FILES_AT_ONCE files
+    blocks = blocks.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("base"))
+    within = each.select("path", "block", (F.sum("n").over(Window.partitionBy("block").orderBy("part")) - F.col("n")).alias("own"))
+    before = within.join(blocks, "block").select("path", (F.col("base") + F.col("own")).alias("before"))
     return found.join(before, "path").select("id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
