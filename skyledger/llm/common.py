@@ -131,6 +131,14 @@ def ids_by_word(words: pa.ListArray, kind: str, ids_of: Callable[[list], list[by
     return [every[a:b] for a, b in zip(edges, edges[1:])]
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` as (id, text), whatever other columns it has."""
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

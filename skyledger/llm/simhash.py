@@ -11,38 +11,45 @@ distance 2 of either half, at most 16 each, and only fingerprints that share an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skyledger.llm.common import map_arrow, picked, text_bytes, written
+from skyledger.llm.common import map_arrow, picked, text_bytes, unused_name, written
 from skyledger.llm.components import connected_components
 
 #: Fingerprints of one anchor that a task compares at once; fuller anchors are dealt out in pairs of chunks.
 CHUNK = 2048
+#: Fingerprints in whose anchors full ones are looked for beforehand.
+SAMPLE = 20_000
 #: Up to this many fingerprints of an anchor are compared by shifts over the whole batch.
 SMALL = 48
 
 
-def _offsets() -> tuple[np.ndarray, np.ndarray]:
-    """For each syndrome the patterns of weight at most 2 that lead to a codeword, and how many there are."""
+@lru_cache(maxsize=4)
+def _offsets(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each syndrome the patterns of weight at most 2 within ``bits`` bits that lead to a codeword, and how many there are."""
     table, count = np.zeros((32, 16), np.int64), np.zeros(32, np.int64)
     for s in range(32):
-        found = [0] if s == 0 else [1 << (s - 1)] + [1 << (i - 1) | 1 << ((i ^ s) - 1) for i in range(1, 32) if i < i ^ s]
+        one = [0] if s == 0 else [1 << (s - 1)] if s <= bits else []
+        found = one + [1 << (i - 1) | 1 << ((i ^ s) - 1) for i in range(1, bits + 1) if i < i ^ s <= bits]
         table[s, : len(found)], count[s] = found, len(found)
     return table, count
 
 
-def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, anchors): every codeword within distance 2 of the low 31 bits of each word."""
-    table, count = _offsets()
-    word = half.astype(np.int64) & 0x7FFFFFFF
+def anchors(words: np.ndarray, bits: int = 31) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, anchors): every codeword within distance 2 of the low ``bits`` bits of each word."""
+    table, count = _offsets(bits)
+    word = words.astype(np.int64) & ((1 << bits) - 1)
     syndrome = np.zeros(len(word), np.int64)
-    for i in range(1, 32):
+    for i in range(1, bits + 1):
         syndrome ^= np.where(word >> (i - 1) & 1, i, 0)
     n = count[syndrome]
     keep = np.arange(16)[None, :] < n[:, None]
@@ -94,7 +101,7 @@ def _forest(fp: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            hit = np.bitwise_count(left ^ x) <= most
+            hit = np.bitwise_count((left ^ x).view(np.uint64)) <= most
             if hit.any():
                 found = left[hit]
                 left = left[~hit]
@@ -120,7 +127,7 @@ def _links(key: np.ndarray, fp: np.ndarray, most: int) -> Iterator[tuple[int, in
         same = r[d:] == r[:-d]
         if not same.any():
             break
-        near = np.flatnonzero(same & (np.bitwise_count(f[d:] ^ f[:-d]) <= most))
+        near = np.flatnonzero(same & (np.bitwise_count((f[d:] ^ f[:-d]).view(np.uint64)) <= most))
         for i in near.tolist():
             k, x, y = int(r[i]), int(f[i]), int(f[i + d])
             p, q = top(k, x), top(k, y)
@@ -131,65 +138,115 @@ def _links(key: np.ndarray, fp: np.ndarray, most: int) -> Iterator[tuple[int, in
         yield from _forest(fp[cut[i] : cut[i] + size[i]], most)
 
 
-def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
-    """Edges (a, b) that connect every two fingerprints (fp long, distinct) at ``max_distance`` or fewer bits.
+def _covered(nodes: DataFrame, bits: int) -> DataFrame:
+    """(cell, fp): each fingerprint at every anchor within distance 2 of each of its words."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            every = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+            words = b.column("words").flatten().to_numpy().reshape(len(every), -1)
+            for at in range(0, len(every), 20_000):
+                fp = every[at : at + 20_000]
+                for part in range(words.shape[1]):
+                    row, anchor = anchors(words[at : at + 20_000, part], bits)
+                    yield {"cell": anchor << 6 | part, "fp": fp[row]}
+
+    return map_arrow(nodes.select("fp", "words"), {"cell": "long", "fp": "long"}, rows)
+
+
+def _met(dealt: DataFrame, most: int, bound: int | None) -> DataFrame:
+    """(a, b, cell) of rows (cell, fp) in the order of cells: a link and no cell or, for the rows of a cell of
+    over ``bound`` rows, a fingerprint and its cell, for another pass."""
 
-    Each anchor gives a spanning forest of its links, so that a group of n has at most n - 1 edges
-    per anchor. An anchor with over ``CHUNK`` fingerprints is dealt out as pairs of chunks.
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        cell, fp, full = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        later = lambda k, f: {"a": f, "b": pa.nulls(len(f), pa.int64()), "cell": k}
+        for b in chain(batches, [None]):
+            if b is None:
+                done = len(cell)
+            else:
+                k, f = b.column("cell").to_numpy(), b.column("fp").to_numpy()
+                if full is not None:
+                    n = int(np.searchsorted(k, full, side="right"))
+                    yield later(k[:n], f[:n])
+                    k, f, full = k[n:], f[n:], full if n == len(k) else None
+                cell, fp = np.concatenate((cell, k)), np.concatenate((fp, f))
+                done = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
+            first = np.flatnonzero(np.concatenate(([True], (cell[1:done] != cell[: done - 1]) | (fp[1:done] != fp[: done - 1])))) if done else np.zeros(0, np.int64)
+            k, f = cell[first], fp[first]  # texts that share a fingerprint are one here
+            if bound is not None and done:
+                edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+                size = np.diff(np.append(edge, len(k)))
+                over = np.repeat(size > bound, size)
+                if over.any():
+                    yield later(k[over], f[over])
+                    k, f = k[~over], f[~over]
+            found = list(_links(k, f, most)) if len(k) else []
+            yield {"a": [x for x, _ in found], "b": [y for _, y in found], "cell": pa.nulls(len(found), pa.int64())}
+            cell, fp = cell[done:], fp[done:]
+            if bound is not None and len(cell) > bound:
+                yield later(cell, fp)
+                full, cell, fp = cell[0], cell[:0], fp[:0]
+
+    return map_arrow(dealt, {"a": "long", "b": "long", "cell": "long"}, rows)
+
+
+def cell_links(nodes: DataFrame, most: int, bits: int = 31) -> DataFrame:
+    """Edges (a, b) that connect the fingerprints of ``nodes`` (fp long, words array<int>) that share an anchor of
+    a word and differ in at most ``most`` bits. Anchors are the codewords of the Hamming code over ``bits`` bits,
+    perfect at 31 and shortened below.
+
+    Each anchor gives a spanning forest of its links, so that a group of n has at most n - 1 edges for each
+    anchor. Anchors with over ``CHUNK`` fingerprints are dealt out as pairs of chunks: those that a sample of
+    ``SAMPLE`` fingerprints shows never meet in one task, others are passed on by the task that counts them.
     """
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rate = min(1.0, SAMPLE / max(1, nodes.count()))
+    some = nodes if rate == 1 else nodes.filter(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1_000_003)) < int(rate * 1_000_003) + 1)
+    known = _covered(some, bits).groupBy("cell").count().filter(F.col("count") > max(CHUNK * rate, 16)).select("cell")
+    known = written(known, "known")  # a sample and a least count bound its rows
+    copies = _covered(nodes, bits)
+    hot = None
+    if not known.isEmpty():
+        hot = copies.join(F.broadcast(known), "cell")
+        copies = copies.join(F.broadcast(known), "cell", "left_anti")
+    met = written(_met(copies.repartition(parts, "cell").sortWithinPartitions("cell", "fp"), most, CHUNK), "met")
+    edges, more = met.filter("cell is null").select("a", "b"), met.filter("cell is not null").select("cell", F.col("a").alias("fp"))
+    if hot is not None:
+        more = more.union(hot.select("cell", "fp"))
+    elif more.isEmpty():
+        return edges
+    more = written(more.distinct(), "more")
+    n = written(more.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")), "chunks")
+    mine = F.pmod(F.xxhash64("fp"), "n").cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(mine, j) * F.col("n") + F.greatest(mine, j))
+    dealt = more.join(n, "cell").select(F.col("cell").alias("hot"), "fp", F.explode(pairs).alias("pair")).withColumn("cell", F.xxhash64("hot", "pair"))
+    dealt = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "fp")
+    return edges.union(_met(dealt.select("cell", "fp"), most, None).select("a", "b"))
+
+
+def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
+    """Edges (a, b) that connect every two fingerprints (fp long, distinct) at ``max_distance`` or fewer bits."""
     if not 0 <= max_distance <= 5:
         raise ValueError("two halves with threshold 2 cover at most 5 differing bits")
-    spark = distinct.sparkSession
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
+    return cell_links(distinct.select("fp", F.array(low, high).alias("words")), max_distance)
 
-    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            every = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            for at in range(0, len(every), 20000):
-                fp = every[at : at + 20000]
-                for part in (0, 1):
-                    row, anchor = anchors(fp.view(np.uint64) >> np.uint64(32 * part) & np.uint64(0xFFFFFFFF))
-                    yield {"key": anchor << 1 | part, "fp": fp[row]}
-
-    copies = map_arrow(distinct.select("fp"), {"key": "long", "fp": "long"}, covered)
-    full = written(copies.groupBy("key").count().filter(F.col("count") > CHUNK), "full")
-    if full.isEmpty():
-        dealt = copies.withColumn("pair", F.lit(0))
-    else:
-        n = F.ceil(F.col("count") / CHUNK).cast("int")
-        mine = F.pmod(F.xxhash64("fp"), n).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(mine, j) * n + F.greatest(mine, j))
-        dealt = copies.join(full, "key", "left").withColumn("pair", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(pairs))).drop("count")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", "fp")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches:
-            k = b.column("key").to_numpy() * 1_000_003 + b.column("pair").to_numpy()
-            key, fp = np.concatenate((key, k)), np.concatenate((fp, b.column("fp").to_numpy()))
-            if not len(key) or key[0] == key[-1]:
-                continue
-            done = int(np.flatnonzero(key != key[-1])[-1]) + 1
-            found = list(_links(key[:done], fp[:done], max_distance))
-            key, fp = key[done:], fp[done:]
-            yield {"a": [x for x, _ in found], "b": [y for _, y in found]}
-        if len(key):
-            found = list(_links(key, fp, max_distance))
-            yield {"a": [x for x, _ in found], "b": [y for _, y in found]}
-
-    return map_arrow(dealt, {"a": "long", "b": "long"}, compared)
-
-
-def named(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, fp, component) of ``prints`` (id, fp): the least of the ids ``first`` of ``nodes`` (fp, first) that ``edges`` tie."""
-    groups = connected_components(edges).withColumnRenamed("node", "fp")
-    rooted = nodes.join(groups, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    rooted = written(rooted.select("fp", "first", "root"), "rooted")
+def named(prints: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(id, fp, component) of ``prints`` (id, fp): the least of the ids ``first`` that share a root in ``rooted``."""
     least = written(rooted.groupBy("root").agg(F.min("first").alias("component")), "least")
     named = written(rooted.join(least, "root").select("fp", "component"), "named")
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
+def rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, first, root) of ``nodes`` (fp, first): the least fp that ``edges`` reach."""
+    groups = connected_components(edges).withColumnRenamed("node", "fp")
+    return written(nodes.join(groups, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_distance: int = 4) -> DataFrame:
     """(id, fp, component): every row of ``docs`` with its fingerprint and the least id that links reach.
 
@@ -199,20 +256,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    return named(prints, nodes, links(nodes, max_distance))
+    return named(prints, rooted(nodes, links(nodes, max_distance)))
 
 
-def keep_least(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with the rows that name their own component in ``found`` (id, component), one of each id, and those without an id."""
-    keep = found.filter(F.col("id") == F.col("component")).select("id").distinct()
-    key = F.col(id_col)
-    kept = docs.filter(key.isNotNull()).join(keep.withColumnRenamed("id", "__keep"), key.cast("long") == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.filter(key.isNull()))
+def with_fingerprint(docs: DataFrame, text_col: str, shingle_words: int, name: str) -> DataFrame:
+    """``docs`` with one more column ``name``, the fingerprint as a signed long."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                fp = pa.array([_signed(fingerprint(x, shingle_words)) for x in text_bytes(part, text_col)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, fp], names=[*part.schema.names, name])
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_distance: int = 4) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the least id.
+    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
+def keep_least(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str, with_fp: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``docs`` with one row of each group: that of the least id and, of one id, of the least fingerprint.
 
-    Of rows that share that id one stays. Rows with a null id stay.
+    ``prints`` is (id, fp) of the rows, ``roots`` (fp, first, root) of the fingerprints, ``with_fp`` adds the
+    fingerprint to rows under a name. Rows with a null id stay. Rows that share an id but belong to different
+    groups are judged each by their own group; of rows of equal id and fingerprint the one of least hash
+    over all columns stays. No text leaves without another of its group that stays.
     """
-    return keep_least(docs, near_duplicates(docs, id_col, text_col, shingle_words, max_distance), id_col)
+    best = written(roots.filter("first is not null").groupBy("root").agg(F.min(F.struct("first", "fp")).alias("best")), "best")
+    fate = written(roots.join(best, "root").filter(F.col("best.fp") == F.col("fp")).select("fp", F.col("best.first").alias("kept")), "fate")
+    ids = prints.filter("id is not null").join(fate, "fp", "left").groupBy("id").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("kept") == F.col("id"), F.lit(False))).alias("stays"))
+    ids = written(ids.filter("n > 1 or not stays"), "ids")
+    key, own, fp = F.col(id_col).cast("long"), unused_name(docs, "__id"), unused_name(docs, "__fp")
+    gone = ids.select(F.col("id").alias(own))
+    out = docs.join(gone, key == F.col(own), "left_anti")
+    repeated = written(ids.filter("n > 1 and stays").select(F.col("id").alias(own)), "repeated")
+    if repeated.isEmpty():
+        return out
+    rows = with_fp(docs.join(repeated, key == F.col(own), "left_semi"), fp)
+    names = unused_name(docs, "__kept_fp"), unused_name(docs, "__kept_id")
+    rows = rows.join(fate.toDF(*names), (F.col(fp) == F.col(names[0])) & (key == F.col(names[1])), "left_semi")
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    one = rows.groupBy(key.alias(own), fp).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*hashed)).alias("row"))
+    return out.unionByName(one.select("row.*"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_distance: int = 4) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group; which one is in ``keep_least``."""
+    found = written(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+    nodes = written(found.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
+    return keep_least(docs, found, rooted(nodes, links(nodes, max_distance)), id_col, lambda some, name: with_fingerprint(some, text_col, shingle_words, name))

@@ -94,3 +94,33 @@ def test_keep_one(make_docs):
     rows = [(5, text), (3, text), (3, text), (9, text.replace("word7 ", "other ")), (1, "quite another text of its own"), (None, text)]
     kept = [r.doc_id for r in simhash.keep_one(make_docs(rows)).collect()]
     assert sorted(k for k in kept if k is not None) == [1, 3] and kept.count(None) == 1
+
+
+def test_the_sign_bit_counts_as_one(spark):
+    """All pairs at four or fewer bits, the top bit among them, linked as by comparing all pairs."""
+    rng = random.Random(8)
+    values = set()
+    for _ in range(60):
+        base = rng.getrandbits(64)
+        values |= {base, base ^ 1 << 63, *(base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))) for _ in range(6))}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    found = {r.node: r.component for r in connected_components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"))).collect()}
+    group = {v: v for v in signed}
+    near = [(x, y) for i, x in enumerate(signed) for y in signed[:i] if ((x ^ y) % (1 << 64)).bit_count() <= 4]
+    changed = True
+    while changed:
+        changed = False
+        for x, y in near:
+            low = min(group[x], group[y])
+            changed |= group[x] != low or group[y] != low
+            group[x] = group[y] = low
+    assert {v: found.get(v, v) for v in signed} == group
+
+
+def test_many_near_fingerprints_in_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 17)
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(1 << 62))
+    near = {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (400, 2))}
+    found = connected_components(simhash.links(spark.createDataFrame([(x,) for x in near], "fp long"))).collect()
+    assert len({r.component for r in found}) == 1 and len(found) == len(near)
