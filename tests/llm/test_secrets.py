@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import random as random_numbers
 import re
+import string
 
+import pytest
 from pyspark.sql import functions as F
 
 from skyledger.llm import secret_scan as s
@@ -43,10 +46,69 @@ def test_base_spans_of_the_corpus(docs):
 
 def test_models_tell_random_from_ordinary(make_docs, spark):
     model = s.fit_markov(s.labelled_samples(spark))
-    random = ["x4Fq9ZkLw2Vt7RbNc8JpYd1M", "Qm7zK2xP9vLr4TnW8sYb3HcF6jD", "9fK3xQ7bZ1wV5mR8nT2yL6pC"]
-    ordinary = ["internationalisation_handler_2", "get_user_session_by_client_id_1", "configuration-default-value-2024-05-01"]
+    random = ["x4Fq9ZkLw2Vt7RbNc8JpYd1M", "Qm7zK2xP9vLr4TnW8sYb3HcF6jD", "9fK3xQ7bZ1wV5mR8nT2yL6pC", "qzkvjxwpfhgbtr", "X7Q2ZK9VJ4WP"]
+    ordinary = ["internationalisation_handler_2", "get_user_session_by_client_id_1", "configuration-default-value-2024-05-01", "-" * 70, "=" * 12, "4283648832092189"]
     found = s.report(make_docs([(i, f"see {t} here") for i, t in enumerate(random + ordinary)]), model)
-    assert {r.id: r.spans.startswith("markov:4:") for r in found.collect()} == {i: i < len(random) for i in range(6)}
+    assert {r.id: r.spans.startswith("markov:4:") for r in found.collect()} == {i: i < len(random) for i in range(len(random + ordinary))}
+
+
+def judged(model, text, least_sum=10.0, least_mean=0.5):
+    """Spans that the models add, by plain search and sums."""
+    place = {c: i for i, c in enumerate(s.ALPHABET)}
+    base = plain(text)[1]
+    inside = [tuple(map(int, x.split(":")[1:])) for x in base]
+    out = set()
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}", text or ""):
+        ratio = sum(model[place[x] * s.CLASSES + place[y]] for x, y in zip(m[0], m[0][1:]))
+        if ratio >= max(least_sum, least_mean * (len(m[0]) - 1)) and not any(a <= m.start() and m.end() <= z for a, z in inside):
+            out.add(f"markov:{m.start()}:{m.end()}")
+    return base | out
+
+
+def test_every_span_by_brute_force(make_docs, docs, spark):
+    """Corpus texts with strings of every alphabet planted between their words."""
+    texts = [r.text or "" for r in docs.limit(60).collect()]
+    planted = random_strings(3, 300)
+    rows = []
+    for i, text in enumerate(texts):
+        words = text[:5000].split(" ")
+        for j, p in enumerate(planted[i * 5 : i * 5 + 5]):
+            words.insert(j * 7 % (len(words) + 1), p)
+        rows.append((i, " ".join(words) + f" é🙂 password={planted[i]} AKIA{'A1' * 8}{planted[i]}"))
+    model = s.fit_markov(s.labelled_samples(spark, docs))
+    for r in s.report(make_docs(rows), model).collect():
+        assert set(r.spans.split(",")) - {""} == judged(model, rows[r.id][1])
+
+
+def random_strings(seed, n):
+    rng = random_numbers.Random(seed)
+    alphabets = ["0123456789abcdef", string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567"]
+    return ["".join(rng.choices(rng.choice(alphabets), k=rng.randrange(16, 48))) for _ in range(n)]
+
+
+def test_recall_of_planted_strings_and_clean_documents(make_docs, docs, spark):
+    """At least 0.9 of the planted strings are found whole; clean corpus texts get no more than one wrong span in 10,000 words."""
+    model = s.fit_markov(s.labelled_samples(spark, docs))
+    planted = random_strings(5, 2000)
+    found = s.report(make_docs([(i, f"und die {p} the que") for i, p in enumerate(planted)]), model).collect()
+    caught = sum(f":8:{8 + len(planted[r.id])}" in r.spans for r in found)
+    assert caught / len(planted) >= 0.9
+    whole = s.report(docs, model).collect()
+    wrong = sum(x.startswith("markov") for r in whole for x in r.spans.split(","))
+    words = docs.selectExpr("sum(size(split(text, ' ')))").first()[0]
+    assert wrong / words <= 1e-4
+
+
+def test_many_matches_in_one_text(make_docs):
+    text = "secret=abcdefgh " * 30_000 + "é token=abcdefgh12"
+    r = s.report(make_docs([(1, text)]), [0.0] * s.CLASSES**2).first()
+    assert (r.n_assign, r.base_sha256) == (plain(text)[0][0], plain(text)[0][3])
+
+
+def test_a_random_string_around_a_known_shape_is_kept_whole(make_docs, spark):
+    text = "k Zq7XvK2mPw" + "0f" * 16 + "Qx9LrTbVn3 end"
+    spans = s.report(make_docs([(1, text)]), s.fit_markov(s.labelled_samples(spark))).first().spans
+    assert spans == "markov:2:54,hex:12:44" and s.redact(make_docs([(1, text)])).first().text == "k [SECRET] end"
 
 
 def test_model_counts(spark):
@@ -69,5 +131,10 @@ def test_plan_is_native(make_docs):
 
 
 def test_clashing_columns(make_docs):
-    rows = make_docs([(1, "password=abcdefghij")]).withColumn("spans", F.lit(1)).withColumn("base", F.lit(2)).withColumn("id", F.lit(3))
-    assert s.report(rows).first().n_assign == 1 and s.redact(rows).first().text == "[SECRET]"
+    names = ("spans", "base", "id", "__base", "__spans", "__SPANS_")
+    rows = make_docs([(1, "password=abcdefghij")]).withColumns({n: F.lit("own") for n in names})
+    assert s.report(rows).first().n_assign == 1
+    r = s.redact(rows).first()
+    assert r.text == "[SECRET]" and all(r[n] == "own" for n in names) and s.redact(rows).columns == rows.columns
+    with pytest.raises(ValueError):
+        s.scan_secrets(rows)
