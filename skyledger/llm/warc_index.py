@@ -1,7 +1,7 @@
 """WARC archives with a two-level capture index.
 
-Pages are written as gzip members, one for each record, by Spark's own writer; pages of equal payload
-share one response and the others revisit it. The index is built from the archives: captures are sorted
+Pages are written as gzip members, one for each record, in archives of some ``ARCHIVE_BYTES`` bytes; pages
+of equal payload share one response and the others revisit it. The index is built from the archives: captures are sorted
 by reversed-host key into compressed blocks of ``BLOCK`` lines, and each index part has a sparse
 directory with the first key of every block. A lookup finds the part and then the block by binary
 search, and reads the record's own bytes from the archive.
@@ -23,11 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import map_arrow, new_path, written
+from skyledger.llm.common import map_arrow, new_path, portions, written
 
 #: Lines of an index block, captures of an index part, about, and the most parts.
 BLOCK, PART, MOST_PARTS = 300, 20_000, 20_000
-#: An empty gzip member: what Spark's writer puts behind each record, and gzip readers skip.
+#: Bytes at which an archive is closed; it is longer by one record at most.
+ARCHIVE_BYTES = 16_000_000
+#: A digest of over this share of the repeated pages is hot; there are at most as many as its inverse.
+HOT = 1 / 1000
+#: An empty gzip member: what Spark's writer puts behind each archive, and gzip readers skip.
 _GAP = zlib.compress(b"", wbits=31)
 _URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^#]*)", re.S)
 
@@ -94,29 +98,39 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     Of equal payloads of at least ``least_bytes`` bytes the row of the largest id is the response (rows
     that repeat it too), the others revisit it; a payload whose ids are all null is never revisited.
-    Null html is an empty payload. Only digests that repeat are joined to the pages, and the joined
-    partitions are the archives: one shuffle of the pages.
+    Null html is an empty payload, one of any length is one record. An empty table gives no archives. Only
+    digests that repeat are joined to the pages, the few hot ones by broadcast, so that their pages stay
+    spread; the joined partitions are cut into archives by bytes: one shuffle of the pages.
     """
     folder = path or new_path(pages.sparkSession, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("sha1", F.sha1("html"))
     again = rows.filter(F.octet_length("html") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("latest"), F.count("*").alias("n"))
-    again = written(again.filter("n > 1 and latest is not null").drop("n"), "latest")
-
-    def recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    again = written(again.filter("n > 1 and latest is not null"), "latest")
+    hot = F.col("n") > (again.agg(F.sum("n")).first()[0] or 0) * HOT
+    named = again.filter(hot).select("sha1", F.col("latest").alias("hot_latest"))  # at most 1 / HOT rows
+    rows = rows.join(F.broadcast(named), "sha1", "left").withColumn("key", F.when(F.col("hot_latest").isNull(), F.col("sha1")).otherwise(F.concat(F.lit("-"), F.hex(F.xxhash64("id", "url")))))
+    cold = again.filter(~hot).select(F.col("sha1").alias("key"), "latest")
+    rows = rows.join(cold, "key", "left").withColumn("latest", F.coalesce("hot_latest", "latest"))
+
+    def archived(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        out, size = [], 0
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                out = []
+            for part in portions(b, 200, 4_000_000, "html"):
                 for page, url, payload, sha1, latest in zip(*(part.column(c).to_pylist() for c in ("id", "url", "html", "sha1", "latest"))):
                     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                     first = latest is None or latest == page or len(payload) < least_bytes
                     out.append(response(page, url, payload, digest, date) if first else revisit(page, url, len(payload), digest, date, latest))
-                yield {"record": out}
-
-    records = map_arrow(rows.join(again, "sha1", "left"), {"record": "binary"}, recorded)
+                    size += len(out[-1])
+                    if size >= ARCHIVE_BYTES:
+                        yield {"archive": [b"".join(out)]}
+                        out, size = [], 0
+        if out:
+            yield {"archive": [b"".join(out)]}
+
+    archives = map_arrow(rows.select("id", "url", "html", "sha1", "latest"), {"archive": "binary"}, archived)
     gap = _GAP.decode("latin-1")
-    records.select(F.col("record").cast("string")).write.option("lineSep", gap).option("encoding", "ISO-8859-1").text(folder)
+    archives.select(F.col("archive").cast("string")).write.option("maxRecordsPerFile", 1).option("lineSep", gap).option("encoding", "ISO-8859-1").text(folder)
     return folder
 
 

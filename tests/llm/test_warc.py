@@ -72,3 +72,19 @@ def test_damage():
 
 def test_empty_table(spark, pages):
     assert read_all(spark, pages.limit(0))[1] == []
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    """Many archives; none is longer than the bound and one record, and one payload holds a third of all rows."""
+    monkeypatch.setattr(w, "ARCHIVE_BYTES", 2_000)
+    rows = [(i, f"http://h{i}.com/", "the same page" if i % 3 == 0 else f"page {i} " + hashlib.sha256(str(i % 50).encode()).hexdigest() * (i % 9)) for i in range(400)]
+    folder, found = read_all(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert found == plain(rows)
+    sizes = [r.length for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("length").collect()]
+    assert len(sizes) > 40 and max(sizes) < 2_000 + 1_000
+
+
+def test_hot_payloads_stay_spread(spark, monkeypatch):
+    monkeypatch.setattr(w, "HOT", 0.2)
+    rows = [(i, "http://h.com/", "hot" if i % 2 else f"p{i % 30}") for i in range(600)]
+    assert read_all(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))[1] == plain(rows)
