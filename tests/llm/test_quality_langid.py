@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import math
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
 
-from skyledger.llm import langid, quality_cnn
+from skyledger.llm import langid, quality_cnn, queries
 
 BIG = "/root/testdata/sf0.01"
 
@@ -90,3 +93,69 @@ def test_counts_by_hand():
     raw = langid.counts([b"Abc", b"", b"xyz abc"])
     assert raw.sum(axis=1).tolist() == [2 * (3 + 2), 2 * 2, 2 * (7 + 2)]
     assert (langid.counts([b"xyz abc"])[0] == raw[2]).all() and (langid.counts([b"abc"])[0] == raw[0]).all()
+
+
+def test_blocks_change_nothing(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab é世.  \n9Z", k=rng.randrange(0, 200))).encode() for _ in range(200)] + [b"", b" ", b"...", b"a", b" " * 50 + b"b" + b" " * 50]
+    want = langid.counts(texts)
+    for block in (1, 2, 7, 64):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert (langid.counts([memoryview(t) for t in texts]) == want).all()
+        assert [langid.has_letter(memoryview(t)) for t in texts] == [any(map(str.isalpha, t.decode())) for t in texts]
+
+
+def test_memory_does_not_grow_with_a_text():
+    text = memoryview("Ein langer Text, immer wieder. ".encode() * 1_300_000)  # 40 MB
+    tracemalloc.start()
+    raw = langid.counts([text])
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 100_000_000 and raw.sum() > 2 * 30_000_000
+
+
+def test_prediction_is_the_nearest_centroid_by_plain_search(docs):
+    model = langid.fit_languages(docs)
+    rows = docs.orderBy("doc_id").limit(60).collect()
+    found = {r.id: r for r in langid.predict_languages(docs, model).collect()}
+    for r in rows:
+        text = " ".join("".join(c.lower() if "A" <= c <= "Z" else c if "a" <= c <= "z" or ord(c) > 127 else " " for c in r.text or "").split()).encode()
+        padded, vector = b" " + text + b"   ", {}
+        for i in range(len(text) + 2):
+            a, b, c = padded[i : i + 3]
+            two = (a * 0x9E3779B1 + b * 0x85EBCA77) % 2**32
+            three = ((two ^ 0x27D4EB2F) + c * 0xC2B2AE3D) % 2**32
+            for x in (two, three):
+                bucket = ((x ^ x >> 15) * 0x2C1B3C6D) % 2**32 >> 20
+                vector[bucket] = vector.get(bucket, 0) + 1
+        weighted = {k: math.log1p(n) * float(model.idf[k]) for k, n in vector.items()}
+        norm = math.sqrt(sum(x * x for x in weighted.values()))
+        cosine = [sum(x * float(c[k]) for k, x in weighted.items()) / norm for c in model.centroids]
+        best = max(range(len(cosine)), key=cosine.__getitem__)
+        if any(map(str.isalpha, r.text or "")):
+            assert found[r.doc_id].lang_pred == model.names[best] and abs(found[r.doc_id].score - max(0.0, cosine[best])) < 1e-4
+            assert found[r.doc_id].rejected == (found[r.doc_id].score < model.limits[best])
+        else:
+            assert (found[r.doc_id].lang_pred, found[r.doc_id].score) == ("und", 0.0)
+
+
+def test_quality_query_by_brute_force(spark, sf):
+    """Every score of the query from windows taken one by one."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_cnn.fit_quality(docs, labels)
+    found = {r.doc_id: r for r in queries.op3_quality(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert set(found) == {r.doc_id for r in rows}
+    for r in sorted(rows, key=lambda r: len(r.text or ""))[:: max(1, len(rows) // 40)]:
+        text = (r.text or "").encode()[:60_000]
+        n = max(1, -(-len(text) // quality_cnn.CHUNK))
+        data = text + b" " * (n * quality_cnn.CHUNK + quality_cnn.WIDTH - len(text))
+        chunks = []
+        for k in range(n):
+            windows = [sum(model.w[j, data[p + j]] for j in range(quality_cnn.WIDTH)) for p in range(k * quality_cnn.CHUNK, (k + 1) * quality_cnn.CHUNK, quality_cnn.STRIDE)]
+            chunks.append(np.maximum(np.max(windows, axis=0) + model.b, 0))
+        pooled = np.concatenate((np.mean(chunks, axis=0), np.max(chunks, axis=0)))
+        score = 1 / (1 + math.exp(-max(-30, min(30, float(pooled @ model.v + model.c[0])))))
+        if len(text) == len((r.text or "").encode()):
+            assert abs(found[r.doc_id].score - score) < 1e-4 and found[r.doc_id].predicted == int(found[r.doc_id].score >= 0.3)
+            assert found[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
