@@ -37,6 +37,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     args = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName(f"skyledger {args.job}").getOrCreate()
     if args.job == "flights":
+        # ZIP files go first: a month that both kinds hold is theirs, and with --force that of the plain files
         zips, plain = [p for p in args.raw if p.endswith(".zip")], [p for p in args.raw if not p.endswith(".zip")]
         for rows in [flights.read_zips(spark, *zips)] * bool(zips) + [flights.read_csv(spark, *plain)] * bool(plain):
             flights.write_months(flights.typed(rows), args.out, overwrite=args.force)

@@ -6,6 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +15,16 @@ from skyledger.operators.target import TARGET_COLUMNS, build_target, eligible_ro
 
 #: The columns that are kept, and the months (year, month) of each split.
 KEEP = (
-    "Year Quarter Month DayofMonth DayOfWeek FlightDate Reporting_Airline DOT_ID_Reporting_Airline Tail_Number Flight_Number_Reporting_Airline Origin OriginAirportSeqID OriginCityName OriginState "
-    "Dest DestAirportSeqID DestCityName DestState CRSDepTime DepTime DepDelay DepDelayMinutes DepDel15 DepTimeBlk TaxiOut WheelsOff WheelsOn TaxiIn CRSArrTime ArrTime ArrDelay ArrDelayMinutes ArrDel15 "
-    "ArrTimeBlk Cancelled CancellationCode Diverted DivAirportLandings DivReachedDest DivArrDelay CRSElapsedTime ActualElapsedTime AirTime Flights Distance DistanceGroup CarrierDelay WeatherDelay NASDelay "
-    "SecurityDelay LateAircraftDelay"
-).split()
+    "Year", "Quarter", "Month", "DayofMonth", "DayOfWeek", "FlightDate", "Reporting_Airline", "DOT_ID_Reporting_Airline", "Tail_Number", "Flight_Number_Reporting_Airline", "Origin",
+    "OriginAirportSeqID", "OriginCityName", "OriginState", "Dest", "DestAirportSeqID", "DestCityName", "DestState", "CRSDepTime", "DepTime", "DepDelay", "DepDelayMinutes", "DepDel15",
+    "DepTimeBlk", "TaxiOut", "WheelsOff", "WheelsOn", "TaxiIn", "CRSArrTime", "ArrTime", "ArrDelay", "ArrDelayMinutes", "ArrDel15", "ArrTimeBlk", "Cancelled", "CancellationCode", "Diverted",
+    "DivAirportLandings", "DivReachedDest", "DivArrDelay", "CRSElapsedTime", "ActualElapsedTime", "AirTime", "Flights", "Distance", "DistanceGroup", "CarrierDelay", "WeatherDelay", "NASDelay",
+    "SecurityDelay", "LateAircraftDelay",
+)
 SPLITS = {"train": ((2024, 1), (2024, 12)), "val": ((2025, 1), (2025, 12)), "test": ((2026, 1), (2026, 5)), "all": ((2024, 1), (2026, 5))}
 _TEXT = {"Reporting_Airline", "Tail_Number", "Origin", "OriginCityName", "OriginState", "Dest", "DestCityName", "DestState", "DepTimeBlk", "ArrTimeBlk", "CancellationCode"}
 _INT = {"Year", "Quarter", "Month", "DayofMonth", "DayOfWeek", "CRSDepTime", "CRSArrTime", "DistanceGroup"}
+MONTH_KEYS = ("part_year", "part_month")
 _LONG = {"DOT_ID_Reporting_Airline", "OriginAirportSeqID", "DestAirportSeqID"}
 
 
@@ -54,20 +57,34 @@ def read_zips(spark: SparkSession, *paths: str) -> DataFrame:
                         for part in pd.read_csv(f, dtype=str, keep_default_na=False, chunksize=50_000):
                             if missing := [c for c in KEEP if c not in part.columns]:
                                 raise KeyError(f"missing columns: {', '.join(missing)}")
-                            yield part[KEEP].replace("", None)
+                            yield part[list(KEEP)].replace("", None)
 
     return spark.read.format("binaryFile").load(list(paths)).select("content").mapInPandas(rows, ", ".join(f"`{c}` string" for c in KEEP))
 
 
+def months_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """(part_year, part_month) of the months below ``path``; None where nothing is there yet."""
+    try:
+        return spark.read.parquet(path).select(*MONTH_KEYS).distinct()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def write_months(flights: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Snappy Parquet by year and month; months that exist stay unless ``overwrite``, which replaces only its own months."""
-    keys = ["part_year", "part_month"]
+    """Snappy Parquet by year and month. Months that are there already stay as they are and their incoming rows
+    are left out; all other months are added. With ``overwrite`` the incoming months are replaced, and no others."""
     rows = flights.withColumns({"part_year": F.col("Year"), "part_month": F.col("Month")})
-    writer = rows.repartition(*keys, F.pmod(F.xxhash64("Origin", "Dest"), F.lit(4))).write.partitionBy(*keys).option("compression", "snappy")
+    known = None if overwrite else months_present(flights.sparkSession, path)
+    if known is not None:
+        known = F.broadcast(known.toDF("known_year", "known_month"))  # one row a month
+        rows = rows.join(known, F.col("part_year").eqNullSafe(F.col("known_year")) & F.col("part_month").eqNullSafe(F.col("known_month")), "left_anti")
+    writer = rows.repartition(*MONTH_KEYS, F.pmod(F.xxhash64("Origin", "Dest"), F.lit(4))).write.partitionBy(*MONTH_KEYS).option("compression", "snappy")
     if overwrite:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
-        writer.mode("ignore").parquet(path)
+        writer.mode("append").parquet(path)
 
 
 def load_split(spark: SparkSession, path: str, split: str = "train", columns: Sequence[str] | None = None, model_only: bool = False) -> DataFrame:
