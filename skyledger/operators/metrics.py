@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.stats import ratio
@@ -38,14 +38,13 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return c.agg(F.try_divide(F.sum(beaten), (F.sum("pos") * F.sum(F.col("n") - F.col("pos"))).cast("double")).alias("roc_auc"))
 
 
-def _grouped(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
-    """AP and AUC of each group, by windows over the distinct scores of groups."""
-    w = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    c = by_score(df, label, score, by).withColumns({"tp": F.sum("pos").over(w), "all": F.sum("n").over(w)})
-    neg = F.col("n") - F.col("pos")
+def ranking_by_group(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
+    """AP and AUC of each group, from running totals over its distinct scores; no task holds all scores of a group."""
+    c = running_totals(by_score(df, label, score, by), "score", ["pos", "n"], by=by)
+    neg, tp = F.col("n") - F.col("pos"), F.col("cum_pos")
     return c.groupBy(*by).agg(
-        F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("all")), F.sum("pos")).alias("average_precision"),
-        F.try_divide(F.sum(neg * (F.col("tp") - F.col("pos") / 2)), (F.sum("pos") * F.sum(neg)).cast("double")).alias("roc_auc"),
+        F.try_divide(F.sum(F.col("pos") * tp / F.col("cum_n")), F.sum("pos")).alias("average_precision"),
+        F.try_divide(F.sum(neg * (tp - F.col("pos") / 2)), (F.sum("pos") * F.sum(neg)).cast("double")).alias("roc_auc"),
     )
 
 
@@ -72,16 +71,16 @@ def ece(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
 def alert_volume(df: DataFrame, label: str, score: str, key: str, fractions: Sequence[float] = (0.05, 0.1, 0.2, 0.3)) -> DataFrame:
     """(fraction, flagged, cutoff, precision, capture) when the best-scored share of rows is flagged, ties by key.
 
-    The cutoff comes from sums by score; only rows that tie at a cutoff are ranked.
+    The cutoff comes from sums by score; only rows that tie at a cutoff are ranked, in ranges of the key.
     """
     c = curve(df, label, score).select("score", "pos", "n", (F.col("tp") + F.col("fp")).alias("upto"), "tp")
     total = c.agg(F.sum("n").alias("rows"), F.sum("pos").alias("positives"))
     wanted = total.select("rows", "positives", F.explode(F.array(*map(F.lit, fractions))).alias("fraction")).withColumn("flagged", F.ceil(F.col("rows") * F.col("fraction")).cast("long"))
     at = c.join(F.broadcast(wanted), (F.col("upto") >= F.col("flagged")) & (F.col("upto") - F.col("n") < F.col("flagged")))
     at = at.select("fraction", "flagged", "positives", F.col("score").alias("cutoff"), (F.col("tp") - F.col("pos")).alias("above"), (F.col("flagged") - F.col("upto") + F.col("n")).alias("need"))
-    tied = df.join(F.broadcast(at.select("cutoff").distinct()), F.col(score) == F.col("cutoff"), "left_semi")
-    w = Window.partitionBy(score).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    tied = tied.select(F.col(score).alias("cutoff"), F.row_number().over(Window.partitionBy(score).orderBy(key)).alias("need"), F.sum(F.col(label).cast("long")).over(w).alias("tied"))
+    tied = df.join(F.broadcast(at.select("cutoff").distinct()), F.col(score) == F.col("cutoff"), "left_semi")  # a cutoff for each fraction
+    tied = tied.select(F.col(score).alias("cutoff"), F.col(key).alias("key"), F.col(label).cast("long").alias("hit"), F.lit(1).cast("long").alias("one"))
+    tied = running_totals(tied, "key", ["hit", "one"], descending=False, by=["cutoff"]).select("cutoff", F.col("cum_one").alias("need"), F.col("cum_hit").alias("tied"))
     out = at.join(tied, ["cutoff", "need"])
     caught = F.col("above") + F.col("tied")
     return out.select("fraction", "flagged", "cutoff", ratio(caught, F.col("flagged")).alias("precision"), ratio(caught, F.col("positives")).alias("capture"))
@@ -122,7 +121,7 @@ def monthly(df: DataFrame, label: str, score: str, period: str, threshold: float
     if threshold is not None:
         hit, alert = F.count_if((p >= threshold) & (y == 1)), F.count_if(p >= threshold)
         cells += [ratio(hit, alert).alias("precision"), ratio(hit, F.sum(y)).alias("recall"), ratio(alert, F.count("*")).alias("alert_rate")]
-    out = df.groupBy(period).agg(*cells).join(_grouped(df, label, score, [period]), period)
+    out = df.groupBy(period).agg(*cells).join(ranking_by_group(df, label, score, [period]), period)
     base = F.col("actual") * (1 - F.col("actual"))
     return out.withColumns({"calibration_gap": F.col("predicted") - F.col("actual"), "pr_lift": ratio(F.col("average_precision"), F.col("actual")), "brier_skill": 1 - ratio(F.col("brier"), base)})
 

@@ -8,12 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.stats import ratio
+from skyledger.operators.joins import null_safe_left
+from skyledger.operators.windows import running_totals
+
+
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, q0, q1, ...): exact quantiles with linear interpolation, one column for each of ``shares``, one row (for each group).
+
+    Rows are counted by value and the counts are summed along the values in ranges, so that no task holds
+    all values. Nulls count nothing; groups without values have no row, a whole table without one has nulls.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    run = running_totals(counts, "__v", ["__n"], descending=False, by=by)
+    total = run.groupBy(*by).agg(F.max("cum___n").alias("__all"))
+    run = null_safe_left(run, total, by) if by else run.join(F.broadcast(total))  # one row
+    place = [F.lit(q) * (F.col("__all") - 1) for q in shares]
+    at = lambda k: F.max(F.when((F.col("cum___n") - F.col("__n") <= k) & (k < F.col("cum___n")), F.col("__v").cast("double")))
+    cells = [c for i, p in enumerate(place) for c in (at(F.floor(p)).alias(f"__lo{i}"), at(F.ceil(p)).alias(f"__hi{i}"), F.max(p - F.floor(p)).alias(f"__f{i}"))]
+    found = run.groupBy(*by).agg(*cells)
+    mixed = lambda i: F.when(F.col(f"__lo{i}") == F.col(f"__hi{i}"), F.col(f"__lo{i}")).otherwise((1 - F.col(f"__f{i}")) * F.col(f"__lo{i}") + F.col(f"__f{i}") * F.col(f"__hi{i}"))
+    return found.select(*by, *(mixed(i).alias(f"q{i}") for i in range(len(shares))))
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int) -> list[float]:
     """Distinct exact quantiles 0, 1/bins, ..., 1 with linear interpolation; only these reach the driver."""
-    edges = df.agg(F.percentile(value, [i / bins for i in range(bins + 1)]).alias("e")).first().e
-    return sorted(set(edges)) if edges else []
+    row = quantiles(df, value, [i / bins for i in range(bins + 1)]).first()
+    return sorted({e for e in row if e is not None}) if row else []
 
 
 def qcut(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:
@@ -29,20 +49,10 @@ def robust_z(df: DataFrame, value: str, by: Sequence[str], out: str = "robust_z"
     Medians are aggregated per group and joined back, so a group's rows are not held together.
     """
     middle = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("__median"))
-    both = _null_safe(df, middle, by)
+    both = null_safe_left(df, middle, by)
     spread = both.groupBy(*by).agg(F.percentile(F.abs(F.col(value) - F.col("__median")), 0.5).alias("__mad"))
     score = 0.6745 * (F.col(value) - F.col("__median")) / F.nullif(F.col("__mad"), F.lit(0.0))
-    return _null_safe(both, spread, by).withColumn(out, score).drop("__median", "__mad")
-
-
-def _null_safe(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Left join on equal keys where null equals null."""
-    renamed = right.withColumnsRenamed({k: f"__k_{k}" for k in by})
-    on = None
-    for k in by:
-        same = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        on = same if on is None else on & same
-    return left.join(renamed, on, "left").drop(*(f"__k_{k}" for k in by))
+    return null_safe_left(both, spread, by).withColumn(out, score).drop("__median", "__mad")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -69,9 +79,11 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(value * weight), F.sum(F.when(value.isNotNull(), weight)))
 
 
-def summary(df: DataFrame, value: str, quantiles: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """count, mean, std, min, exact quantiles and max in one pass."""
-    return df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.min(value).alias("min"), *(F.percentile(value, q).alias(f"p{round(q * 100):02d}") for q in quantiles), F.max(value).alias("max"))
+def summary(df: DataFrame, value: str, quantile_shares: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """One row: count, mean, std, min, exact quantiles and max."""
+    plain = df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    exact = quantiles(df, value, quantile_shares).toDF(*(f"p{round(q * 100):02d}" for q in quantile_shares))
+    return plain.join(F.broadcast(exact)).select("count", "mean", "std", "min", *exact.columns, "max")  # one row each
 
 
 def null_audit(df: DataFrame, explained: dict[str, str] | None = None) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.operators.joins import null_safe_left
+from skyledger.sources.scratch import written
+
 
 def rolling(value: Column, size: int, by: Sequence[str], order: str, how: str = "sum", include_current: bool = True) -> Column:
     """Sum or maximum of the last ``size`` rows, nulls skipped; null where all are null."""
@@ -40,18 +43,19 @@ def centred(value: Column, size: int, least: int, by: Sequence[str], order: str)
     return F.when(F.count(value).over(w) >= least, F.percentile(value, 0.5).over(w))
 
 
-def running_totals(df: DataFrame, order: str, sums: Sequence[str], descending: bool = True, slices: int = 32) -> DataFrame:
-    """``df`` with ``cum_<name>`` for each of ``sums``, over all rows in the order of a numeric column without repeats.
+def running_totals(df: DataFrame, order: str | Sequence[str], sums: Sequence[str], descending: bool = True, slices: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``cum_<name>`` for each of ``sums``, over all rows (of each group) in the order of columns without repeats.
 
-    Rows are dealt into slices of the column by approximate quantiles; sums within a slice are added to
-    the totals of the slices before it, so no task sees all rows.
+    Rows are dealt into ranges of (group, order), as many as the session has shuffle partitions or ``slices``,
+    and written once; sums within a range are added to the totals of the ranges before it, so no task sees
+    all rows. Null groups are a group; null orders come last where descending, else first.
     """
-    edges = sorted(set(df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.01))) if slices > 1 else []
-    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order))) if edges else F.lit(0)
-    df = df.withColumn("__slice", F.coalesce(at, F.lit(-1)))
-    ends = df.groupBy("__slice").agg(*(F.sum(s).alias(f"__{s}") for s in sums))
-    key = F.col("__slice").desc() if descending else F.col("__slice").asc()
-    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)  # one row for each slice
-    ends = ends.select("__slice", *(F.coalesce(F.sum(f"__{s}").over(before), F.lit(0)).alias(f"__{s}") for s in sums))
-    own = Window.partitionBy("__slice").orderBy(F.col(order).desc() if descending else F.col(order).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    return df.join(F.broadcast(ends), "__slice").select(*[c for c in df.columns if c != "__slice"], *((F.sum(s).over(own) + F.col(f"__{s}")).alias(f"cum_{s}") for s in sums))
+    order = [order] if isinstance(order, str) else list(order)
+    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(count, *by, *order).withColumn("__slice", F.spark_partition_id()), "slices")
+    way = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    ends = dealt.groupBy(*by, "__slice").agg(*(F.sum(s).alias(f"__{s}") for s in sums))  # a row for each range and for each group that starts in it
+    before = Window.partitionBy(*by).orderBy(F.col("__slice").desc() if descending else F.col("__slice").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, "__slice", *(F.coalesce(F.sum(f"__{s}").over(before), F.lit(0)).alias(f"__{s}") for s in sums))
+    own = Window.partitionBy(*by, "__slice").orderBy(*way).rowsBetween(Window.unboundedPreceding, 0)
+    return null_safe_left(dealt, ends, [*by, "__slice"]).select(*df.columns, *((F.sum(s).over(own) + F.col(f"__{s}")).alias(f"cum_{s}") for s in sums))

@@ -201,7 +201,7 @@ def _(spark, d):
 
 @register("a3_quantiles", f"{_WITH} SELECT carrier, round(quantile_cont(price, 0.5), 4) AS p50, round(quantile_cont(price, 0.75), 4) AS p75, round(quantile_cont(price, 0.95), 4) AS p95 FROM f GROUP BY carrier")
 def _(spark, d):
-    return rounded(flights(spark, d).groupBy("carrier").agg(*(F.percentile("price", q).alias(n) for q, n in ((0.5, "p50"), (0.75, "p75"), (0.95, "p95")))), 4)
+    return rounded(stats.quantiles(flights(spark, d), "price", [0.5, 0.75, 0.95], ["carrier"]).toDF("carrier", "p50", "p75", "p95"), 4)
 
 
 @register("a4_a5_row_sums", f"{_WITH} SELECT carrier, round(sum(c1 + c2), 4) AS both, count(*) FILTER ((c1 > 0)::INT + (c2 > 0)::INT = 2) AS two_positive FROM f GROUP BY carrier")
@@ -367,17 +367,19 @@ def _(spark, d):
     return out.select("carrier", "month", "flights", "previous", F.round("per_day", 6).alias("per_day"), F.round("pct_change", 4).alias("pct_change"), F.round("shift_z", 4).alias("shift_z"), "event", F.round("volume_index", 6).alias("volume_index"))
 
 
-@register("o7_stratified_hash_sample")
+@register("o7_stratified_hash_sample", """WITH p AS (SELECT *, CAST('0x' || substr(md5('42|' || o_orderpriority || '|' || o_orderkey), 1, 15) AS BIGINT) % 1000000 AS place FROM orders)
+  SELECT * EXCLUDE (place) FROM p WHERE place / 1000000.0 < (SELECT least(1.0, 2000.0 / count(*)) FROM orders)""")
 def _(spark, d):
     return sampling.stratified(read(spark, d, "orders"), ["o_orderpriority"], ["o_orderkey"], 2000)
 
 
-@register("e_b3_magnitude_box")
+@register("e_b3_magnitude_box", f"""{_WITH}, k AS (SELECT *, row_number() OVER (PARTITION BY carrier ORDER BY substr(md5('42|' || flight || ':' || price || ':' || minutes || ':' || c1 || ':' || c2), 1, 15)) AS n FROM f WHERE minutes <= 300)
+  SELECT carrier, round(quantile_cont(minutes, 0.25), 6) AS q1, round(quantile_cont(minutes, 0.5), 6) AS median, round(quantile_cont(minutes, 0.75), 6) AS q3 FROM k WHERE n <= 50000 GROUP BY carrier""")
 def _(spark, d):
     rows = flights(spark, d).withColumn("key", F.concat_ws(":", "flight", "price", "minutes", "c1", "c2"))
     return rounded(reports.magnitude_box(rows, "carrier", "minutes", "key"))
 
 
-@register("o8_first_hashes")
+@register("o8_first_hashes", "SELECT * FROM orders ORDER BY substr(md5('42|' || o_orderkey), 1, 15), o_orderkey LIMIT 500")
 def _(spark, d):
     return sampling.first_hashes(read(spark, d, "orders"), ["o_orderkey"], 500)
