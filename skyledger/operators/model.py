@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from math import factorial
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger.operators import history, recent
 from skyledger.operators.demand import OUTPUTS as DEMAND
 from skyledger.operators.holidays import COLUMNS as HOLIDAY
-from skyledger.operators.stats import concentration
+from skyledger.operators.joins import null_safe_left
+from skyledger.operators.metrics import ranking_by_group
+from skyledger.operators.stats import concentration, qcut, quantiles
 from skyledger.operators.weather import DEST_COLUMNS, ORIGIN_COLUMNS
+from skyledger.sources.scratch import written
+from skyledger.sources.sinks import read_json, write_json
 
 #: Features of the schedule, categorical ones, and outcome columns that no model may see.
 SCHEDULE = ("Month", "DayofMonth", "DayOfWeek", "Reporting_Airline", "Origin", "Dest", "CRSDepTime", "CRSArrTime", "CRSElapsedTime", "Distance")
@@ -51,12 +58,17 @@ def align_categories(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
 
 @dataclass
 class DelayModel:
-    """Fitted stages and what is needed to use them again."""
+    """Fitted stages and what is needed to use them again; ``metadata`` is anything JSON can hold (metrics, thresholds, years)."""
 
     numeric: list[str]
     categorical: list[str]
     levels: dict[str, list[str]]
     stages: object = field(repr=False)
+    metadata: dict = field(default_factory=dict)
+
+    @property
+    def features(self) -> list[str]:
+        return [*self.numeric, *self.categorical]
 
     def score(self, df: DataFrame, out: str = "p_delay") -> DataFrame:
         """``df`` with the probability of a delay."""
@@ -73,17 +85,67 @@ class DelayModel:
         return list(zip([*self.numeric, *(f"{c}_missing" for c in self.numeric), *self.categorical], self.trees.featureImportances.toArray().tolist()))
 
     def save(self, path: str) -> None:
-        self.stages.write().overwrite().save(path)
+        """A folder with the stages and one JSON object of feature lists, category levels and metadata."""
+        self.stages.write().overwrite().save(f"{path}/stages")
+        write_json(SparkSession.active(), {"numeric": self.numeric, "categorical": self.categorical, "levels": self.levels, "metadata": self.metadata}, f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> DelayModel:
+        """The model as it was saved: same scores, features, levels and metadata."""
+        from pyspark.ml import PipelineModel
+
+        kept = read_json(spark, f"{path}/model")
+        return cls(kept["numeric"], kept["categorical"], kept["levels"], PipelineModel.load(f"{path}/stages"), kept["metadata"])
+
+
+def save_bundle(path: str, model: DelayModel, history_state: DataFrame | None = None, **tables: DataFrame) -> None:
+    """What an experiment leaves: the model with its metadata, the frozen history it was built with, and result tables by name."""
+    model.save(path)
+    for name, table in (tables | ({"history": history_state} if history_state is not None else {})).items():
+        table.write.mode("overwrite").parquet(f"{path}/tables/{name}")
+
+
+def load_bundle(spark: SparkSession, path: str, *tables: str) -> tuple[DelayModel, dict[str, DataFrame]]:
+    """The model of a bundle and the asked tables."""
+    return DelayModel.load(spark, path), {name: spark.read.parquet(f"{path}/tables/{name}") for name in tables}
+
+
+def finite(c: str) -> Column:
+    """A number as double: NaN counts as missing, an infinite value raises when its row is computed."""
+    x = F.col(c).cast("double")
+    return F.when(F.isnan(x), F.lit(None)).when(F.abs(x) == float("inf"), F.raise_error(F.lit(f"infinite value in {c}")).cast("double")).otherwise(x)
 
 
 def _prepared(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """Numbers as doubles with a mark for missing ones, which become 0."""
-    return df.withColumns({f"__{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numeric} | {f"__{c}_missing": F.col(c).isNull().cast("double") for c in numeric})
+    """Finite numbers as doubles with a mark for missing ones, which become 0."""
+    return df.withColumns({f"__{c}": F.coalesce(finite(c), F.lit(0.0)) for c in numeric} | {f"__{c}_missing": (F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("double") for c in numeric})
+
 
+def fit_delay_model(train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], rounds: int = 50, depth: int = 5, rate: float = 0.05, min_rows: int = 20, subsample: float = 0.85, validation: str | None = None, patience: int = 10, seed: int = 42) -> DelayModel:
+    """Gradient-boosted trees on Spark.
 
-def fit_delay_model(train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], rounds: int = 50, depth: int = 5, rate: float = 0.05, min_rows: int = 20, subsample: float = 0.85, validation: str | None = None, seed: int = 42) -> DelayModel:
-    """Gradient-boosted trees on Spark. With ``validation`` (a boolean column) training stops when it no longer
-    improves; without, all ``rounds`` are built, as in a final fit with a frozen number of rounds."""
+    With ``validation`` (a boolean column) only the other rows are trained on, and the number of rounds is the
+    first of greatest average precision on the marked rows before ``patience`` rounds bring no better one; the
+    metadata hold it and the values of all rounds. Without, all ``rounds`` are built, as in a final fit with a
+    frozen number of rounds.
+    """
+    if validation is None:
+        return _boosted(train, target, numeric, categorical, rounds, depth, rate, min_rows, subsample, seed)
+    fit_on = train.filter(~F.col(validation))
+    model = _boosted(fit_on, target, numeric, categorical, rounds, depth, rate, min_rows, subsample, seed)
+    values = [r.average_precision or 0.0 for r in round_precision(model, train.filter(validation), target).orderBy("round").collect()]
+    best = 0
+    for i, v in enumerate(values):
+        if i - best > patience:
+            break
+        best = i if v > values[best] else best
+    if best + 1 < rounds:  # the same seed gives the same first trees
+        model = _boosted(fit_on, target, numeric, categorical, best + 1, depth, rate, min_rows, subsample, seed)
+    model.metadata |= {"best_rounds": best + 1, "average_precision_by_round": values}
+    return model
+
+
+def _boosted(train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], rounds: int, depth: int, rate: float, min_rows: int, subsample: float, seed: int) -> DelayModel:
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -93,12 +155,27 @@ def fit_delay_model(train: DataFrame, target: str, numeric: Sequence[str], categ
     stages.append(VectorAssembler(inputCols=[*(f"__{c}" for c in numeric), *(f"__{c}_missing" for c in numeric), *(f"__{c}" for c in categorical)], outputCol="__features"))
     bins = max([32, *(len(v) + 2 for v in levels.values())])
     trees = GBTClassifier(featuresCol="__features", labelCol="__label", maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=min_rows, subsamplingRate=subsample, featureSubsetStrategy=str(subsample), maxBins=bins, seed=seed)
-    if validation:
-        trees = trees.setValidationIndicatorCol(validation)
     made = _prepared(align_categories(train, levels), numeric).withColumn("__label", F.col(target).cast("double"))
     return DelayModel(list(numeric), list(categorical), levels, Pipeline(stages=[*stages, trees]).fit(made))
 
 
+def round_precision(model: DelayModel, rows: DataFrame, target: str) -> DataFrame:
+    """(round, average_precision) of the first 1, 2, ... trees on ``rows``. Rows are summed by round and score before they are ranked."""
+    forest, weights = _forest(model), np.array(model.trees.treeWeights)
+    made = _features(model, rows).select("x", F.col(target).cast("int").alias("label"))
+
+    def staged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, 1))
+            margin = np.zeros(len(x))
+            for i, (tree, w) in enumerate(zip(forest, weights)):
+                margin = margin + w * tree.predict(x)
+                yield pd.DataFrame({"round": i, "score": margin, "label": pdf["label"].to_numpy()})
+
+    scored = made.mapInPandas(staged, "round int, score double, label int")
+    return ranking_by_group(scored, "label", "score", ["round"]).select("round", "average_precision")
+
+
 def importance_table(spark, model: DelayModel) -> DataFrame:
     """(feature, gain, rank, share, cum_share): the trees' importances, largest first."""
     return concentration(spark.createDataFrame(model.importances(), "feature string, gain double"), "feature", "gain")
@@ -106,95 +183,145 @@ def importance_table(spark, model: DelayModel) -> DataFrame:
 
 @dataclass
 class _Tree:
-    """Arrays of a fitted tree: children, split feature, threshold or left categories, prediction, rows."""
+    """A fitted tree as its leaves: for each leaf its value, the share of training rows that reach it, and the features
+    on its path; for each of these the share of rows that pass its splits, and the splits as (feature, rule, left)."""
 
-    left: list[int]
-    right: list[int]
-    feature: list[int]
-    rule: list
     value: list[float]
-    rows: list[float]
+    cover: list[float]
+    paths: list[dict[int, tuple[float, list[tuple[float | frozenset, bool]]]]]
+
+    def passes(self, leaf: int, feature: int, x: np.ndarray) -> np.ndarray:
+        """Which rows pass the feature's splits on the way to a leaf."""
+        out = np.ones(len(x), bool)
+        for rule, left in self.paths[leaf][feature][1]:
+            goes_left = np.isin(x[:, feature], list(rule)) if isinstance(rule, frozenset) else x[:, feature] <= rule
+            out &= goes_left == left
+        return out
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for leaf, value in enumerate(self.value):
+            at = np.ones(len(x), bool)
+            for feature in self.paths[leaf]:
+                at &= self.passes(leaf, feature, x)
+            out[at] = value
+        return out
+
+
+def _leaves(root) -> _Tree:
+    """The leaves of one of Spark's trees."""
+    tree, open_ = _Tree([], [], []), [(root, {}, 1.0)]
+    while open_:
+        node, path, cover = open_.pop()
+        if node.numDescendants() == 0:
+            tree.value.append(node.prediction())
+            tree.cover.append(cover)
+            tree.paths.append(path)
+            continue
+        split, rows = node.split(), float(node.impurityStats().count())
+        feature = split.featureIndex()
+        rule = frozenset(split.leftCategories()) if "Categorical" in split.getClass().getName() else float(split.threshold())
+        for child, left in ((node.leftChild(), True), (node.rightChild(), False)):
+            share = float(child.impurityStats().count()) / rows
+            before, splits = path.get(feature, (1.0, []))
+            open_.append((child, path | {feature: (before * share, [*splits, (rule, left)])}, cover * share))
+    return tree
 
 
-def _arrays(node, tree: _Tree) -> int:
-    at = len(tree.left)
-    for part, x in ((tree.left, -1), (tree.right, -1), (tree.feature, -1), (tree.rule, None), (tree.value, node.prediction()), (tree.rows, float(node.impurityStats().count()))):
-        part.append(x)
-    if node.numDescendants() > 0:
-        split = node.split()
-        tree.feature[at] = split.featureIndex()
-        tree.rule[at] = frozenset(split.leftCategories()) if "Categorical" in split.getClass().getName() else float(split.threshold())
-        tree.left[at] = _arrays(node.leftChild(), tree)
-        tree.right[at] = _arrays(node.rightChild(), tree)
-    return at
+def _forest(model: DelayModel) -> list[_Tree]:
+    return [_leaves(t.rootNode()) for t in model.trees._java_obj.trees()]
 
 
-def attributions(tree: _Tree, x: Sequence[float], out: list[float]) -> float:
-    """Adds the exact path-dependent Shapley values of one tree at ``x`` to ``out``; returns the tree's expected value.
+def _features(model: DelayModel, rows: DataFrame) -> DataFrame:
+    """``rows`` through the model, with ``x``, its features as an array, and ``margin``, its raw score."""
+    from pyspark.ml.functions import vector_to_array
+
+    made = model.stages.transform(_prepared(align_categories(rows, model.levels), model.numeric))
+    return made.withColumns({"x": vector_to_array("__features"), "margin": vector_to_array("rawPrediction")[1]})
+
+
+def attributions(tree: _Tree, x: np.ndarray, features: int) -> tuple[np.ndarray, float]:
+    """Exact path-dependent Shapley values of one tree for all rows of ``x``, and the tree's expected value.
 
     For each leaf the features on its path are players: a feature that is in the coalition passes its
     splits or not, one that is not passes them by the share of training rows. Each leaf's value is shared
     by the weights of coalition sizes, summed through a polynomial in the number of players.
     """
-    from math import factorial
-
-    total = 0.0
-    stack = [(0, {}, 1.0)]
-    while stack:
-        at, path, cover = stack.pop()
-        if tree.left[at] < 0:
-            value = tree.value[at]
-            total += value * cover
-            players = list(path.items())
-            n = len(players)
-            for i, (feature, (share, passes)) in enumerate(players):
-                sums = [1.0]
-                for j, (_, (s, p)) in enumerate(players):
-                    if j != i:
-                        sums = [(sums[k] * s if k < len(sums) else 0.0) + (sums[k - 1] * p if k else 0.0) for k in range(len(sums) + 1)]
-                weight = sum(c * factorial(k) * factorial(n - 1 - k) / factorial(n) for k, c in enumerate(sums))
-                out[feature] += weight * (passes - share) * value
-            continue
-        feature, rule = tree.feature[at], tree.rule[at]
-        goes_left = x[feature] in rule if isinstance(rule, frozenset) else x[feature] <= rule
-        for child, mine in ((tree.left[at], goes_left), (tree.right[at], not goes_left)):
-            share = tree.rows[child] / tree.rows[at]
-            s, p = path.get(feature, (1.0, 1.0))
-            stack.append((child, path | {feature: (s * share, p * mine)}, cover * share))
-    return total
+    out = np.zeros((len(x), features))
+    for leaf, (value, path) in enumerate(zip(tree.value, tree.paths)):
+        players = list(path)
+        n = len(players)
+        share = [path[f][0] for f in players]
+        passed = np.stack([tree.passes(leaf, f, x) for f in players]).astype(float) if n else np.zeros((0, len(x)))
+        for i, f in enumerate(players):
+            sums = [np.ones(len(x))]
+            for j in range(n):
+                if j != i:
+                    low = [s * share[j] for s in sums] + [0.0]
+                    high = [0.0] + [s * passed[j] for s in sums]
+                    sums = [a + b for a, b in zip(low, high)]
+            weight = sum(c * factorial(k) * factorial(n - 1 - k) / factorial(n) for k, c in enumerate(sums))
+            out[:, f] += weight * (passed[i] - share[i]) * value
+    return out, float(np.dot(tree.value, tree.cover))
 
 
 def tree_attributions(model: DelayModel, sample: DataFrame, key: str) -> DataFrame:
     """(key, feature, contribution) of each row of ``sample``, with feature ``__base`` for the expected
     score and ``__margin`` for the model's own raw score: contributions and base add up to the margin."""
-    forest = []
-    for t in model.trees._java_obj.trees():
-        tree = _Tree([], [], [], [], [], [])
-        _arrays(t.rootNode(), tree)
-        forest.append(tree)
-    weights, names = list(model.trees.treeWeights), [n for n, _ in model.importances()]
-    from pyspark.ml.functions import vector_to_array
-
-    made = model.stages.transform(_prepared(align_categories(sample, model.levels), model.numeric))
-    rows = made.select(F.col(key).cast("string").alias("key"), vector_to_array("__features").alias("x"), vector_to_array("rawPrediction")[1].alias("margin"))
-
-    def explained(batches):
-        import pandas as pd
+    forest, weights, names = _forest(model), list(model.trees.treeWeights), [n for n, _ in model.importances()]
+    rows = _features(model, sample).select(F.col(key).cast("string").alias("key"), "x", "margin")
 
+    def explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for k, x, margin in zip(pdf["key"], pdf["x"], pdf["margin"]):
-                sums, base = [0.0] * len(names), 0.0
+            for at in range(0, len(pdf), 2000):
+                part = pdf.iloc[at : at + 2000]
+                x = np.stack(part["x"].to_numpy())
+                sums, base = np.zeros((len(x), len(names))), 0.0
                 for tree, w in zip(forest, weights):
-                    one = [0.0] * len(names)
-                    base += w * attributions(tree, x, one)
-                    sums = [a + w * b for a, b in zip(sums, one)]
-                out += [(k, n, 2 * v) for n, v in zip(names, sums)] + [(k, "__base", 2 * base), (k, "__margin", 2 * margin)]
-            yield pd.DataFrame(out, columns=["key", "feature", "contribution"])
+                    one, expected = attributions(tree, x, len(names))
+                    sums += w * one
+                    base += w * expected
+                every = np.column_stack((2 * sums, np.full(len(x), 2 * base), 2 * part["margin"].to_numpy()))
+                yield pd.DataFrame({"key": np.repeat(part["key"].to_numpy(), len(names) + 2), "feature": [*names, "__base", "__margin"] * len(x), "contribution": every.ravel()})
 
     return rows.mapInPandas(explained, "key string, feature string, contribution double")
 
 
+def numeric_direction(found: DataFrame, values: DataFrame, key: str, feature: str, bins: int = 12, discrete: bool = False) -> DataFrame:
+    """Signed attributions of a numeric feature along its values, in quantile bins.
+
+    (feature, bin, n, mean_value, median_value, mean_contribution, median_contribution, positive_share), one row
+    a bin in ascending order. With ``discrete``, or no more than ``bins`` values, each value is a bin. Missing
+    values are left out. ``found`` comes from ``tree_attributions`` of the rows ``values``.
+    """
+    rows = _signed(found, values, key, feature).withColumn("value", F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double"))).filter("value is not null")
+    rows = written(rows, "signed")
+    few = discrete or rows.select("value").distinct().limit(bins + 1).count() <= bins
+    rows = rows.withColumn("bin", F.col("value")) if few else qcut(rows, "value", bins)
+    out = rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"), *_spread())
+    out = null_safe_left(out, quantiles(rows, "value", [0.5], ["bin"]).toDF("bin", "median_value"), ["bin"])
+    out = null_safe_left(out, quantiles(rows, "contribution", [0.5], ["bin"]).toDF("bin", "median_contribution"), ["bin"])
+    number = F.row_number().over(Window.orderBy("mean_value")) - 1  # one row a bin
+    return out.select(F.lit(feature).alias("feature"), number.alias("bin"), "n", "mean_value", "median_value", "mean_contribution", "median_contribution", "positive_share")
+
+
+def category_direction(found: DataFrame, values: DataFrame, key: str, feature: str, least_rows: int = 100) -> DataFrame:
+    """(feature, level, n, mean_contribution, median_contribution, positive_share) of each level with at least ``least_rows`` rows; null is a level of its own."""
+    rows = written(_signed(found, values, key, feature).select(F.coalesce(F.col("value").cast("string"), F.lit(MISSING)).alias("level"), "contribution"), "signed")
+    out = rows.groupBy("level").agg(F.count("*").alias("n"), *_spread()).filter(F.col("n") >= least_rows)
+    out = null_safe_left(out, quantiles(rows, "contribution", [0.5], ["level"]).toDF("level", "median_contribution"), ["level"])
+    return out.select(F.lit(feature).alias("feature"), "level", "n", "mean_contribution", "median_contribution", "positive_share")
+
+
+def _spread() -> list[Column]:
+    return [F.avg("contribution").alias("mean_contribution"), F.avg((F.col("contribution") > 0).cast("double")).alias("positive_share")]
+
+
+def _signed(found: DataFrame, values: DataFrame, key: str, feature: str) -> DataFrame:
+    own = found.filter(F.col("feature") == feature).select("key", "contribution")
+    return own.join(values.select(F.col(key).cast("string").alias("key"), F.col(feature).alias("value")), "key")
+
+
 def mean_attributions(found: DataFrame) -> DataFrame:
     """(feature, mean absolute contribution, rank, share, cum_share)."""
     means = found.filter(~F.col("feature").isin("__base", "__margin")).groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.stats import bin_of, cut, ratio, wilson
 from skyledger.functions.times import days_in_month, month_start
+from skyledger.operators.joins import null_safe_left
 from skyledger.operators.sampling import per_group
-from skyledger.operators.stats import keep_last, robust_z
+from skyledger.operators.stats import keep_last, matrix, quantiles, robust_z
 from skyledger.operators.windows import centred
 
 #: Bins of gusts in knots, precipitation in millimetres, visibility in miles (closed left) and
@@ -54,7 +55,8 @@ def histogram(df: DataFrame, value: Column, low: float, width: float, high: floa
 
 def severity(df: DataFrame, by: Sequence[str], minutes: str) -> DataFrame:
     """(by, rows, mean, median, p90) of minutes."""
-    return df.groupBy(*by).agg(F.count(minutes).alias("rows"), F.avg(minutes).alias("mean"), F.percentile(minutes, 0.5).alias("median"), F.percentile(minutes, 0.9).alias("p90"))
+    plain = df.groupBy(*by).agg(F.count(minutes).alias("rows"), F.avg(minutes).alias("mean"))
+    return null_safe_left(plain, quantiles(df, minutes, [0.5, 0.9], by).toDF(*by, "median", "p90"), by)
 
 
 def magnitude_box(df: DataFrame, by: str, minutes: str, key: str, cap: float = 300, rows: int = 50_000) -> DataFrame:
@@ -134,3 +136,51 @@ def dominant_part(df: DataFrame, by: Sequence[str], parts: Sequence[str]) -> Dat
     long = sums.unpivot(list(by), list(parts), "part", "total").join(sums.select(*by, sum((F.col(p) for p in parts[1:]), F.col(parts[0])).alias("__all")), list(by))
     best = keep_last(long.withColumn("__order", -F.ascii(F.col("part"))), list(by), ["total", "__order"])
     return best.select(*by, "part", ratio(F.col("total"), F.col("__all")).alias("share"))
+
+
+def weather_validation(df: DataFrame, category: str, late: str, weather_minutes: str, nas_minutes: str) -> DataFrame:
+    """(category, flights, delayed, delay_rate, weather_nas_per_flight) of rows whose category is known; flights are those with a known outcome, missing minutes count 0."""
+    minutes = F.coalesce(F.col(weather_minutes), F.lit(0)) + F.coalesce(F.col(nas_minutes), F.lit(0))
+    sums = df.filter(F.col(category).isNotNull()).groupBy(category).agg(F.count(late).alias("flights"), F.sum(late).alias("delayed"), F.sum(minutes).alias("minutes"))
+    return sums.select(category, "flights", "delayed", (ratio(F.col("delayed"), F.col("flights")) * 100).alias("delay_rate"), ratio(F.col("minutes"), F.col("flights")).alias("weather_nas_per_flight"))
+
+
+def weather_warning(df: DataFrame, category: str, late: str) -> DataFrame:
+    """One row (vfr_rate, low_rate, suspicious): a join of weather is suspicious where the delay rate under IFR or LIFR is not above that under VFR."""
+    rate = lambda *names: F.avg(F.when(F.col(category).isin(*names), F.col(late).cast("double"))) * 100
+    return df.agg(rate("VFR").alias("vfr_rate"), rate("IFR", "LIFR").alias("low_rate")).withColumn("suspicious", F.coalesce(F.col("low_rate") <= F.col("vfr_rate"), F.lit(False)))
+
+
+def precipitation_phase(frozen: Column, precip_mm: Column, temp_c: Column) -> Column:
+    """Frozen or Liquid near freezing (5 degrees either way); null elsewhere and without precipitation."""
+    return F.when(temp_c.between(-5, 5), F.when(frozen == 1, "Frozen").when((frozen == 0) & (precip_mm > 0), "Liquid"))
+
+
+def weather_panel(df: DataFrame, bin_: Column, late: str, minutes: str) -> DataFrame:
+    """(bin, flights, delayed_flights, delay_rate, mean_delay, median_delay, p90_delay) of rows whose bin and outcome are known; severity is of delayed flights."""
+    rows = df.select(bin_.alias("bin"), F.col(late).alias("late"), F.when(F.col(late) == 1, F.col(minutes)).alias("minutes")).filter("bin is not null and late is not null")
+    plain = rows.groupBy("bin").agg(F.count("*").alias("flights"), F.count("minutes").alias("delayed_flights"), (F.avg(F.col("late").cast("double")) * 100).alias("delay_rate"), F.avg("minutes").alias("mean_delay"))
+    return null_safe_left(plain, quantiles(rows, "minutes", [0.5, 0.9], ["bin"]).toDF("bin", "median_delay", "p90_delay"), ["bin"])
+
+
+def thunderstorms_by_month(df: DataFrame, month: str, thunderstorm: str, late: str) -> DataFrame:
+    """(month, flights, thunderstorm_flights, share) of rows whose report is known."""
+    sums = df.filter(F.col(thunderstorm).isNotNull()).groupBy(month).agg(F.count(late).alias("flights"), F.sum(thunderstorm).alias("thunderstorm_flights"))
+    return sums.withColumn("share", ratio(F.col("thunderstorm_flights"), F.col("flights")) * 100)
+
+
+def weather_band(category: Column) -> Column:
+    """VFR, MVFR or IFR/LIFR; null for an unknown category."""
+    return F.when(category.isin("VFR", "MVFR"), category).when(category.isin("IFR", "LIFR"), "IFR/LIFR")
+
+
+def demand_by_weather(df: DataFrame, demand: str, category: str, late: str) -> DataFrame:
+    """(demand, band, flights, delay_rate) of hourly demand against weather; rows without either are left out."""
+    rows = df.select(cut(F.col(demand), *DEMAND, right=True).alias("demand"), weather_band(F.col(category)).alias("band"), F.col(late).alias("late")).filter("demand is not null and band is not null")
+    return rows.groupBy("demand", "band").agg(F.count("late").alias("flights"), (F.avg(F.col("late").cast("double")) * 100).alias("delay_rate"))
+
+
+def demand_matrix(cells: DataFrame) -> DataFrame:
+    """The flights of ``demand_by_weather`` as one row for each demand and one column for each band, empty cells 0."""
+    bands = ("VFR", "MVFR", "IFR/LIFR")
+    return matrix(cells, "demand", "band", bands, F.sum("flights")).fillna(0, list(bands))

@@ -4,23 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spot(columns: Sequence[str], seed: int = 42) -> Column:
+    """A row's place in the order of a sample: 15 hexadecimal digits of the MD5 of its keys as text, null as empty, behind the seed; other engines can give it too."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    return F.substring(F.md5(text.cast("binary")), 1, 15)
+
+
 def stratified(df: DataFrame, by: Sequence[str], keys: Sequence[str], rows: int, seed: int = 42) -> DataFrame:
-    """The share of each group that makes about ``rows`` rows in all: a row stays when its hash falls below the share."""
+    """The share of each group that makes about ``rows`` rows in all: a row stays when its place, of 1,000,000, falls below the share."""
     share = df.agg(F.least(F.lit(1.0), F.try_divide(F.lit(float(rows)), F.count("*"))).alias("s")).first().s or 0.0
-    spot = F.pmod(F.xxhash64(*by, *keys, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    return df.filter(spot < share)
+    place = F.conv(spot([*by, *keys], seed), 16, 10).cast("long") % 1_000_000
+    return df.filter(place / 1_000_000.0 < share)
 
 
 def per_group(df: DataFrame, by: Sequence[str], keys: Sequence[str], rows: int, seed: int = 42) -> DataFrame:
-    """At most ``rows`` rows of each group, least hash first; only that many of a group leave a task."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(*keys, F.lit(seed)), *keys))
+    """At most ``rows`` rows of each group, first places first; only that many of a group leave a task."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(spot(keys, seed), *keys))
     return df.withColumn("__rank", rank).filter(F.col("__rank") <= rows).drop("__rank")
 
 
 def first_hashes(df: DataFrame, keys: Sequence[str], rows: int, seed: int = 42) -> DataFrame:
-    """``rows`` rows of least hash."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(rows)
+    """``rows`` rows of first places."""
+    return df.orderBy(spot(keys, seed), *keys).limit(rows)

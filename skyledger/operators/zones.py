@@ -10,29 +10,24 @@ from skyledger.operators.contracts import ContractError, forbid_columns, require
 
 #: Zone of most of a state, then the airports that keep another.
 STATE_ZONES = {
-    "America/New_York": "CT DC DE FL GA IN KY MA MD ME MI NC NH NJ NY OH PA RI SC VA VT WV TT",
-    "America/Chicago": "AL AR IA IL KS LA MN MO MS ND NE OK SD TN TX WI",
-    "America/Phoenix": "AZ",
-    "America/Denver": "CO ID MT NM UT WY",
-    "America/Los_Angeles": "CA NV OR WA",
-    "America/Anchorage": "AK",
-    "Pacific/Honolulu": "HI",
-    "America/Puerto_Rico": "PR",
-    "America/St_Thomas": "VI",
-    "Pacific/Guam": "GU",
-    "Pacific/Pago_Pago": "AS",
-    "Pacific/Saipan": "MP",
-}
+    "AK": "America/Anchorage", "AL": "America/Chicago", "AR": "America/Chicago", "AS": "Pacific/Pago_Pago", "AZ": "America/Phoenix", "CA": "America/Los_Angeles", "CO": "America/Denver",
+    "CT": "America/New_York", "DC": "America/New_York", "DE": "America/New_York", "FL": "America/New_York", "GA": "America/New_York", "GU": "Pacific/Guam", "HI": "Pacific/Honolulu",
+    "IA": "America/Chicago", "ID": "America/Denver", "IL": "America/Chicago", "IN": "America/New_York", "KS": "America/Chicago", "KY": "America/New_York", "LA": "America/Chicago",
+    "MA": "America/New_York", "MD": "America/New_York", "ME": "America/New_York", "MI": "America/New_York", "MN": "America/Chicago", "MO": "America/Chicago", "MP": "Pacific/Saipan",
+    "MS": "America/Chicago", "MT": "America/Denver", "NC": "America/New_York", "ND": "America/Chicago", "NE": "America/Chicago", "NH": "America/New_York", "NJ": "America/New_York",
+    "NM": "America/Denver", "NV": "America/Los_Angeles", "NY": "America/New_York", "OH": "America/New_York", "OK": "America/Chicago", "OR": "America/Los_Angeles", "PA": "America/New_York",
+    "PR": "America/Puerto_Rico", "RI": "America/New_York", "SC": "America/New_York", "SD": "America/Chicago", "TN": "America/Chicago", "TT": "America/New_York", "TX": "America/Chicago",
+    "UT": "America/Denver", "VA": "America/New_York", "VI": "America/St_Thomas", "VT": "America/New_York", "WA": "America/Los_Angeles", "WI": "America/Chicago", "WV": "America/New_York",
+    "WY": "America/Denver",
+}
 AIRPORT_ZONES = {
-    "America/Chicago": "PAH",
-    "America/Denver": "BFF DIK XWA RAP ELP",
-    "America/New_York": "CHA TRI TYS",
-    "America/Los_Angeles": "LWS",
-}
+    "BFF": "America/Denver", "CHA": "America/New_York", "DIK": "America/Denver", "ELP": "America/Denver", "LWS": "America/Los_Angeles", "PAH": "America/Chicago", "RAP": "America/Denver",
+    "TRI": "America/New_York", "TYS": "America/New_York", "XWA": "America/Denver",
+}
 
 
 def _table(spark: SparkSession, zones: dict[str, str], key: str) -> DataFrame:
-    return spark.createDataFrame([(k, z) for z, keys in zones.items() for k in keys.split()], f"{key} string, __{key}_zone string")
+    return spark.createDataFrame(list(zones.items()), f"{key} string, __{key}_zone string")
 
 
 def airport_zones(airports: DataFrame, airport: str = "Airport", state: str = "State") -> DataFrame:
