@@ -1,58 +1,16 @@
-"""Shared helpers: tables in the shared folder, Arrow batch maps, word splitting."""
+"""Shared helpers: Arrow batch maps, remembered words, bounded samples. Tables in the shared folder come from the library's own helper."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_PATHS: dict[str, SparkSession] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (local tests) a temporary folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses; removed when the driver ends."""
-    path = f"{shared_folder(spark)}/skyledger-{uuid.uuid4().hex}/{name}"
-    _PATHS[path] = spark
-    return path
-
-
-@atexit.register
-def _remove_paths() -> None:
-    for path, spark in _PATHS.items():
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session is gone already
-            return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends here."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from skyledger.sources.scratch import discard, new_path, shared_folder, written  # noqa: F401  for the operators here
 
 def map_arrow(df: DataFrame, columns: dict[str, str], rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """``mapInArrow`` where ``rows`` yields dicts of column lists and ``columns`` gives Spark's types."""

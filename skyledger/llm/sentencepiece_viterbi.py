@@ -1,14 +1,18 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The best path maximises the sum of the model's piece scores. Characters arrive one by one. No piece
+The best path maximises the sum of the model's piece scores. Characters of a text arrive one by one. No piece
 is longer than ``longest`` characters, so only that many boundaries can still be extended; whenever the
-window holds twice as many, ids are committed up to the boundary where the backpointers of all live ones meet. No piece crosses the start of a run of spaces
-or a line break, so all paths meet before every run of spaces and every line break; what lies between two
-such points, a run of spaces with the word after it, is encoded alike wherever it stands, and workers
-remember short ones. Within a run all pieces of spaces are in the search.
+window holds twice as many, ids are committed up to the boundary where the backpointers of all live ones meet.
+
+Where no piece of a model crosses the start of a run of spaces or a line break, all paths meet before every
+one of them: there the window holds one boundary and everything before is committed. What lies between two
+such points, a run of spaces with the word after it, then has the same ids wherever it stands, and a worker
+remembers those of short stretches instead of searching them again; a long stretch is committed as it is read.
+Within a run all pieces of spaces are in the search. Under a model with pieces across such points whole texts
+are streamed and nothing is remembered.
 
 The pieces and scores come from the model file. For a model trained by merges the scores are ranks:
-the result is the best path under these scores, which need not be the order in which merges apply.
+the result is the best path under these scores, which is not the order in which merges apply.
 """
 
 from __future__ import annotations
@@ -39,9 +43,7 @@ class Model:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes: list[bytes] = []
         self.byte_id: dict[int, int] = {}
-        #: A node is (children by character, id of the piece that ends here or -1, its cost).
-        self.root: tuple = ({}, -1, 0.0)
-        self.longest, worst, found = 1, 1.0, []
+        found = []
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -51,24 +53,29 @@ class Model:
                 self.bytes.append(b"")
             else:
                 piece = piece.replace("▁", " ")
-                if " " in piece.lstrip(" ") or "\n" in piece.strip("\n"):
-                    raise ValueError(f"piece {piece!r} crosses the start of a word")
                 self.bytes.append(piece.encode())
                 found.append((piece, i, -sp.get_score(i)))
-                self.longest = max(self.longest, len(piece))
+        self.set_pieces(found)
+        self.size = np.array([len(b) for b in self.bytes])
+        self.first = self.size.cumsum() - self.size
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    def set_pieces(self, found: list[tuple[str, int, float]]) -> None:
+        """(piece, id, cost) of all pieces that stand for text."""
+        #: A node is (children by character, id of the piece that ends here or -1, its cost).
+        self.root: tuple = ({}, -1, 0.0)
+        self.longest = max((len(piece) for piece, _, _ in found), default=1)
+        #: Whether all paths meet before every run of spaces and every line break.
+        self.meets = not any(" " in piece.lstrip(" ") or "\n" in piece[1:] for piece, _, _ in found)
         for piece, i, cost in sorted(found, key=lambda x: -len(x[0])):  # a prefix is made before it becomes a piece
             *path, last = piece
             children = self.root[0]
             for c in path:
                 children = children.setdefault(c, ({}, -1, 0.0))[0]
             children[last] = (children.get(last, ({},))[0], i, cost)
-            worst = max(worst, cost if cost < 1e8 else 1.0)
         #: What one byte costs where no piece has the character.
-        self.byte_cost = worst + 10.0
+        self.byte_cost = max([1.0, *(cost for _, _, cost in found if cost < 1e8)]) + 10.0
         self.known = Recent(REMEMBERED, SHORT)
-        self.size = np.array([len(b) for b in self.bytes])
-        self.first = self.size.cumsum() - self.size
-        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def fallback(self, c: str) -> tuple[int, ...]:
         return tuple(self.byte_id[b] for b in c.encode())
@@ -160,13 +167,17 @@ def load(path: str) -> Model:
     return Model(path)
 
 
+def _streamed(model: Model, text: str) -> list[int]:
+    stream = Stream(model)
+    stream.feed(text)
+    return stream.close()
+
+
 def _stretch_ids(model: Model, words: list[str]) -> list[bytes]:
     """Packed ids of stretches: spaces and a word, all but the first space as U+2581, or, after the mark, a line break and a word."""
     out = []
     for w in words:
-        stream = Stream(model)
-        stream.feed(w[1:] if w.startswith(_BREAK) else " " + w.replace("▁", " "))
-        out.append(array("I", stream.close()).tobytes())
+        out.append(array("I", _streamed(model, w[1:] if w.startswith(_BREAK) else " " + w.replace("▁", " "))).tobytes())
     return out
 
 
@@ -178,6 +189,8 @@ _BREAK = "\x01\n"
 def encode_texts(model: Model, texts: pa.Array) -> list[np.ndarray]:
     """Ids of each text; like the library, a space is put in front and U+2581 counts as a space. Empty and null: none."""
     texts = pc.fill_null(texts, "")
+    if not model.meets:
+        return [np.array(_streamed(model, " " + t.replace("▁", " ")) if t else [], np.uint32) for t in texts.to_pylist()]
     spaced = pc.replace_substring_regex(pc.replace_substring(texts, "▁", " "), "^ ", "▁")
     spaced = pc.replace_substring(pc.replace_substring(spaced, "  ", " ▁"), "▁ ", "▁▁")  # a run keeps its first space only
     words = pc.split_pattern(pc.replace_substring(spaced, "\n", " " + _BREAK), " ")

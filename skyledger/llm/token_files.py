@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import Recent, bounded_sample, ids_by_word, map_arrow, new_path, picked, portions, written
+from skyledger.llm.common import Recent, bounded_sample, discard, ids_by_word, map_arrow, new_path, picked, portions, written
 
 #: Documents that the dictionary is trained on, the most ids that one of them may have, and the dictionary's bytes.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 512, 4096, 32_768
@@ -224,6 +224,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
             yield {"file": [_pack(own, digest, width)]}
 
     map_arrow(dealt, {"file": "binary"}, filed).select(F.col("file").cast("string")).write.option("lineSep", "\n").text(folder)
+    discard(frames)
     return folder, dictionary
 
 

@@ -113,3 +113,43 @@ def test_long_runs_of_spaces_take_pieces_of_16():
     model = v.load(PATH)
     ids = v.encode_text(model, "x" + " " * 50_000 + "y")
     assert len(ids) < 50_000 / 16 + 5 and v.decode_ids(model, ids) == b"x" + b" " * 50_000 + b"y"
+
+
+@pytest.mark.parametrize("runs", range(2, 41))
+def test_runs_of_spaces_are_least_cost_paths(runs):
+    model, text = v.load(PATH), "x" + " " * runs + "the" + " " * (runs - 1) + "\n" + " " * runs
+    best, cost = model_search(text)
+    ids = v.encode_text(model, text)
+    assert cost(ids.tolist()) == pytest.approx(best, rel=1e-12) and v.decode_ids(model, ids).decode() == text
+
+
+class Crossing(v.Model):
+    """Made-up pieces, some across the start of a word or a line."""
+
+    def __init__(self, seed):
+        rng = random.Random(seed)
+        self.byte_id = {b: 1000 + b for b in range(256)}
+        pieces = {"".join(rng.choices("ab \n", k=rng.randrange(1, 6))) for _ in range(40)} | {"a", " ", "b", "b a", "\n\n"}
+        self.set_pieces([(p, i, rng.uniform(1, 5)) for i, p in enumerate(sorted(pieces))])
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pieces_across_words_and_lines(seed):
+    model, rng = Crossing(seed), random.Random(seed)
+    assert not model.meets and v.load(PATH).meets
+    for n in (1, 7, 300):
+        text = "".join(rng.choices("ab \nc", k=n))
+        best, cost = full_search(model, text)
+        assert cost(v.encode_text(model, text).tolist()) == pytest.approx(best)
+
+
+def test_whole_documents_in_one_stream_give_the_same(docs):
+    """Window and convergence over whole texts, without splitting or memory, and a window that stays bounded."""
+    model = v.load(PATH)
+    for r in docs.limit(40).collect():
+        if r.text:
+            stream, widest = v.Stream(model), 0
+            for at in range(0, len(r.text), 50):
+                stream.feed((" " if at == 0 else "") + r.text[at : at + 50])
+                widest = max(widest, len(stream.back))
+            assert widest <= 4 * model.longest and stream.close() == v.encode_text(model, r.text).tolist()
