@@ -2,15 +2,17 @@
 
 The automaton holds every run of words of every item. A document's words stream through it; the
 longest match that ends at each word is tracked by suffix links. A match of ``window`` words or more
-marks its words as hit, and so does a whole shorter item. The benchmark is cut into blocks of at
-most ``BLOCK_WORDS`` words, one automaton each, so that what a worker holds never grows with it.
+marks its words as hit, and so does a whole shorter item. The benchmark is written in blocks of some
+``BLOCK_WORDS`` words, one automaton each, so that what a worker holds does not grow with it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.llm.common import map_arrow, picked, text_bytes, written
+from skyledger.llm.common import map_arrow, new_path, picked, portions, text_bytes, unused_name, written
 
 #: Words of items in one automaton; a larger benchmark is matched block by block.
 BLOCK_WORDS = 400_000
@@ -133,28 +135,45 @@ class Automaton:
         return spans, names
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks whose words, counted beforehand, stay near ``BLOCK_WORDS``."""
+@dataclass(frozen=True)
+class Blocks:
+    """The items in a folder of the shared store, in ``count`` blocks; the driver holds no item."""
+
+    path: str
+    count: int
+
+
+def stored_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Blocks:
+    """Writes the items in blocks of about ``BLOCK_WORDS`` words. An item is never cut: one longer than a block makes its block longer."""
     items = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("string").alias("text")).filter("name is not null and text is not null")
     words = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = 1 + int(words) // (4 * BLOCK_WORDS)
-    for k in range(count):
-        yield [(r.name, r.text.encode()) for r in items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == k).collect()]
+    blocks = Blocks(new_path(benchmark.sparkSession, "items"), 1 + int(words) // (4 * BLOCK_WORDS))
+    items.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(blocks.count))).repartition("block").write.partitionBy("block").parquet(blocks.path)
+    return blocks
 
 
-def _sent(benchmark: DataFrame, id_col: str, text_col: str) -> list:
-    """The benchmark's blocks, each of ``BLOCK_WORDS`` words, about, as broadcast lists."""
-    return [benchmark.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, id_col, text_col)]
+@lru_cache(maxsize=1)
+def automaton_of(path: str, block: int, window: int) -> Automaton:
+    """The automaton of one stored block; a worker keeps it between tasks."""
+    from pyarrow import dataset, fs
 
+    store, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    folder = f"{place}/block={block}"
+    if store.get_file_info(folder).type == fs.FileType.NotFound:
+        return Automaton([], window)
+    table = dataset.dataset(folder, filesystem=store, format="parquet").to_table(columns=["name", "text"])
+    rows = sorted(zip(table.column("name").to_pylist(), table.column("text").to_pylist()))
+    return Automaton([(name, item_words(text.encode())) for name, text in rows], window)
 
-def _scanned(docs: DataFrame, text_col: str, window: int, one, schema: T.StructType, then) -> DataFrame:
+
+def _scanned(docs: DataFrame, text_col: str, window: int, blocks: Blocks, block: int, schema: T.StructType, then) -> DataFrame:
     """``then`` applied to each portion of ``docs`` with its numbers of words, hit spans and items of one block."""
+    path = blocks.path
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton([(name, item_words(text)) for name, text in one.value], window)
+        automaton = automaton_of(path, block, window)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part in portions(b, 500, 8_000_000, text_col):
                 n, spans, items = [], [], []
                 for text in text_bytes(part, text_col):
                     words = item_words(text)
@@ -167,40 +186,48 @@ def _scanned(docs: DataFrame, text_col: str, window: int, one, schema: T.StructT
     return docs.mapInArrow(rows, schema)
 
 
-def _with_matches(docs: DataFrame, text_col: str, window: int, one) -> DataFrame:
-    """``docs`` with ``__n_words``, ``__spans`` and ``__items`` for the items of one block."""
+#: Names of the columns that ``matches`` adds.
+FOUND = ("__n_words", "__spans", "__items")
+
+
+def _with_matches(docs: DataFrame, text_col: str, window: int, blocks: Blocks, block: int, names: Sequence[str]) -> DataFrame:
+    """``docs`` with the three columns for the items of one block."""
 
     def then(part: pa.RecordBatch, n: list, spans: list, items: list) -> pa.RecordBatch:
         new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "__n_words", "__spans", "__items"])
+        return pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
 
-    more = T.StructType.fromDDL("__n_words long, __spans array<int>, __items array<string>")
-    return _scanned(docs, text_col, window, one, T.StructType([*docs.schema.fields, *more.fields]), then)
+    more = [T.StructField(name, kind) for name, kind in zip(names, (T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())))]
+    return _scanned(docs, text_col, window, blocks, block, T.StructType([*docs.schema.fields, *more]), then)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """``docs`` with three columns: ``__n_words``, ``__spans`` (hit words as flat pairs of word numbers, end
-    exclusive, merged and in order) and ``__items`` (sorted names of the items that occur).
+def matches(docs: DataFrame, benchmark: DataFrame | Blocks, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, names: Sequence[str] = FOUND) -> DataFrame:
+    """``docs`` with three columns, named by ``names``: the number of words, the spans (hit words as flat pairs of word
+    numbers, end exclusive, merged and in order) and the items that occur (sorted names).
 
-    Null and empty texts have no words. Items without words or with a null id are skipped; an empty
-    benchmark hits nothing. Repeated rows are each answered. A benchmark beyond one block costs one
-    pass over the documents for each block; the passes are joined on a row number that was written.
+    Null and empty texts have no words; a text may be of any length. Items without words or with a null id are
+    skipped; an empty benchmark hits nothing, an empty table gives no rows. Repeated rows are each answered.
+    Columns of these names must not exist yet. A benchmark beyond one block costs one pass over the documents
+    for each block; the passes are joined on a row number that was written.
     """
-    sent = _sent(benchmark, item_id, item_text)
-    if len(sent) == 1:
-        return _with_matches(docs, text_col, window, sent[0])
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    texts = numbered.select("__row", text_col)
+    if taken := set(names) & set(docs.columns):
+        raise ValueError(f"columns exist already: {', '.join(sorted(taken))}")
+    blocks = benchmark if isinstance(benchmark, Blocks) else stored_items(benchmark, item_id, item_text)
+    if blocks.count == 1:
+        return _with_matches(docs, text_col, window, blocks, 0, names)
+    row = unused_name(docs, "__row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text"))
     passes = None
-    for one in sent:
-        found = _with_matches(texts, text_col, window, one).drop(text_col)
+    for block in range(blocks.count):
+        found = _with_matches(texts, "text", window, blocks, block, ("n", "spans", "items")).drop("text")
         passes = found if passes is None else passes.union(found)
-    every = passes.groupBy("__row").agg(F.max("__n_words").alias("__n_words"), F.flatten(F.collect_list("__spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
+    every = passes.groupBy("row").agg(F.max("n").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             out = []
-            for flat in b.column("__spans").to_pylist():
+            for flat in b.column("spans").to_pylist():
                 spans: list[list[int]] = []
                 for s, e in sorted(zip(flat[::2], flat[1::2])):
                     if spans and s <= spans[-1][1]:
@@ -208,10 +235,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
                     else:
                         spans.append([s, e])
                 out.append([x for pair in spans for x in pair])
-            yield {c: b.column(c) for c in ("__row", "__n_words", "__items")} | {"__spans": out}
+            yield {c: b.column(c) for c in ("row", "n", "items")} | {"spans": out}
 
-    every = map_arrow(every, {"__row": "long", "__n_words": "long", "__spans": "array<int>", "__items": "array<string>"}, merged)
-    return numbered.join(every, "__row").drop("__row")
+    every = map_arrow(every, {"row": "long", "n": "long", "spans": "array<int>", "items": "array<string>"}, merged)
+    return numbered.join(every.select("row", "n", "spans", "items").toDF(row, *names), row).drop(row)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
@@ -227,7 +254,8 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` with the spans that match an item cut from the text. A document whose hit words are over
-    ``max_coverage`` of all its words goes. Texts without hits, null ones among them, stay as they are."""
+    ``max_coverage`` of all its words goes. Texts without hits, null ones among them, stay as they are. Repeated
+    rows are each judged, an empty table gives no rows, columns may have any names."""
 
     names = docs.columns
 
@@ -243,15 +271,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         columns = [pa.array(texts, pa.string()) if name == text_col else b.column(name) for name in names]
         return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    sent = _sent(benchmark, "item_id", "text")
-    if len(sent) == 1:
-        return _scanned(docs, text_col, window, sent[0], docs.schema, cut)
+    blocks = stored_items(benchmark)
+    if blocks.count == 1:
+        return _scanned(docs, text_col, window, blocks, 0, docs.schema, cut)
+    added = [unused_name(docs, name) for name in FOUND]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield cut(b, b.column("__n_words").to_pylist(), b.column("__spans").to_pylist(), [])
+            yield cut(b, b.column(added[0]).to_pylist(), b.column(added[1]).to_pylist(), [])
 
-    return matches(docs, benchmark, text_col, window=window).mapInArrow(rows, docs.schema)
+    return matches(docs, blocks, text_col, window=window, names=added).mapInArrow(rows, docs.schema)
 
 
 def digest(names: set[str]) -> str:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import map_arrow, picked, text_bytes, written
+from skyledger.llm.common import map_arrow, picked, portions, text_bytes, written
 
 #: Bytes of an image row: 64 pixels of 8-bit red, green and blue.
 ROW = 192
@@ -111,13 +111,14 @@ def cosine_hash(samples: np.ndarray) -> bytes:
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): each whole text as a PNG in a binary column, written to the shared folder.
 
-    Null counts as empty; an empty text is one row of spaces. Equal texts give equal bytes.
+    Null counts as empty; an empty text is one row of spaces. Equal texts give equal bytes. Repeated rows are
+    each stored, a null id stays null, an empty table gives no rows, a text of any length is one image, and
+    other columns may have any names.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
+            for part in portions(b, 200, 8_000_000):
                 texts = text_bytes(part)
                 yield {"id": part.column("id"), "n_bytes": [len(x) for x in texts], "media": [encode_png(padded(x)) for x in texts]}
 
@@ -125,12 +126,14 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """(id, n_bytes, payload, media, dct_hash) digests of every stored image, decoded from its bytes."""
+    """(id, n_bytes, digests of payload and media, dct_hash, feature) of every stored image, decoded from its bytes.
+
+    Every row is answered, repeated ones too; no rows give none. A damaged image raises.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
+            for part in portions(b, 200, 8_000_000, "media"):
                 out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "dct_hash")}
                 for media in part.column("media").to_pylist():
                     samples = decode_png(media)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import bounded_sample, held_out, map_arrow, picked, text_bytes
+from skyledger.llm.common import bounded_sample, held_out, map_arrow, picked, portions, text_bytes
 
 CHUNK, WIDTH, STRIDE, FILTERS = 512, 8, 2, 16
 #: The bound of the labelled sample: documents of each label, and characters of one document.
@@ -142,12 +142,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def score_quality(docs: DataFrame, model: ByteCnn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) for every row of ``docs``; null and empty texts are scored as spaces."""
+    """(id, held_out, score, predicted) for every row of ``docs``; null and empty texts are scored as spaces.
+
+    Repeated rows are each answered, an empty table gives no rows, a text of any length is read in chunks, a
+    score of just ``THRESHOLD`` is predicted as 1, and other columns may have any names.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part in portions(b, 500, 8_000_000):
                 yield {"id": part.column("id"), "score": [model.probability(t) for t in text_bytes(part)]}
 
     scored = map_arrow(picked(docs, id_col, text_col), {"id": "long", "score": "double"}, rows)
@@ -155,12 +158,15 @@ def score_quality(docs: DataFrame, model: ByteCnn, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, model: ByteCnn, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``THRESHOLD``, all columns as they were."""
+    """The rows of ``docs`` with a score of at least ``THRESHOLD``, all columns as they were.
+
+    Null and empty texts are scored as spaces and go or stay by that; rows with a null id are judged like any
+    other, repeated rows alike; an empty table stays empty. Columns may have any names.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part in portions(b, 500, 8_000_000, text_col):
                 yield part.filter(pa.array([model.probability(t) >= THRESHOLD for t in text_bytes(part, text_col)], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.llm.common import map_arrow, picked, text_bytes, unused_name, written
+from skyledger.llm.common import map_arrow, picked, portions, text_bytes, unused_name, written
 from skyledger.llm.components import connected_components
 
 #: Fingerprints of one anchor that a task compares at once; fuller anchors are dealt out in pairs of chunks.
@@ -87,8 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part in portions(b, 500, 8_000_000):
                 yield {"id": part.column("id"), "fp": [_signed(fingerprint(x, shingle_words)) for x in text_bytes(part)]}
 
     return map_arrow(picked(docs, id_col, text_col), {"id": "long", "fp": "long"}, rows)
@@ -264,8 +263,7 @@ def with_fingerprint(docs: DataFrame, text_col: str, shingle_words: int, name: s
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part in portions(b, 500, 8_000_000, text_col):
                 fp = pa.array([_signed(fingerprint(x, shingle_words)) for x in text_bytes(part, text_col)], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, fp], names=[*part.schema.names, name])
 

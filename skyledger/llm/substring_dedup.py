@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import map_arrow, picked, text_bytes, written
+from skyledger.llm.common import map_arrow, picked, portions, text_bytes, written
 
 SEED = 8
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -102,8 +102,7 @@ def _digested(docs: DataFrame, window: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         zstd = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
+            for part in portions(b, 200, 8_000_000):
                 out = {k: [] for k in ("n_words", "sha256", "words", "seeds", "lows", "highs")}
                 for text in text_bytes(part):
                     words = text.split()

@@ -194,7 +194,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     the scan) and returns (folder, dictionary). Null text counts as empty: the end id alone.
 
     Texts are encoded once and only frames are shuffled. The number of files follows from the bytes of
-    all frames; rows of one id may spread over several files. An empty table gives no files.
+    all frames; rows of one id may spread over several files. An empty table gives no files; a text of any
+    length is one frame, repeated rows are each written, and other columns may have any names.
     """
     import zstandard
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from skyledger.llm import decontaminate as d
 
@@ -70,3 +71,16 @@ def test_empty_tables(make_docs, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.report(make_docs([]), none).count() == 0
     assert not any(r.contaminated for r in d.report(make_docs([(1, "a b c")]), none).collect())
+
+
+@pytest.mark.parametrize("block", [400_000, 1])
+def test_clashing_columns(make_docs, spark, monkeypatch, block):
+    monkeypatch.setattr(d, "BLOCK_WORDS", block)
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "short item")], "item_id long, text string")
+    names = ("__n_words", "__spans", "__items", "__row", "__ROW_", "row", "n", "spans", "items")
+    rows = make_docs([(1, "a short item in ten words and more of them"), (2, "clean"), (3, None)]).withColumns({n: F.lit("own") for n in names})
+    out = d.decontaminate(rows, items)
+    assert out.columns == rows.columns and {(r.doc_id, r.text) for r in out.collect()} == {(1, "a  in ten words and more of them"), (2, "clean"), (3, None)} and all(r[n] == "own" for r in out.collect() for n in names)
+    assert d.report(rows, items).filter("contaminated").count() == 1
+    with pytest.raises(ValueError):
+        d.matches(rows, items)

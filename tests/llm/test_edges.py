@@ -11,7 +11,7 @@ from skyledger.llm.queries import tokenizer_path
 
 LONG = "Some words, again and again. " * 40_000
 ROWS = [(1, None), (2, ""), (2, ""), (None, "no id"), (None, None), (3, LONG), (4, LONG), (5, "x" * 100_000), (6, " \t\n"), (7, "password = abcdefghijk")]
-CLASHES = ("id", "row", "run", "key", "fp", "ids", "score", "label", "rank", "part", "base", "spans", "component", "first", "n_words", "start", "n", "path", "size", "digest", "record", "latest", "media", "frame", "words")
+CLASHES = ("id", "row", "run", "fp", "ids", "score", "label", "rank", "part", "base", "spans", "component", "first", "n_words", "start", "n", "path", "size", "digest", "record", "latest", "media", "frame", "words", "__n_words", "__spans", "__items", "__row", "__base", "__keep", "__id", "__fp", "key", "hot_latest")
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +53,7 @@ def test_operator(awkward, tables, name):
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stage(spark, awkward, sf, name, stage):
-    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars")
+    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars", *(c for c in CLASHES if c.startswith("__")))
     out = stage(spark, docs, sf)
     assert 0 < out.count() <= len(ROWS)
     assert stage(spark, docs.limit(0), sf).count() == 0
