@@ -32,3 +32,16 @@ def test_imports_without_the_corpus_part(tmp_path):
         "e.oracle_sql()\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_errors_in_the_corpus_part_are_not_hidden():
+    code = (
+        "import sys\n"
+        "sys.modules['xxhash'] = None\n"
+        "try:\n"
+        "    import __spark_entry__\n"
+        "except ImportError as e:\n"
+        "    print('raised', e)\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120, capture_output=True, text=True).stdout
+    assert ("raised" in out) == (ROOT / "skyledger" / "llm").exists()
