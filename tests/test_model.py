@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import itertools
 import math
 import random
@@ -154,3 +155,20 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
     scratch.discard(table)
     with pytest.raises(PySparkException):
         spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("minutes", [1, 7, 1440])
+@pytest.mark.parametrize("exact", [True, False])
+def test_asof_without_tolerance_in_slices(spark, monkeypatch, minutes, exact):
+    from skyledger.operators import asof
+
+    monkeypatch.setattr(asof, "SLICE_MINUTES", minutes)
+    rng, start = random.Random(6), dt.datetime(2024, 1, 1)
+    at = lambda: None if rng.random() < 0.05 else start + dt.timedelta(minutes=rng.randrange(120))
+    left = [(i, rng.choice(["a", "b", None]), at()) for i in range(150)]
+    right = [(rng.choice(["a", "b", "c", None]), at(), i) for i in range(60)]
+    a, b = spark.createDataFrame(left, "i int, k string, x timestamp_ntz"), spark.createDataFrame(right, "k string, y timestamp_ntz, v int")
+    found = {r.i: (r.y, r.v) for r in asof.asof_join(a, b, ["k"], "x", "y", None, exact).collect()}
+    for i, k, x in left:
+        fit = [(y, v) for kk, y, v in right if k is not None and kk == k and x is not None and y is not None and (y < x or exact and y == x)]
+        assert found[i] == max(fit, default=(None, None))
