@@ -72,10 +72,12 @@ def identifier_samples(spark: SparkSession, rows: int = 4400) -> DataFrame:
 
 def word_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(text, label 0): words of four or more ASCII letters that stand in at least ``SAMPLE_TIMES`` different texts of
-    a bounded sample of the corpus, so that a string that stands in one text and its copies does not count as ordinary."""
+    a bounded sample of the corpus, so that a string that stands in one text and its copies does not count as
+    ordinary; each as it stands and in capitals."""
     texts = docs.select(F.xxhash64(text_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
     some = bounded_sample(texts, texts, SAMPLE_DOCS).select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0)))).alias("word"))
-    return some.groupBy("word").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= SAMPLE_TIMES).select(F.col("word").alias("text"), F.lit(0).alias("label"))
+    common = some.groupBy("word").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= SAMPLE_TIMES)
+    return common.select(F.explode(F.array_distinct(F.array("word", F.upper("word")))).alias("text"), F.lit(0).alias("label"))
 
 
 def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, text_col: str = "text") -> DataFrame:
