@@ -11,7 +11,7 @@ distance 2 of either half, at most 16 each, and only fingerprints that share an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -28,7 +28,7 @@ from skyledger.llm.components import connected_components
 #: Fingerprints of one anchor that a task compares at once; fuller anchors are dealt out in pairs of chunks.
 CHUNK = 2048
 #: Fingerprints in whose anchors full ones are looked for beforehand.
-SAMPLE = 20_000
+SAMPLE = 5_000
 #: Up to this many fingerprints of an anchor are compared by shifts over the whole batch.
 SMALL = 48
 
@@ -93,28 +93,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(picked(docs, id_col, text_col), {"id": "long", "fp": "long"}, rows)
 
 
-def _forest(fp: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the graph that links fingerprints at ``most`` or fewer bits."""
-    left = fp
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of 64-bit numbers."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+
+
+def _forest(bits: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Edges (first numbers of rows) of a spanning forest of the graph that links rows at ``most`` or fewer bits."""
+    left = bits
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            hit = np.bitwise_count((left ^ x).view(np.uint64)) <= most
+            hit = _apart(left, x) <= most
             if hit.any():
                 found = left[hit]
                 left = left[~hit]
-                yield from ((int(x), int(y)) for y in found)
+                yield from ((int(x[0]), int(y)) for y in found[:, 0])
                 queue.extend(found)
 
 
-def _links(key: np.ndarray, fp: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def _links(key: np.ndarray, bits: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Links within runs of equal keys: short runs by shifts, each run's links reduced to a forest."""
     cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(cut, len(key)))
     run = np.repeat(np.arange(len(cut)), size)
     small = np.flatnonzero(size[run] <= SMALL)
-    r, f = run[small], fp[small]
+    r, f = run[small], bits[small]
     parent: dict[tuple[int, int], int] = {}
 
     def top(k: int, x: int) -> int:
@@ -123,106 +128,119 @@ def _links(key: np.ndarray, fp: np.ndarray, most: int) -> Iterator[tuple[int, in
         return x
 
     for d in range(1, int(min(SMALL, size.max(initial=1)))):
-        same = r[d:] == r[:-d]
-        if not same.any():
+        same = np.flatnonzero(r[d:] == r[:-d])
+        if not len(same):
             break
-        near = np.flatnonzero(same & (np.bitwise_count((f[d:] ^ f[:-d]).view(np.uint64)) <= most))
-        for i in near.tolist():
-            k, x, y = int(r[i]), int(f[i]), int(f[i + d])
+        for i in same[_apart(f[same + d], f[same]) <= most].tolist():
+            k, x, y = int(r[i]), int(f[i, 0]), int(f[i + d, 0])
             p, q = top(k, x), top(k, y)
             if p != q:
                 parent[k, max(p, q)] = min(p, q)
                 yield x, y
     for i in np.flatnonzero(size > SMALL).tolist():
-        yield from _forest(fp[cut[i] : cut[i] + size[i]], most)
+        yield from _forest(bits[cut[i] : cut[i] + size[i]], most)
 
 
-def _covered(nodes: DataFrame, bits: int) -> DataFrame:
-    """(cell, fp): each fingerprint at every anchor within distance 2 of each of its words."""
+def _covered(nodes: DataFrame, bits: int, prints: Sequence[str]) -> DataFrame:
+    """(cell, and the 64-bit ``prints``): each fingerprint at every anchor within distance 2 of each of its words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            every = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            words = b.column("words").flatten().to_numpy().reshape(len(every), -1)
-            for at in range(0, len(every), 20_000):
-                fp = every[at : at + 20_000]
+            every = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in prints]
+            words = b.column("words").flatten().to_numpy().reshape(b.num_rows, -1)
+            for at in range(0, b.num_rows, 20_000):
                 for part in range(words.shape[1]):
                     row, anchor = anchors(words[at : at + 20_000, part], bits)
-                    yield {"cell": anchor << 6 | part, "fp": fp[row]}
+                    yield {"cell": anchor << 6 | part} | {c: x[at : at + 20_000][row] for c, x in zip(prints, every)}
 
-    return map_arrow(nodes.select("fp", "words"), {"cell": "long", "fp": "long"}, rows)
+    return map_arrow(nodes.select(*prints, "words"), {"cell": "long"} | dict.fromkeys(prints, "long"), rows)
 
 
-def _met(dealt: DataFrame, most: int, bound: int | None) -> DataFrame:
-    """(a, b, cell) of rows (cell, fp) in the order of cells: a link and no cell or, for the rows of a cell of
-    over ``bound`` rows, a fingerprint and its cell, for another pass."""
+def _met(dealt: DataFrame, most: int, prints: Sequence[str], bound: int | None) -> DataFrame:
+    """(a, b, cell, prints) of rows (cell, prints) in the order of cells: a link, or, for the rows of a cell of over
+    ``bound`` rows, the cell and the fingerprint, for another pass."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        cell, fp, full = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-        later = lambda k, f: {"a": f, "b": pa.nulls(len(f), pa.int64()), "cell": k}
+        cell, fp, full = np.zeros(0, np.int64), np.zeros((0, len(prints)), np.int64), None
+
+        def out(edges: list[tuple[int, int]], k: np.ndarray = cell, f: np.ndarray = fp) -> dict:
+            no = pa.nulls(len(k), pa.int64())
+            link = {"a": pa.concat_arrays([pa.array([x for x, _ in edges], pa.int64()), no]), "b": pa.concat_arrays([pa.array([y for _, y in edges], pa.int64()), no])}
+            blank = pa.nulls(len(edges), pa.int64())
+            return link | {"cell": pa.concat_arrays([blank, pa.array(k)])} | {c: pa.concat_arrays([blank, pa.array(f[:, i])]) for i, c in enumerate(prints)}
+
         for b in chain(batches, [None]):
             if b is None:
                 done = len(cell)
             else:
-                k, f = b.column("cell").to_numpy(), b.column("fp").to_numpy()
+                k, f = b.column("cell").to_numpy(), np.stack([b.column(c).to_numpy() for c in prints], axis=1)
                 if full is not None:
                     n = int(np.searchsorted(k, full, side="right"))
-                    yield later(k[:n], f[:n])
+                    yield out([], k[:n], f[:n])
                     k, f, full = k[n:], f[n:], full if n == len(k) else None
                 cell, fp = np.concatenate((cell, k)), np.concatenate((fp, f))
                 done = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
-            first = np.flatnonzero(np.concatenate(([True], (cell[1:done] != cell[: done - 1]) | (fp[1:done] != fp[: done - 1])))) if done else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.concatenate(([True], (cell[1:done] != cell[: done - 1]) | (fp[1:done] != fp[: done - 1]).any(axis=1)))) if done else np.zeros(0, np.int64)
             k, f = cell[first], fp[first]  # texts that share a fingerprint are one here
             if bound is not None and done:
                 edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
                 size = np.diff(np.append(edge, len(k)))
                 over = np.repeat(size > bound, size)
                 if over.any():
-                    yield later(k[over], f[over])
+                    yield out([], k[over], f[over])
                     k, f = k[~over], f[~over]
-            found = list(_links(k, f, most)) if len(k) else []
-            yield {"a": [x for x, _ in found], "b": [y for _, y in found], "cell": pa.nulls(len(found), pa.int64())}
+            if len(k):
+                yield out(list(_links(k, f, most)))
             cell, fp = cell[done:], fp[done:]
             if bound is not None and len(cell) > bound:
-                yield later(cell, fp)
+                yield out([], cell, fp)
                 full, cell, fp = cell[0], cell[:0], fp[:0]
 
-    return map_arrow(dealt, {"a": "long", "b": "long", "cell": "long"}, rows)
+    return map_arrow(dealt, dict.fromkeys(("a", "b", "cell", *prints), "long"), rows)
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges that connect the same nodes: each node and its smaller neighbours are tied to the least of these.
+
+    A node has at most as many smaller neighbours as its copies give it links, so the lists are bounded.
+    """
+    turned = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).filter("x <> y")
+    near = turned.groupBy("x").agg(F.min("y").alias("a"), F.collect_set("y").alias("ys"))
+    return near.select("a", F.explode(F.concat(F.array("x"), "ys")).alias("b")).filter("a <> b").distinct()
 
 
-def cell_links(nodes: DataFrame, most: int, bits: int = 31) -> DataFrame:
-    """Edges (a, b) that connect the fingerprints of ``nodes`` (fp long, words array<int>) that share an anchor of
+def cell_links(nodes: DataFrame, most: int, bits: int = 31, prints: Sequence[str] = ("fp",)) -> DataFrame:
+    """Edges (a, b) that connect the fingerprints of ``nodes`` (prints, words array<int>) that share an anchor of
     a word and differ in at most ``most`` bits. Anchors are the codewords of the Hamming code over ``bits`` bits,
-    perfect at 31 and shortened below.
+    perfect at 31 and shortened below. A fingerprint is one or more longs ``prints`` and is named by the first.
 
     Each anchor gives a spanning forest of its links, so that a group of n has at most n - 1 edges for each
-    anchor. Anchors with over ``CHUNK`` fingerprints are dealt out as pairs of chunks: those that a sample of
-    ``SAMPLE`` fingerprints shows never meet in one task, others are passed on by the task that counts them.
+    anchor, and the forests are contracted. Anchors with over ``CHUNK`` fingerprints are dealt out as pairs of
+    chunks: those that a sample of ``SAMPLE`` fingerprints shows never meet in one task, others are passed on by
+    the task that counts them.
     """
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rate = min(1.0, SAMPLE / max(1, nodes.count()))
-    some = nodes if rate == 1 else nodes.filter(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1_000_003)) < int(rate * 1_000_003) + 1)
-    known = _covered(some, bits).groupBy("cell").count().filter(F.col("count") > max(CHUNK * rate, 16)).select("cell")
+    some = nodes if rate == 1 else nodes.filter(F.pmod(F.xxhash64(prints[0], F.lit("sample")), F.lit(1_000_003)) < int(rate * 1_000_003) + 1)
+    known = _covered(some, bits, prints).groupBy("cell").count().filter(F.col("count") > max(CHUNK * rate, 16)).select("cell")
     known = written(known, "known")  # a sample and a least count bound its rows
-    copies = _covered(nodes, bits)
+    copies = _covered(nodes, bits, prints)
     hot = None
     if not known.isEmpty():
-        hot = copies.join(F.broadcast(known), "cell")
+        hot = copies.join(F.broadcast(known), "cell").select("cell", *prints)
         copies = copies.join(F.broadcast(known), "cell", "left_anti")
-    met = written(_met(copies.repartition(parts, "cell").sortWithinPartitions("cell", "fp"), most, CHUNK), "met")
-    edges, more = met.filter("cell is null").select("a", "b"), met.filter("cell is not null").select("cell", F.col("a").alias("fp"))
-    if hot is not None:
-        more = more.union(hot.select("cell", "fp"))
-    elif more.isEmpty():
-        return edges
-    more = written(more.distinct(), "more")
+    met = written(_met(copies.repartition(parts, "cell").sortWithinPartitions("cell", *prints), most, prints, CHUNK), "met")
+    edges, more = met.filter("cell is null").select("a", "b"), met.filter("cell is not null").select("cell", *prints)
+    if hot is None and more.isEmpty():
+        return _contracted(_contracted(edges))
+    more = written((more if hot is None else more.union(hot)).distinct(), "more")
     n = written(more.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")), "chunks")
-    mine = F.pmod(F.xxhash64("fp"), "n").cast("int")
+    mine = F.pmod(F.xxhash64(prints[0]), "n").cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(mine, j) * F.col("n") + F.greatest(mine, j))
-    dealt = more.join(n, "cell").select(F.col("cell").alias("hot"), "fp", F.explode(pairs).alias("pair")).withColumn("cell", F.xxhash64("hot", "pair"))
-    dealt = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "fp")
-    return edges.union(_met(dealt.select("cell", "fp"), most, None).select("a", "b"))
+    dealt = more.join(n, "cell").select(F.col("cell").alias("hot"), *prints, F.explode(pairs).alias("pair")).withColumn("cell", F.xxhash64("hot", "pair"))
+    dealt = dealt.repartition(parts, "cell").sortWithinPartitions("cell", *prints)
+    return _contracted(_contracted(edges.union(_met(dealt.select("cell", *prints), most, prints, None).select("a", "b"))))
 
 
 def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
