@@ -108,7 +108,7 @@ def _(spark, d):
     return lookups.read_coordinates(spark, path)
 
 
-@register("s11_literal_rows", "SELECT r_name, v.code, v.n FROM region JOIN (VALUES (0, 'AF', 1.5), (1, 'AM', 2.0), (3, 'EU', NULL)) v(k, code, n) ON r_regionkey = v.k")
+@register("s11_literal_rows", "SELECT r_name, v.code, CAST(v.n AS DOUBLE) AS n FROM region JOIN (VALUES (0, 'AF', 1.5), (1, 'AM', 2.0), (3, 'EU', NULL)) v(k, code, n) ON r_regionkey = v.k")
 def _(spark, d):
     rows = lookups.read_tsv(spark, "k\tcode\tn\n0\tAF\t1.5\n1\tAM\t2\n3\tEU\t", "k int, code string, n double")
     return read(spark, d, "region").join(rows, F.col("r_regionkey") == F.col("k")).select("r_name", "code", "n")
