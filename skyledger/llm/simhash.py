@@ -199,7 +199,7 @@ def _met(dealt: DataFrame, most: int, prints: Sequence[str], bound: int | None)
     return map_arrow(dealt, dict.fromkeys(("a", "b", "cell", *prints), "long"), rows)
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
+def contracted(edges: DataFrame) -> DataFrame:
     """Fewer edges that connect the same nodes: each node and its smaller neighbours are tied to the least of these.
 
     A node has at most as many smaller neighbours as its copies give it links, so the lists are bounded.
@@ -209,13 +209,13 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return near.select("a", F.explode(F.concat(F.array("x"), "ys")).alias("b")).filter("a <> b").distinct()
 
 
-def cell_links(nodes: DataFrame, most: int, bits: int = 31, prints: Sequence[str] = ("fp",)) -> DataFrame:
+def cell_links(nodes: DataFrame, most: int, bits: int = 31, prints: Sequence[str] = ("fp",), contract: bool = True) -> DataFrame:
     """Edges (a, b) that connect the fingerprints of ``nodes`` (prints, words array<int>) that share an anchor of
     a word and differ in at most ``most`` bits. Anchors are the codewords of the Hamming code over ``bits`` bits,
     perfect at 31 and shortened below. A fingerprint is one or more longs ``prints`` and is named by the first.
 
     Each anchor gives a spanning forest of its links, so that a group of n has at most n - 1 edges for each
-    anchor, and the forests are contracted. Anchors with over ``CHUNK`` fingerprints are dealt out as pairs of
+    anchor, and with ``contract`` the forests are contracted (not so that each edge can still be tested). Anchors with over ``CHUNK`` fingerprints are dealt out as pairs of
     chunks: those that a sample of ``SAMPLE`` fingerprints shows never meet in one task, others are passed on by
     the task that counts them.
     """
@@ -232,15 +232,16 @@ def cell_links(nodes: DataFrame, most: int, bits: int = 31, prints: Sequence[str
         copies = copies.join(F.broadcast(known), "cell", "left_anti")
     met = written(_met(copies.repartition(parts, "cell").sortWithinPartitions("cell", *prints), most, prints, CHUNK), "met")
     edges, more = met.filter("cell is null").select("a", "b"), met.filter("cell is not null").select("cell", *prints)
+    fewer = (lambda x: contracted(contracted(x))) if contract else (lambda x: x.distinct())
     if hot is None and more.isEmpty():
-        return _contracted(_contracted(edges))
+        return fewer(edges)
     more = written((more if hot is None else more.union(hot)).distinct(), "more")
     n = written(more.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")), "chunks")
     mine = F.pmod(F.xxhash64(prints[0]), "n").cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(mine, j) * F.col("n") + F.greatest(mine, j))
     dealt = more.join(n, "cell").select(F.col("cell").alias("hot"), *prints, F.explode(pairs).alias("pair")).withColumn("cell", F.xxhash64("hot", "pair"))
     dealt = dealt.repartition(parts, "cell").sortWithinPartitions("cell", *prints)
-    return _contracted(_contracted(edges.union(_met(dealt.select("cell", *prints), most, prints, None).select("a", "b"))))
+    return fewer(edges.union(_met(dealt.select("cell", *prints), most, prints, None).select("a", "b")))
 
 
 def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
