@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import decontaminate, langid, media_png, quality_cnn, secret_scan, sentencepiece_viterbi, simhash, substring_dedup, token_files, warc_index
+from skyledger.llm import decontaminate, langid, media_png, quality_cnn, secret_scan, sentencepiece_viterbi, simhash, substring_dedup, token_alignment, token_files, warc_index
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,8 +67,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs, langid.fit_languages(docs)).withColumnRenamed("id", "doc_id")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = token_alignment.align(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_simhash, op2_token_files, op3_quality, op4_media, op5_decontaminate, op6_secrets, op7_warc, op8_sentencepiece, op9_substring, op10_langid)
+    ops = (op1_simhash, op2_token_files, op3_quality, op4_media, op5_decontaminate, op6_secrets, op7_warc, op8_sentencepiece, op9_substring, op10_langid, op11_alignment)
     return {f.__name__: f for f in ops}
 
 
