@@ -43,10 +43,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Removes tables that ``written`` made and that nothing reads any more."""
-    for df in tables:
-        if path := _PATH_OF.pop(df, None):
+def discard(*tables: DataFrame | str) -> None:
+    """Removes tables that ``written`` made, or paths of ``new_path``, that nothing reads any more."""
+    for table in tables:
+        if path := table if isinstance(table, str) else _PATH_OF.pop(table, None):
             _remove(path, _PATHS.pop(path))
 
 
