@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import decontaminate, langid, media_png, quality_cnn, secret_scan, sentencepiece_viterbi, simhash, substring_dedup, token_alignment, token_files, warc_index
+from skyledger.llm import decontaminate, hard_negatives, langid, media_png, quality_cnn, secret_scan, sentencepiece_viterbi, simhash, substring_dedup, token_alignment, token_files, warc_index
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,8 +72,13 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label_col=label, scale=256.0, positives=5, negatives=5, low=80, high=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_simhash, op2_token_files, op3_quality, op4_media, op5_decontaminate, op6_secrets, op7_warc, op8_sentencepiece, op9_substring, op10_langid, op11_alignment)
+    ops = (op1_simhash, op2_token_files, op3_quality, op4_media, op5_decontaminate, op6_secrets, op7_warc, op8_sentencepiece, op9_substring, op10_langid, op11_alignment, op12_hard_negatives)
     return {f.__name__: f for f in ops}
 
 
@@ -115,6 +120,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+_HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN p USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": _DECONTAMINATE, "op7_warc": _WARC, "op9_substring": _SUBSTRING}
+    return {"op5_decontaminate": _DECONTAMINATE, "op7_warc": _WARC, "op9_substring": _SUBSTRING, "op12_hard_negatives": _HARD_NEGATIVES}
