@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import decontaminate, hard_negatives, langid, media_png, quality_cnn, secret_scan, sentencepiece_viterbi, simhash, substring_dedup, token_alignment, token_files, warc_index
+from skyledger.llm import decontaminate, hard_negatives, langid, main_text, media_png, quality_cnn, secret_scan, sentencepiece_viterbi, simhash, substring_dedup, token_alignment, token_files, warc_index
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,8 +77,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label_col=label, scale=256.0, positives=5, negatives=5, low=80, high=100)
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_simhash, op2_token_files, op3_quality, op4_media, op5_decontaminate, op6_secrets, op7_warc, op8_sentencepiece, op9_substring, op10_langid, op11_alignment, op12_hard_negatives)
+    ops = (op1_simhash, op2_token_files, op3_quality, op4_media, op5_decontaminate, op6_secrets, op7_warc, op8_sentencepiece, op9_substring, op10_langid, op11_alignment, op12_hard_negatives, op13_main_text)
     return {f.__name__: f for f in ops}
 
 
