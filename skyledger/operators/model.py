@@ -7,15 +7,16 @@ from dataclasses import dataclass, field
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger.operators import history, recent
+from skyledger.operators.boosting import Boosted, Settings, Tree, bin_edges, bin_rules, binned, fit, matrix, to_bins
 from skyledger.operators.demand import OUTPUTS as DEMAND
 from skyledger.operators.holidays import COLUMNS as HOLIDAY
 from skyledger.operators.joins import null_safe_left
-from skyledger.operators.metrics import ranking_by_group
+from skyledger.operators.metrics import average_precision, ranking_by_group
 from skyledger.operators.stats import concentration, qcut, quantiles
 from skyledger.operators.weather import DEST_COLUMNS, ORIGIN_COLUMNS
 from skyledger.sources.scratch import written
@@ -47,55 +48,64 @@ def category_levels(train: DataFrame, columns: Sequence[str]) -> dict[str, list[
     return {c: list(row[c]) for c in columns}
 
 
-def align_categories(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+def aligned(c: str, levels: Sequence[str]) -> Column:
     """Null becomes the missing mark, and a value that training never had the unseen mark."""
-    def aligned(c: str) -> Column:
-        value = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-        return F.when(value.isin(*levels[c]), value).otherwise(UNSEEN) if levels[c] else F.lit(UNSEEN)
+    value = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+    return F.when(value.isin(*levels), value).otherwise(UNSEEN) if levels else F.lit(UNSEEN)
+
 
-    return df.withColumns({c: aligned(c) for c in levels})
+def align_categories(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    """``df`` with each column of ``levels`` aligned to them."""
+    return df.withColumns({c: aligned(c, levels[c]) for c in levels})
 
 
 @dataclass
 class DelayModel:
-    """Fitted stages and what is needed to use them again; ``metadata`` is anything JSON can hold (metrics, thresholds, years)."""
+    """A fitted ensemble and what is needed to use it again; ``metadata`` is anything JSON can hold (metrics, thresholds, years)."""
 
     numeric: list[str]
     categorical: list[str]
     levels: dict[str, list[str]]
-    stages: object = field(repr=False)
+    boosted: Boosted = field(repr=False)
     metadata: dict = field(default_factory=dict)
 
     @property
     def features(self) -> list[str]:
         return [*self.numeric, *self.categorical]
 
+    @property
+    def trees(self) -> list[Tree]:
+        return self.boosted.trees
+
+    def binned(self, df: DataFrame, *keep: str) -> DataFrame:
+        """``keep`` and x, the bins of each row's features."""
+        return binned(_prepared(align_categories(df, self.levels), self.numeric), self.numeric, self.categorical, self.boosted.edges, self.levels, *keep)
+
     def score(self, df: DataFrame, out: str = "p_delay") -> DataFrame:
         """``df`` with the probability of a delay."""
-        from pyspark.ml.functions import vector_to_array
+        boosted, numbers = self.boosted, len(self.numeric)
+        rules = bin_rules(self.categorical, boosted.edges, self.levels)
 
-        made = self.stages.transform(_prepared(align_categories(df, self.levels), self.numeric))
-        return made.withColumn(out, vector_to_array("probability")[1]).select(*df.columns, out)
+        @F.arrow_udf("double")
+        def probability(*columns: pa.Array) -> pa.Array:
+            return pa.array(1 / (1 + np.exp(-boosted.margin(to_bins(columns[:numbers], columns[numbers:], *rules)))))
 
-    @property
-    def trees(self):
-        return self.stages.stages[-1]
+        own = {c: finite(c) for c in self.numeric} | {c: aligned(c, self.levels[c]) for c in self.categorical}
+        return df.withColumn(out, probability(*own.values()) if own else F.lit(1 / (1 + np.exp(-boosted.base))))
 
-    def importances(self) -> list[tuple[str, float]]:
-        return list(zip([*self.numeric, *(f"{c}_missing" for c in self.numeric), *self.categorical], self.trees.featureImportances.toArray().tolist()))
+    def importances(self, kind: str = "gain") -> list[tuple[str, float]]:
+        """Of each feature that splits: mean gain of its splits, their ``total_gain`` or number (``weight``)."""
+        return list(self.boosted.importances(kind).items())
 
     def save(self, path: str) -> None:
-        """A folder with the stages and one JSON object of feature lists, category levels and metadata."""
-        self.stages.write().overwrite().save(f"{path}/stages")
-        write_json(SparkSession.active(), {"numeric": self.numeric, "categorical": self.categorical, "levels": self.levels, "metadata": self.metadata}, f"{path}/model")
+        """One JSON object of the ensemble, feature lists, category levels and metadata."""
+        write_json(SparkSession.active(), {"numeric": self.numeric, "categorical": self.categorical, "levels": self.levels, "metadata": self.metadata, "boosted": self.boosted.as_dict()}, f"{path}/model")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> DelayModel:
         """The model as it was saved: same scores, features, levels and metadata."""
-        from pyspark.ml import PipelineModel
-
         kept = read_json(spark, f"{path}/model")
-        return cls(kept["numeric"], kept["categorical"], kept["levels"], PipelineModel.load(f"{path}/stages"), kept["metadata"])
+        return cls(kept["numeric"], kept["categorical"], kept["levels"], Boosted.of_dict(kept["boosted"]), kept["metadata"])
 
 
 def save_bundle(path: str, model: DelayModel, history_state: DataFrame | None = None, **tables: DataFrame) -> None:
@@ -117,174 +127,138 @@ def finite(c: str) -> Column:
 
 
 def _prepared(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """Finite numbers as doubles with a mark for missing ones, which become 0."""
-    return df.withColumns({f"__{c}": F.coalesce(finite(c), F.lit(0.0)) for c in numeric} | {f"__{c}_missing": (F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("double") for c in numeric})
+    """Finite numbers as doubles; NaN is missing, an infinite value raises."""
+    return df.withColumns({c: finite(c) for c in numeric})
 
 
-def fit_delay_model(train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], rounds: int = 50, depth: int = 5, rate: float = 0.05, min_rows: int = 20, subsample: float = 0.85, validation: str | None = None, patience: int = 10, seed: int = 42) -> DelayModel:
-    """Gradient-boosted trees on Spark.
+def fit_delay_model(train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], rounds: int = 50, depth: int = 8, rate: float = 0.05, min_hessian: float = 20.0, alpha: float = 0.05, lambda_: float = 5.0, bins: int = 256, one_hot: int = 16,
+                    subsample: float = 0.85, columns: float = 0.85, validation: str | None = None, patience: int = 100, seed: int = 42, edges: Sequence[Sequence[float]] | None = None, base: float | None = None) -> DelayModel:
+    """Boosted trees on gradient histograms; what the terms mean is in ``boosting``.
 
-    With ``validation`` (a boolean column) only the other rows are trained on, and the number of rounds is the
-    first of greatest average precision on the marked rows before ``patience`` rounds bring no better one; the
-    metadata hold it and the values of all rounds. Without, all ``rounds`` are built, as in a final fit with a
-    frozen number of rounds.
+    With ``validation`` (a boolean column) only the other rows are trained on, and rounds end ``patience`` rounds
+    after the first of greatest average precision on the marked rows; the trees up to that round stay, no
+    round behind the end is fitted, and the metadata hold the number of rounds and the values. Without, all ``rounds`` are built, as in a final fit with a
+    frozen number of rounds. ``edges`` gives the bins of numbers, by default about equal numbers of rows.
     """
-    if validation is None:
-        return _boosted(train, target, numeric, categorical, rounds, depth, rate, min_rows, subsample, seed)
-    fit_on = train.filter(~F.col(validation))
-    model = _boosted(fit_on, target, numeric, categorical, rounds, depth, rate, min_rows, subsample, seed)
-    values = [r.average_precision or 0.0 for r in round_precision(model, train.filter(validation), target).orderBy("round").collect()]
-    best = 0
-    for i, v in enumerate(values):
-        if i - best > patience:
-            break
-        best = i if v > values[best] else best
-    if best + 1 < rounds:  # the same seed gives the same first trees
-        model = _boosted(fit_on, target, numeric, categorical, best + 1, depth, rate, min_rows, subsample, seed)
-    model.metadata |= {"best_rounds": best + 1, "average_precision_by_round": values}
-    return model
-
-
-def _boosted(train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], rounds: int, depth: int, rate: float, min_rows: int, subsample: float, seed: int) -> DelayModel:
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-
-    levels = category_levels(train, categorical) if categorical else {}
-    stages = [StringIndexer(inputCols=list(categorical), outputCols=[f"__{c}" for c in categorical], handleInvalid="keep")] if categorical else []
-    stages.append(VectorAssembler(inputCols=[*(f"__{c}" for c in numeric), *(f"__{c}_missing" for c in numeric), *(f"__{c}" for c in categorical)], outputCol="__features"))
-    bins = max([32, *(len(v) + 2 for v in levels.values())])
-    trees = GBTClassifier(featuresCol="__features", labelCol="__label", maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=min_rows, subsamplingRate=subsample, featureSubsetStrategy=str(subsample), maxBins=bins, seed=seed)
-    made = _prepared(align_categories(train, levels), numeric).withColumn("__label", F.col(target).cast("double"))
-    return DelayModel(list(numeric), list(categorical), levels, Pipeline(stages=[*stages, trees]).fit(made))
+    fit_on = train if validation is None else train.filter(~F.col(validation))
+    levels = category_levels(fit_on, categorical) if categorical else {}
 
+    def ready(rows: DataFrame) -> DataFrame:
+        return _prepared(align_categories(rows, levels), numeric)
 
-def round_precision(model: DelayModel, rows: DataFrame, target: str) -> DataFrame:
-    """(round, average_precision) of the first 1, 2, ... trees on ``rows``. Rows are summed by round and score before they are ranked."""
-    forest, weights = _forest(model), np.array(model.trees.treeWeights)
-    made = _features(model, rows).select("x", F.col(target).cast("int").alias("label"))
-
-    def staged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, 1))
-            margin = np.zeros(len(x))
-            for i, (tree, w) in enumerate(zip(forest, weights)):
-                margin = margin + w * tree.predict(x)
-                yield pd.DataFrame({"round": i, "score": margin, "label": pdf["label"].to_numpy()})
-
-    scored = made.mapInPandas(staged, "round int, score double, label int")
-    return ranking_by_group(scored, "label", "score", ["round"]).select("round", "average_precision")
+    own = ready(fit_on)
+    edges = bin_edges(own, numeric, bins) if edges is None else edges
+    settings = Settings(rounds, depth, rate, min_hessian, alpha, lambda_, one_hot, subsample, columns, seed)
+    later = None if validation is None else ready(train.filter(F.col(validation)))
+    boosted, values = fit(own, target, numeric, categorical, levels, edges, settings, base, later, patience, lambda scored: average_precision(scored, "y", "margin").first()[0] or 0.0)
+    metadata = {} if validation is None else {"best_rounds": len(boosted.trees), "average_precision_by_round": values}
+    return DelayModel(list(numeric), list(categorical), levels, boosted, metadata)
 
 
-def importance_table(spark, model: DelayModel) -> DataFrame:
-    """(feature, gain, rank, share, cum_share): the trees' importances, largest first."""
-    return concentration(spark.createDataFrame(model.importances(), "feature string, gain double"), "feature", "gain")
+def round_precision(model: DelayModel, rows: DataFrame, target: str) -> DataFrame:
+    """(round, average_precision) of the first 1, 2, ... trees on ``rows``. Rows are summed by round and score before they are ranked."""
+    boosted, width = model.boosted, len(model.features)
+    made = model.binned(rows.withColumn("__label", F.col(target).cast("int")), "__label")
 
+    def staged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, margin = matrix(b.column("x"), width), np.full(b.num_rows, boosted.base)
+            for i, tree in enumerate(boosted.trees):
+                margin = margin + tree.predict(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(margin), b.column("__label")], names=["round", "score", "label"])
 
-@dataclass
-class _Tree:
-    """A fitted tree as its leaves: for each leaf its value, the share of training rows that reach it, and the features
-    on its path; for each of these the share of rows that pass its splits, and the splits as (feature, rule, left)."""
-
-    value: list[float]
-    cover: list[float]
-    paths: list[dict[int, tuple[float, list[tuple[float | frozenset, bool]]]]]
-
-    def passes(self, leaf: int, feature: int, x: np.ndarray) -> np.ndarray:
-        """Which rows pass the feature's splits on the way to a leaf."""
-        out = np.ones(len(x), bool)
-        for rule, left in self.paths[leaf][feature][1]:
-            goes_left = np.isin(x[:, feature], list(rule)) if isinstance(rule, frozenset) else x[:, feature] <= rule
-            out &= goes_left == left
-        return out
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
-        for leaf, value in enumerate(self.value):
-            at = np.ones(len(x), bool)
-            for feature in self.paths[leaf]:
-                at &= self.passes(leaf, feature, x)
-            out[at] = value
-        return out
-
-
-def _leaves(root) -> _Tree:
-    """The leaves of one of Spark's trees."""
-    tree, open_ = _Tree([], [], []), [(root, {}, 1.0)]
-    while open_:
-        node, path, cover = open_.pop()
-        if node.numDescendants() == 0:
-            tree.value.append(node.prediction())
-            tree.cover.append(cover)
-            tree.paths.append(path)
-            continue
-        split, rows = node.split(), float(node.impurityStats().count())
-        feature = split.featureIndex()
-        rule = frozenset(split.leftCategories()) if "Categorical" in split.getClass().getName() else float(split.threshold())
-        for child, left in ((node.leftChild(), True), (node.rightChild(), False)):
-            share = float(child.impurityStats().count()) / rows
-            before, splits = path.get(feature, (1.0, []))
-            open_.append((child, path | {feature: (before * share, [*splits, (rule, left)])}, cover * share))
-    return tree
+    scored = made.mapInArrow(staged, "round int, score double, label int")
+    return ranking_by_group(scored, "label", "score", ["round"]).select("round", "average_precision")
 
 
-def _forest(model: DelayModel) -> list[_Tree]:
-    return [_leaves(t.rootNode()) for t in model.trees._java_obj.trees()]
+def importance_table(spark, model: DelayModel, kind: str = "gain") -> DataFrame:
+    """(feature, gain, rank, share, cum_share): the importances of the features that split, largest first."""
+    return concentration(spark.createDataFrame(model.importances(kind), "feature string, gain double"), "feature", "gain")
 
 
-def _features(model: DelayModel, rows: DataFrame) -> DataFrame:
-    """``rows`` through the model, with ``x``, its features as an array, and ``margin``, its raw score."""
-    from pyspark.ml.functions import vector_to_array
+def player_weights(share: np.ndarray, passes: np.ndarray) -> np.ndarray:
+    """(patterns, players): what each player adds to a leaf of value 1. ``share`` of the training weight passes a player's
+    splits, ``passes`` (patterns x players) says who passes.
 
-    made = model.stages.transform(_prepared(align_categories(rows, model.levels), model.numeric))
-    return made.withColumns({"x": vector_to_array("__features"), "margin": vector_to_array("rawPrediction")[1]})
+    The product of (share + pass t) over all players is made once; a player's own factor is divided out of it, from
+    the highest power down where it passes and from the lowest up where it does not: squares of the number of players.
+    """
+    n = len(share)
+    product = np.zeros((len(passes), n + 1))
+    product[:, 0] = 1.0
+    for j in range(n):
+        grown = product * share[j]
+        grown[:, 1:] += product[:, :-1] * passes[:, j, None]
+        product = grown
+    size = np.array([factorial(k) * factorial(n - 1 - k) / factorial(n) for k in range(n)])
+    out = np.empty((len(passes), n))
+    for i in range(n):
+        top, total = np.zeros(len(passes)), np.zeros(len(passes))
+        for k in range(n - 1, -1, -1):
+            top = np.where(passes[:, i], product[:, k + 1] - share[i] * top, product[:, k] / share[i])
+            total += size[k] * top
+        out[:, i] = (passes[:, i] - share[i]) * total
+    return out
 
 
-def attributions(tree: _Tree, x: np.ndarray, features: int) -> tuple[np.ndarray, float]:
-    """Exact path-dependent Shapley values of one tree for all rows of ``x``, and the tree's expected value.
+def attributions(tree: Tree, x: np.ndarray, features: int) -> tuple[np.ndarray, float]:
+    """Exact path-dependent Shapley values of one tree for all rows of binned ``x``, and the tree's expected value.
 
-    For each leaf the features on its path are players: a feature that is in the coalition passes its
-    splits or not, one that is not passes them by the share of training rows. Each leaf's value is shared
-    by the weights of coalition sizes, summed through a polynomial in the number of players.
+    The features on a leaf's path are its players: one in the coalition passes its splits or not, one that is not passes them by
+    the share of training weight (hessians). Which players a row passes is a number; the weights are made once
+    for each such number and looked up.
     """
-    out = np.zeros((len(x), features))
-    for leaf, (value, path) in enumerate(zip(tree.value, tree.paths)):
-        players = list(path)
-        n = len(players)
-        share = [path[f][0] for f in players]
-        passed = np.stack([tree.passes(leaf, f, x) for f in players]).astype(float) if n else np.zeros((0, len(x)))
-        for i, f in enumerate(players):
-            sums = [np.ones(len(x))]
-            for j in range(n):
-                if j != i:
-                    low = [s * share[j] for s in sums] + [0.0]
-                    high = [0.0] + [s * passed[j] for s in sums]
-                    sums = [a + b for a, b in zip(low, high)]
-            weight = sum(c * factorial(k) * factorial(n - 1 - k) / factorial(n) for k, c in enumerate(sums))
-            out[:, f] += weight * (passed[i] - share[i]) * value
-    return out, float(np.dot(tree.value, tree.cover))
+    out, expected = np.zeros((len(x), features)), 0.0
+    stack: list[tuple[int, dict[int, tuple[float, np.ndarray]], float]] = [(0, {}, 1.0)]
+    while stack:
+        node, path, cover = stack.pop()
+        if tree.left[node] < 0:
+            value = tree.value[node]
+            expected += value * cover
+            if not path or not value:
+                continue
+            share = np.array([s for s, _ in path.values()])
+            code = np.zeros(len(x), np.int64)
+            for j, (_, passed) in enumerate(path.values()):
+                code |= passed.astype(np.int64) << j
+            known, at = (np.arange(1 << len(path)), code) if 1 << len(path) <= len(x) else np.unique(code, return_inverse=True)
+            table = value * player_weights(share, (known[:, None] >> np.arange(len(path)) & 1).astype(bool))
+            out[:, list(path)] += table[at]
+            continue
+        left, f = tree.goes_left(node, x), tree.feature[node]
+        for child, passed in ((tree.left[node], left), (tree.right[node], ~left)):
+            share = tree.hessian[child] / tree.hessian[node]
+            before = path.get(f)
+            mine = (share, passed) if before is None else (before[0] * share, before[1] & passed)
+            stack.append((child, path | {f: mine}, cover * share))
+    return out, expected
 
 
 def tree_attributions(model: DelayModel, sample: DataFrame, key: str) -> DataFrame:
     """(key, feature, contribution) of each row of ``sample``, with feature ``__base`` for the expected
     score and ``__margin`` for the model's own raw score: contributions and base add up to the margin."""
-    forest, weights, names = _forest(model), list(model.trees.treeWeights), [n for n, _ in model.importances()]
-    rows = _features(model, sample).select(F.col(key).cast("string").alias("key"), "x", "margin")
-
-    def explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at : at + 2000]
-                x = np.stack(part["x"].to_numpy())
-                sums, base = np.zeros((len(x), len(names))), 0.0
-                for tree, w in zip(forest, weights):
-                    one, expected = attributions(tree, x, len(names))
-                    sums += w * one
-                    base += w * expected
-                every = np.column_stack((2 * sums, np.full(len(x), 2 * base), 2 * part["margin"].to_numpy()))
-                yield pd.DataFrame({"key": np.repeat(part["key"].to_numpy(), len(names) + 2), "feature": [*names, "__base", "__margin"] * len(x), "contribution": every.ravel()})
-
-    return rows.mapInPandas(explained, "key string, feature string, contribution double")
+    boosted, names = model.boosted, model.features
+    rows = model.binned(sample.withColumn("__key", F.col(key).cast("string")), "__key")
+
+    def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = matrix(b.column("x"), len(names))
+            sums, base = np.zeros((len(x), len(names))), boosted.base
+            for tree in boosted.trees:
+                one, expected = attributions(tree, x, len(names))
+                sums += one
+                base += expected
+            every = np.column_stack((sums, np.full(len(x), base), boosted.margin(x)))
+            label = pa.DictionaryArray.from_arrays(pa.array(np.tile(np.arange(len(names) + 2, dtype=np.int32), len(x))), pa.array([*names, "__base", "__margin"])).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("__key").take(pa.array(np.repeat(np.arange(len(x)), len(names) + 2))), label, pa.array(every.ravel())], names=["key", "feature", "contribution"])
+
+    return rows.mapInArrow(explained, "key string, feature string, contribution double")
+
+
+def additivity(found: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """One row (rows, off): the rows of ``tree_attributions``, and those whose contributions and base miss the margin by over ``tolerance``."""
+    part = F.when(F.col("feature") == "__margin", -F.col("contribution")).otherwise(F.col("contribution"))
+    return found.groupBy("key").agg(F.sum(part).alias("gap")).agg(F.count("*").alias("rows"), F.count_if(F.abs("gap") > tolerance).alias("off"))
 
 
 def numeric_direction(found: DataFrame, values: DataFrame, key: str, feature: str, bins: int = 12, discrete: bool = False) -> DataFrame:

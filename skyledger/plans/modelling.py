@@ -106,6 +106,57 @@ def _fitted(spark, d):
     return rows, model.fit_delay_model(rows.filter("d < date'2024-01-20'"), "late", ["value", "hour"], ["grp"], rounds=5, depth=3, rate=0.1)
 
 
+#: Bins of the stumps: minutes in steps of 5, hours each for itself. A value is missing in every eleventh event.
+_EDGES = [[float(x) for x in range(5, 100, 5)], [float(x) for x in range(23)]]
+_ALPHA, _LAMBDA, _LEAST, _RATE = 0.05, 5.0, 2.0, 0.3
+
+
+def _stumps(spark, d, rounds):
+    """Trees of one split on fixed bins, from all rows and features, which SQL can state."""
+    rows = _frame(spark, d).withColumn("late", F.greatest("late", ((F.col("value") > 40) & (F.col("hour") < 9)).cast("int")))
+    rows = rows.withColumn("value", F.when(F.col("id") % 11 != 0, F.col("value")))
+    fitted = model.fit_delay_model(rows.filter("d < date'2024-01-20'"), "late", ["value", "hour"], [], rounds=rounds, depth=1, rate=_RATE, min_hessian=_LEAST, alpha=_ALPHA, lambda_=_LAMBDA, subsample=1.0, columns=1.0, edges=_EDGES, base=0.0)
+    return rows, fitted
+
+
+def _stumps_sql(rounds):
+    worth = "power(greatest(abs({0}) - %s, 0), 2) / ({1} + %s)" % (_ALPHA, _LAMBDA)
+    step = "-%s * sign({0}) * greatest(abs({0}) - %s, 0) / ({1} + %s)" % (_RATE, _ALPHA, _LAMBDA)
+    parts = [f"""m0 AS (SELECT event_id AS id, CAST(ts AS DATE) < DATE '2024-01-20' AS train, CAST(event_type = 'error' OR (value > 40 AND hour(ts) < 9) AS INTEGER) AS y, 0.0::DOUBLE AS margin,
+      [CASE WHEN event_id % 11 = 0 OR value IS NULL THEN 0 ELSE 1 + len(list_filter({_EDGES[0]}, lambda e: e < value)) END, 1 + hour(ts)] AS x FROM events)"""]
+    for k in range(1, rounds + 1):
+        parts.append(f"""c{k} AS (SELECT f, x[f] AS b, sum(1 / (1 + exp(-margin)) - y) AS g, sum(1 / (1 + exp(-margin)) * (1 - 1 / (1 + exp(-margin)))) AS h, count(*) AS n FROM m{k - 1}, (SELECT unnest([1, 2]) AS f) WHERE train GROUP BY ALL),
+      t{k} AS (SELECT sum(g) AS g, sum(h) AS h, CAST(sum(n) AS BIGINT) AS n FROM c{k} WHERE f = 1),
+      o{k} AS (SELECT f, cut, side, coalesce(sum(c.g), 0) AS gl, coalesce(sum(c.h), 0) AS hl, coalesce(sum(c.n), 0) AS nl FROM (SELECT 1 AS f, unnest(range(1, {len(_EDGES[0]) + 2})) AS cut UNION ALL SELECT 2, unnest(range(1, {len(_EDGES[1]) + 2}))) p,
+        (SELECT unnest([0, 1]) AS side) s LEFT JOIN c{k} c ON c.f = p.f AND (c.b BETWEEN 1 AND p.cut OR c.b = 0 AND s.side = 1) GROUP BY p.f, cut, side),
+      s{k} AS (SELECT * FROM (SELECT o.*, t.g - gl AS gr, t.h - hl AS hr, {worth.format('gl', 'hl')} + {worth.format('(t.g - gl)', '(t.h - hl)')} - {worth.format('t.g', 't.h')} AS gain FROM o{k} o, t{k} t
+        WHERE hl >= {_LEAST} AND t.h - hl >= {_LEAST} AND nl > 0 AND t.n - nl > 0) WHERE gain > 1e-6 ORDER BY round(gain, 9) DESC, f, cut, side LIMIT 1),
+      m{k} AS (SELECT m.* EXCLUDE (margin), margin + CASE WHEN f IS NULL THEN {step.format('t.g', 't.h')} WHEN x[f] BETWEEN 1 AND cut OR x[f] = 0 AND side = 1 THEN {step.format('gl', 'hl')} ELSE {step.format('gr', 'hr')} END AS margin FROM m{k - 1} m CROSS JOIN t{k} t LEFT JOIN s{k} ON true)""".replace("SELECT f, cut, side, coalesce", "SELECT p.f, cut, side, coalesce"))
+    return "WITH " + ", ".join(parts)
+
+
+@register("m3_first_split", _stumps_sql(1) + f" SELECT CASE f WHEN 1 THEN 'value' ELSE 'hour' END AS feature, CAST(cut - 1 AS INTEGER) AS bin, side = 1 AS missing_left, round(gain, 4) AS gain, CAST(nl AS BIGINT) AS rows_left, round(-{_RATE} * sign(gl) * greatest(abs(gl) - {_ALPHA}, 0) / (hl + {_LAMBDA}), 6) AS left_value, round(-{_RATE} * sign(gr) * greatest(abs(gr) - {_ALPHA}, 0) / (hr + {_LAMBDA}), 6) AS right_value FROM s1")
+def _(spark, d):
+    """The split of greatest gain under L1 and L2 terms, with the direction of missing values."""
+    fitted = _stumps(spark, d, 1)[1]
+    t = fitted.trees[0]
+    row = (fitted.features[t.feature[0]], t.bin[0], t.missing_left[0], round(t.gain[0], 4), t.rows[t.left[0]], round(t.value[t.left[0]], 6), round(t.value[t.right[0]], 6))
+    return spark.createDataFrame([row], "feature string, bin int, missing_left boolean, gain double, rows_left long, left_value double, right_value double")
+
+
+@register("m3_m4_stump_scores", _stumps_sql(4) + " SELECT id, y AS late, round(1 / (1 + exp(-margin)), 5) AS p_delay FROM m4 WHERE NOT train")
+def _(spark, d):
+    """Four rounds, frozen: every later row's probability."""
+    rows, fitted = _stumps(spark, d, 4)
+    return rounded(fitted.score(rows.filter("d >= date'2024-01-20'")).select("id", "late", "p_delay"), 5)
+
+
+@register("m16_total_gain", _stumps_sql(3) + """, g AS (SELECT f, gain FROM s1 UNION ALL SELECT f, gain FROM s2 UNION ALL SELECT f, gain FROM s3), i AS (SELECT CASE f WHEN 1 THEN 'value' ELSE 'hour' END AS feature, sum(gain) AS gain FROM g GROUP BY f)
+  SELECT feature, round(gain, 4) AS gain, CAST(row_number() OVER w AS INTEGER) AS rank, round(gain / sum(gain) OVER (), 4) AS share, round(sum(gain) OVER (w ROWS UNBOUNDED PRECEDING) / sum(gain) OVER (), 4) AS cum_share FROM i WINDOW w AS (ORDER BY gain DESC, feature)""")
+def _(spark, d):
+    return rounded(model.importance_table(spark, _stumps(spark, d, 3)[1], "total_gain"), 4)
+
+
 @register("m3_m4_gbt_scores")
 def _(spark, d):
     rows, fitted = _fitted(spark, d)
@@ -123,6 +174,13 @@ def _(spark, d):
     return model.tree_attributions(fitted, rows, "id")
 
 
+@register("m17_additivity", "SELECT count(*) AS rows, 0::BIGINT AS off FROM events")
+def _(spark, d):
+    """Contributions and base of every row add up to its margin."""
+    rows, fitted = _fitted(spark, d)
+    return model.additivity(model.tree_attributions(fitted, rows, "id"))
+
+
 @register("t1_streaming_daily_counts", "SELECT CAST(ts AS DATE) AS date, CAST(sum((event_type = 'error')::INT) AS BIGINT) AS p, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, d):
     from skyledger.streaming.recent import daily_counts

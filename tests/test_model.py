@@ -29,32 +29,34 @@ def rows(spark):
 
 @pytest.fixture(scope="module")
 def fitted(rows):
-    return model.fit_delay_model(rows, "y", ["x", "z"], ["c"], rounds=3, depth=3, min_rows=5)
+    return model.fit_delay_model(rows, "y", ["x", "z"], ["c"], rounds=3, depth=3, rate=0.3, min_hessian=1.0, lambda_=1.0)
 
 
-def test_attributions_are_shapley_values(fitted, rows):
-    """Every tree and feature against the mean over all orders of joining a coalition."""
-    made = model._features(fitted, rows.limit(12)).select("x").collect()
-    x = np.array([r.x for r in made])
+def _worth(tree, row, coalition, node=0):
+    """Expected value of a tree when only the coalition's features are known, by walking it."""
+    if tree.left[node] < 0:
+        return tree.value[node]
+    if tree.feature[node] in coalition:
+        return _worth(tree, row, coalition, tree.left[node] if tree.goes_left(node, row[None])[0] else tree.right[node])
+    share = tree.hessian[tree.left[node]] / tree.hessian[node]
+    return share * _worth(tree, row, coalition, tree.left[node]) + (1 - share) * _worth(tree, row, coalition, tree.right[node])
+
+
+def test_attributions_are_shapley_values(rows):
+    """Every tree and feature against the mean over all orders of joining a coalition, at depth 4."""
+    wide = rows.withColumns({"w": F.col("x") * F.col("x"), "v": F.col("id") % 7})
+    fitted = model.fit_delay_model(wide, "y", ["x", "z", "w", "v"], ["c"], rounds=4, depth=4, rate=0.3, min_hessian=0.5, lambda_=0.5, alpha=0.0)
+    x = np.array([r.x for r in fitted.binned(wide.limit(12)).collect()])
     features = x.shape[1]
-    for tree in model._forest(fitted):
+    assert max(len(t.left) for t in fitted.trees) > 20
+    for tree in fitted.trees:
         found, expected = model.attributions(tree, x, features)
         for row, mine in zip(x, found):
-
-            def worth(coalition):
-                total = 0.0
-                for leaf, value in enumerate(tree.value):
-                    chance = 1.0
-                    for f, (share, _) in tree.paths[leaf].items():
-                        chance *= float(tree.passes(leaf, f, row[None])[0]) if f in coalition else share
-                    total += value * chance
-                return total
-
-            assert worth(()) == pytest.approx(expected)
+            assert _worth(tree, row, ()) == pytest.approx(expected)
             for f in range(features):
                 others = [g for g in range(features) if g != f]
                 want = sum(
-                    math.factorial(n) * math.factorial(features - n - 1) / math.factorial(features) * (worth((*some, f)) - worth(some)) for n in range(features) for some in itertools.combinations(others, n)
+                    math.factorial(n) * math.factorial(features - n - 1) / math.factorial(features) * (_worth(tree, row, (*some, f)) - _worth(tree, row, some)) for n in range(features) for some in itertools.combinations(others, n)
                 )
                 assert mine[f] == pytest.approx(want, abs=1e-9)
         assert found.sum(axis=1) + expected == pytest.approx(tree.predict(x))
@@ -77,11 +79,14 @@ def test_directions(fitted, rows):
 
 
 def test_rounds_stop_at_the_best_average_precision(rows):
-    fit = model.fit_delay_model(rows, "y", ["x", "z"], ["c"], rounds=6, depth=3, min_rows=5, validation="later", patience=2)
+    fit = model.fit_delay_model(rows, "y", ["x", "z"], ["c"], rounds=30, depth=3, rate=0.5, min_hessian=1.0, lambda_=0.1, validation="later", patience=2)
     values, best = fit.metadata["average_precision_by_round"], fit.metadata["best_rounds"]
-    assert len(values) == 6 and len(fit.trees.treeWeights) == best and values[best - 1] == max(values[: best + 2])
+    assert len(values) == best + 2 < 30  # no round behind the end was fitted
+    assert len(fit.trees) == best and values[best - 1] == max(values)
     later = fit.score(rows.filter("later"), "p")
     assert metrics.average_precision(later, "y", "p").first()[0] == pytest.approx(values[best - 1])
+    by_round = [r.average_precision for r in model.round_precision(fit, rows.filter("later"), "y").orderBy("round").collect()]
+    assert by_round == pytest.approx(values[:best])
 
 
 def test_saved_models_score_the_same(spark, fitted, rows, tmp_path):

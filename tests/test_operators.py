@@ -266,7 +266,7 @@ def test_metrics_by_hand(spark):
 def test_tree_attributions_add_up(spark):
     rng = random.Random(5)
     rows = spark.createDataFrame([(i, rng.random(), rng.choice(["a", "b", None]), None if i % 7 == 0 else rng.random()) for i in range(400)], "id int, x double, c string, z double").withColumn("y", ((F.col("x") > 0.5) | (F.col("c") == "b")).cast("int")).fillna(0, ["y"])
-    fitted = model.fit_delay_model(rows, "y", ["x", "z"], ["c"], rounds=4, depth=3, min_rows=5)
+    fitted = model.fit_delay_model(rows, "y", ["x", "z"], ["c"], rounds=4, depth=3, rate=0.3, min_hessian=1.0)
     found = model.tree_attributions(fitted, rows.limit(25), "id").collect()
     keys = {r.key for r in found}
     for k in keys:

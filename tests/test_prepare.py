@@ -56,7 +56,7 @@ def test_pair(spark, hourly, lookup):
     april = first.filter("FlightDate = '2024-04-20'").first()
     march = train.filter("model_eligible and month(FlightDate) = 3").agg(F.count("*").alias("n")).first().n
     assert math.expm1(april.hist_carrier_log_count) < march + 1e-3
-    fitted = model.fit_delay_model(first, "ArrDel15", ["Distance", "hist_carrier_delay_rate", "origin_visibility_sm"], ["Origin", "origin_flight_category"], rounds=2, depth=2, min_rows=2)
+    fitted = model.fit_delay_model(first, "ArrDel15", ["Distance", "hist_carrier_delay_rate", "origin_visibility_sm"], ["Origin", "origin_flight_category"], rounds=2, depth=2, min_hessian=0.5)
     assert fitted.score(second).filter("p_delay between 0 and 1").count() == second.count()
 
 
