@@ -12,7 +12,7 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _star(edges: DataFrame, large: bool, step: int) -> tuple[DataFrame, DataFrame]:
+def star(edges: DataFrame, large: bool, step: int) -> tuple[DataFrame, DataFrame]:
     """One contraction, and the table it reads: every node's least neighbour is aggregated first and written,
     so that the join back has two plain shuffled sides and a hub's rows can be split."""
     near = _both(edges) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -37,9 +37,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not count or (count, total) == before:
             break
         before, step, old = (count, total), step + 2, edges
-        large, least = _star(edges, True, step)
+        large, least = star(edges, True, step)
         middle = written(large, f"large{step}")
-        small, lower = _star(middle, False, step + 1)
+        small, lower = star(middle, False, step + 1)
         edges = written(small, f"small{step}")
         discard(old, least, middle, lower)  # what is written since reads none of them
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

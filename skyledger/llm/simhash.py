@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.llm.common import map_arrow, picked, portions, text_bytes, unused_name, written
-from skyledger.llm.components import connected_components
+from skyledger.llm.common import discard, map_arrow, picked, portions, text_bytes, unused_name, written
+from skyledger.llm.components import connected_components, star
 
 #: Fingerprints of one anchor that a task compares at once; fuller anchors are dealt out in pairs of chunks.
 CHUNK = 2048
@@ -98,28 +98,30 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int64)
 
 
-def _forest(bits: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Edges (first numbers of rows) of a spanning forest of the graph that links rows at ``most`` or fewer bits."""
-    left = bits
+def _forest(bits: np.ndarray, group: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Edges (first numbers of rows) of a spanning forest of the graph that links rows at ``most`` or fewer bits, but for
+    those within a ``group`` (0: none), which are tied already."""
+    left = np.arange(len(bits))
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            hit = _apart(left, x) <= most
+            hit = _apart(bits[left], bits[x]) <= most
             if hit.any():
                 found = left[hit]
                 left = left[~hit]
-                yield from ((int(x[0]), int(y)) for y in found[:, 0])
+                yield from ((int(bits[x, 0]), int(bits[y, 0])) for y in found if not group[x] or group[x] != group[y])
                 queue.extend(found)
 
 
-def _links(key: np.ndarray, bits: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Links within runs of equal keys: short runs by shifts, each run's links reduced to a forest."""
+def _links(key: np.ndarray, bits: np.ndarray, most: int, group: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Links within runs of equal keys: short runs by shifts, each run's links reduced to a forest; none within a ``group``."""
+    group = np.zeros(len(key), np.int64) if group is None else group
     cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(cut, len(key)))
     run = np.repeat(np.arange(len(cut)), size)
     small = np.flatnonzero(size[run] <= SMALL)
-    r, f = run[small], bits[small]
+    r, f, g = run[small], bits[small], group[small]
     parent: dict[tuple[int, int], int] = {}
 
     def top(k: int, x: int) -> int:
@@ -136,9 +138,10 @@ def _links(key: np.ndarray, bits: np.ndarray, most: int) -> Iterator[tuple[int,
             p, q = top(k, x), top(k, y)
             if p != q:
                 parent[k, max(p, q)] = min(p, q)
-                yield x, y
+                if not g[i] or g[i] != g[i + d]:
+                    yield x, y
     for i in np.flatnonzero(size > SMALL).tolist():
-        yield from _forest(bits[cut[i] : cut[i] + size[i]], most)
+        yield from _forest(bits[cut[i] : cut[i] + size[i]], group[cut[i] : cut[i] + size[i]], most)
 
 
 def _covered(nodes: DataFrame, bits: int, prints: Sequence[str]) -> DataFrame:
@@ -156,7 +159,7 @@ def _covered(nodes: DataFrame, bits: int, prints: Sequence[str]) -> DataFrame:
     return map_arrow(nodes.select(*prints, "words"), {"cell": "long"} | dict.fromkeys(prints, "long"), rows)
 
 
-def _met(dealt: DataFrame, most: int, prints: Sequence[str], bound: int | None) -> DataFrame:
+def _met(dealt: DataFrame, most: int, prints: Sequence[str], bound: int | None, grouped: bool) -> DataFrame:
     """(a, b, cell, prints) of rows (cell, prints) in the order of cells: a link, or, for the rows of a cell of over
     ``bound`` rows, the cell and the fingerprint, for another pass."""
 
@@ -190,7 +193,7 @@ def _met(dealt: DataFrame, most: int, prints: Sequence[str], bound: int | None)
                     yield out([], k[over], f[over])
                     k, f = k[~over], f[~over]
             if len(k):
-                yield out(list(_links(k, f, most)))
+                yield out(list(_links(k, f[:, :-1], most, f[:, -1]) if grouped else _links(k, f, most)))
             cell, fp = cell[done:], fp[done:]
             if bound is not None and len(cell) > bound:
                 yield out([], cell, fp)
@@ -200,19 +203,20 @@ def _met(dealt: DataFrame, most: int, prints: Sequence[str], bound: int | None)
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """Fewer edges that connect the same nodes: each node and its smaller neighbours are tied to the least of these.
-
-    A node has at most as many smaller neighbours as its copies give it links, so the lists are bounded.
-    """
-    turned = edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).filter("x <> y")
-    near = turned.groupBy("x").agg(F.min("y").alias("a"), F.collect_set("y").alias("ys"))
-    return near.select("a", F.explode(F.concat(F.array("x"), "ys")).alias("b")).filter("a <> b").distinct()
+    """Fewer edges that connect the same nodes: each node and its smaller neighbours are tied to the least of these, which is
+    an aggregate that is joined back, so that no row holds a node's neighbours."""
+    edges = written(edges.filter("a <> b").distinct(), "links")
+    fewer, least = star(edges, False, 0)
+    fewer = written(fewer, "contracted")
+    discard(edges, least)
+    return fewer
 
 
-def cell_links(nodes: DataFrame, most: int, bits: int = 31, prints: Sequence[str] = ("fp",), contract: bool = True) -> DataFrame:
+def cell_links(nodes: DataFrame, most: int, bits: int = 31, prints: Sequence[str] = ("fp",), contract: bool = True, grouped: bool = False) -> DataFrame:
     """Edges (a, b) that connect the fingerprints of ``nodes`` (prints, words array<int>) that share an anchor of
     a word and differ in at most ``most`` bits. Anchors are the codewords of the Hamming code over ``bits`` bits,
-    perfect at 31 and shortened below. A fingerprint is one or more longs ``prints`` and is named by the first.
+    perfect at 31 and shortened below. A fingerprint is one or more longs ``prints`` and is named by the first; if ``grouped``,
+    the last is no part of it but a group of fingerprints that are tied already (0: none), within which no edge is given.
 
     Each anchor gives a spanning forest of its links, so that a group of n has at most n - 1 edges for each
     anchor, and with ``contract`` the forests are contracted (not so that each edge can still be tested). Anchors with over ``CHUNK`` fingerprints are dealt out as pairs of
@@ -230,18 +234,22 @@ def cell_links(nodes: DataFrame, most: int, bits: int = 31, prints: Sequence[str
     if not known.isEmpty():
         hot = copies.join(F.broadcast(known), "cell").select("cell", *prints)
         copies = copies.join(F.broadcast(known), "cell", "left_anti")
-    met = written(_met(copies.repartition(parts, "cell").sortWithinPartitions("cell", *prints), most, prints, CHUNK), "met")
+    met = written(_met(copies.repartition(parts, "cell").sortWithinPartitions("cell", *prints), most, prints, CHUNK, grouped), "met")
     edges, more = met.filter("cell is null").select("a", "b"), met.filter("cell is not null").select("cell", *prints)
-    fewer = (lambda x: contracted(contracted(x))) if contract else (lambda x: x.distinct())
-    if hot is None and more.isEmpty():
-        return fewer(edges)
-    more = written((more if hot is None else more.union(hot)).distinct(), "more")
-    n = written(more.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")), "chunks")
-    mine = F.pmod(F.xxhash64(prints[0]), "n").cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(mine, j) * F.col("n") + F.greatest(mine, j))
-    dealt = more.join(n, "cell").select(F.col("cell").alias("hot"), *prints, F.explode(pairs).alias("pair")).withColumn("cell", F.xxhash64("hot", "pair"))
-    dealt = dealt.repartition(parts, "cell").sortWithinPartitions("cell", *prints)
-    return fewer(edges.union(_met(dealt.select("cell", *prints), most, prints, None).select("a", "b")))
+    if hot is not None or not more.isEmpty():
+        more = written((more if hot is None else more.union(hot)).distinct(), "more")
+        n = written(more.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")), "chunks")
+        mine = F.pmod(F.xxhash64(prints[0]), "n").cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(mine, j) * F.col("n") + F.greatest(mine, j))
+        dealt = more.join(n, "cell").select(F.col("cell").alias("hot"), *prints, F.explode(pairs).alias("pair")).withColumn("cell", F.xxhash64("hot", "pair"))
+        dealt = dealt.repartition(parts, "cell").sortWithinPartitions("cell", *prints)
+        edges = edges.union(_met(dealt.select("cell", *prints), most, prints, None, grouped).select("a", "b"))
+        out = contracted(edges) if contract else written(edges.distinct(), "edges")
+        discard(known, met, more, n)
+        return out
+    out = contracted(edges) if contract else written(edges.distinct(), "edges")
+    discard(known, met)
+    return out
 
 
 def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:

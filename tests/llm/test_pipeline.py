@@ -39,7 +39,7 @@ def test_stages_take_effect(make_docs, spark, sf):
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_sql_gives_the_same(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     found = queries.queries()[name](spark, sf)
     want = con.execute(queries.oracle_sql()[name])
@@ -50,4 +50,4 @@ def test_sql_gives_the_same(spark, sf, name):
 
 def test_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
