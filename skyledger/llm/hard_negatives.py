@@ -351,7 +351,8 @@ def mine(rows: DataFrame, anchors: Column, id_col: str = "vec_id", label_col: st
             _through(search, held, chunk_path, width, second)
         return pa.table(search.found())
 
-    found = groups.select("part", "id", "label", "vector").groupBy("part").applyInArrow(searched, "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number of its own, so that small groups are not put into one task
+    found = groups.select("part", "id", "label", "vector").repartition(parts, "part").groupBy("part").applyInArrow(searched, "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     out = written(found, "negatives")
     discard(taking, dealt_out, chunk_path, outline_path)
     return out
