@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skyledger.functions.stats import ratio
 from skyledger.operators.joins import null_safe_left
 from skyledger.operators.windows import running_totals
+from skyledger.sources.scratch import written
 
 
 def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -46,13 +47,15 @@ def qcut(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:
 def robust_z(df: DataFrame, value: str, by: Sequence[str], out: str = "robust_z") -> DataFrame:
     """0.6745 (x - median) / MAD within groups; null where the MAD is 0 or missing.
 
-    Medians are aggregated per group and joined back, so a group's rows are not held together.
+    Medians of all groups are selected at once in ranges of (group, value), first those of the values, then those of the
+    distances from them, and joined back: no task holds a group's values.
     """
-    middle = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("__median"))
-    both = null_safe_left(df, middle, by)
-    spread = both.groupBy(*by).agg(F.percentile(F.abs(F.col(value) - F.col("__median")), 0.5).alias("__mad"))
+    known = written(df, "values")
+    middle = quantiles(known, value, [0.5], by).toDF(*by, "__median")
+    apart = written(null_safe_left(known, middle, by).withColumn("__apart", F.abs(F.col(value) - F.col("__median"))), "apart")
+    spread = quantiles(apart, "__apart", [0.5], by).toDF(*by, "__mad")
     score = 0.6745 * (F.col(value) - F.col("__median")) / F.nullif(F.col("__mad"), F.lit(0.0))
-    return null_safe_left(both, spread, by).withColumn(out, score).drop("__median", "__mad")
+    return null_safe_left(apart, spread, by).withColumn(out, score).drop("__median", "__mad", "__apart")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

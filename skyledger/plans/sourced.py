@@ -36,7 +36,7 @@ def _typed(spark, d):
 
 def _months(spark, d):
     path = new_path(spark, "months")
-    flights.write_months(_typed(spark, d).filter("Year between 2024 and 2026"), path)
+    flights.write_months(_typed(spark, d), path)
     return path
 
 
@@ -46,10 +46,10 @@ def _(spark, d):
     return rows.groupBy("Year", "Month").agg(F.count("*").alias("rows"), F.count("ArrDelay").alias("known"), F.sum("ArrDelay").cast("double").alias("minutes"), F.lit(len(rows.columns)).alias("columns"))
 
 
-@register("s5_s15_months_added", _RAW + "SELECT y AS part_year, m AS part_month, count(*) AS rows FROM r WHERE y BETWEEN 2024 AND 2026 GROUP BY ALL")
+@register("s5_s15_months_added", _RAW + "SELECT y AS part_year, m AS part_month, count(*) AS rows FROM r GROUP BY ALL")
 def _(spark, d):
     """The second write brings all months: those of the first stay as they are, others are added."""
-    path, rows = new_path(spark, "months"), _typed(spark, d).filter("Year between 2024 and 2026")
+    path, rows = new_path(spark, "months"), _typed(spark, d)
     flights.write_months(rows.filter("Month <= 6 or Year = 2025"), path)
     flights.write_months(rows, path)
     return spark.read.parquet(path).groupBy("part_year", "part_month").agg(F.count("*").alias("rows"))
@@ -74,7 +74,7 @@ def _(spark, d):
     return _split(spark, d, "train", True)
 
 
-@register("s17_q1_inventory", _RAW + "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(min(y * 12 + m) AS INTEGER) AS first_month, CAST(max(y * 12 + m) AS INTEGER) AS last_month, true AS sizes_known FROM r WHERE y BETWEEN 2024 AND 2026")
+@register("s17_q1_inventory", _RAW + "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(min(y * 12 + m) AS INTEGER) AS first_month, CAST(max(y * 12 + m) AS INTEGER) AS last_month, true AS sizes_known FROM r")
 def _(spark, d):
     path = _months(spark, d)
     files = flights.inventory(spark, path).agg(F.sum("rows").alias("rows"), F.min(F.col("bytes") > 0).alias("sizes_known"))

@@ -9,8 +9,13 @@ from skyledger.functions import times as T
 from skyledger.functions import weather as WX
 from skyledger.operators import demand, history, holidays, joins, recent, reports, weather, windows
 from skyledger.operators.asof import asof_join
+from skyledger.operators.clocks import add_converted, transition_rows, transitions
+from skyledger.operators.history import RateSpec
 from skyledger.plans.registry import register
 from skyledger.plans.tables import FLIGHTS, OBSERVATIONS, OUTCOME_DAYS, flights, observations, outcome_days, read, rounded
+from skyledger.sources.scratch import new_path
+from skyledger.streaming.history import daily_group_counts, month_closings, with_closed_rates
+from skyledger.streaming.snapshots import streaming_snapshots
 
 _FIRST, _LAST = "2024-01-01 00:00:00", "2024-01-30 23:00:00"
 _GRID = f"g AS (SELECT airport, unnest(generate_series(TIMESTAMP '{_FIRST}', TIMESTAMP '{_LAST}', INTERVAL 1 HOUR)) AS hour FROM (SELECT DISTINCT airport FROM ob))"
@@ -25,13 +30,7 @@ def _hourly(spark, d):
     return rows.withColumn("flight_category", WX.flight_category(F.col("ceiling_ft"), F.col("visibility_sm")))
 
 
-@register("j1_d14_asof_snapshot", f"WITH {_SNAP} SELECT airport, hour, t AS observation_time_local, gust AS wind_gust_kt, round(epoch_us(hour - t) / 6e7, 4) AS age, CAST(t IS NULL AS INTEGER) AS missing FROM h WHERE t IS NOT NULL OR hour < TIMESTAMP '2024-01-03 00:00:00'".replace("epoch_us(hour - t)", "(epoch_us(hour) - epoch_us(t))"))
-def _(spark, d):
-    rows = _hourly(spark, d).filter("observation_time_local is not null or hour < timestamp_ntz'2024-01-03 00:00:00'")
-    return rows.select("airport", "hour", "observation_time_local", "wind_gust_kt", F.round("snapshot_age_minutes", 4).alias("age"), F.col("weather_observation_missing").cast("int").alias("missing"))
-
-
-@register("j1_d14_asof_snapshot_all", f"WITH {_SNAP} SELECT airport, hour, t AS observation_time_local, gust AS wind_gust_kt, round(epoch_us(hour - t) / 6e7, 4) AS age, CAST(t IS NULL AS INTEGER) AS missing FROM h".replace("epoch_us(hour - t)", "(epoch_us(hour) - epoch_us(t))"))
+@register("j1_d14_asof_snapshot", f"WITH {_SNAP} SELECT airport, hour, t AS observation_time_local, gust AS wind_gust_kt, round(epoch_us(hour - t) / 6e7, 4) AS age, CAST(t IS NULL AS INTEGER) AS missing FROM h".replace("epoch_us(hour - t)", "(epoch_us(hour) - epoch_us(t))"))
 def _(spark, d):
     rows = _hourly(spark, d)
     return rows.select("airport", "hour", "observation_time_local", "wind_gust_kt", F.round("snapshot_age_minutes", 4).alias("age"), F.col("weather_observation_missing").cast("int").alias("missing"))
@@ -67,11 +66,11 @@ def _(spark, d):
 def _history_sql(first: str, last: str) -> str:
     frame = f"OVER (PARTITION BY airport ORDER BY hour ROWS BETWEEN {first} AND {last})"
     return f"""WITH {_SNAP}, k AS (SELECT *, CASE WHEN cat IS NOT NULL THEN CAST(cat IN ('IFR', 'LIFR') AS INTEGER) END AS low, CASE WHEN t IS NOT NULL AND t = lag(t) OVER (PARTITION BY airport ORDER BY hour) THEN NULL ELSE rain END AS fresh FROM h),
-  r AS (SELECT airport, hour, CAST(sum(low) {frame} AS INTEGER) AS ifr_hours, round(sum(fresh) {frame}, 4) AS precip_3h, max(gust) {frame} AS max_gust_3h FROM k) SELECT * FROM r WHERE max_gust_3h IS NOT NULL"""
+  r AS (SELECT airport, hour, CAST(sum(low) {frame} AS INTEGER) AS ifr_hours, round(sum(fresh) {frame}, 4) AS precip_3h, max(gust) {frame} AS max_gust_3h FROM k) SELECT * FROM r"""
 
 
 def _history(spark, d, include_current):
-    rows = weather.add_history(_hourly(spark, d), include_current=include_current, checked=False).filter("max_gust_3h is not null")
+    rows = weather.add_history(_hourly(spark, d), include_current=include_current, checked=False)
     return rows.select("airport", "hour", F.col("ifr_hours_past3").cast("int").alias("ifr_hours"), F.round("precip_3h", 4).alias("precip_3h"), "max_gust_3h")
 
 
@@ -85,21 +84,6 @@ def _(spark, d):
     return _history(spark, d, False)
 
 
-def _whole_history(spark, d, include_current):
-    rows = weather.add_history(_hourly(spark, d), include_current=include_current, checked=False)
-    return rows.select("airport", "hour", F.col("ifr_hours_past3").cast("int").alias("ifr_hours"), F.round("precip_3h", 4).alias("precip_3h"), "max_gust_3h")
-
-
-@register("w3_d7_rolling_history_all", _history_sql("2 PRECEDING", "CURRENT ROW").removesuffix(" WHERE max_gust_3h IS NOT NULL"))
-def _(spark, d):
-    return _whole_history(spark, d, True)
-
-
-@register("w4_d7_rolling_history_exclusive_all", _history_sql("3 PRECEDING", "1 PRECEDING").removesuffix(" WHERE max_gust_3h IS NOT NULL"))
-def _(spark, d):
-    return _whole_history(spark, d, False)
-
-
 @register("w2_hourly_steps", f"WITH {OBSERVATIONS}, {_GRID}, s AS (SELECT (epoch_us(hour) - epoch_us(lag(hour) OVER (PARTITION BY airport ORDER BY hour))) / 6e7 AS step FROM g) SELECT count(*) AS rows, count(step) AS steps, count(*) FILTER (step <> 60) AS bad FROM s")
 def _(spark, d):
     grid = joins.hours_of(observations(spark, d).select("airport").distinct().withColumns({"a": F.lit(_FIRST).cast("timestamp_ntz"), "z": F.lit(_LAST).cast("timestamp_ntz")}), ["airport"], "a", "z")
@@ -204,16 +188,6 @@ def _(spark, d):
 
 
 @register("d11_schedule_demand", """WITH e AS (SELECT event_id AS id, CAST(user_id % 12 AS INTEGER) AS o, CAST((user_id + event_id) % 12 AS INTEGER) AS t, date_trunc('hour', ts) AS h, date_trunc('hour', ts - INTERVAL 1 HOUR) AS dh, ts - INTERVAL 1 HOUR AS dt, CAST(event_id % 240 AS INTEGER) AS mins FROM events),
-  dep AS (SELECT o, h, count(*) AS n FROM e GROUP BY ALL), arr AS (SELECT t AS port, date_trunc('hour', dt + to_minutes(mins)) AS a, count(*) AS n FROM e GROUP BY ALL)
-  SELECT id, CAST(dep.n AS INTEGER) AS origin_sched_deps_this_hour, CAST(coalesce(x.n, 0) AS INTEGER) AS origin_sched_arrivals_this_hour, CAST(dep.n + coalesce(x.n, 0) AS INTEGER) AS origin_sched_ops_this_hour, CAST(coalesce(y.n, 0) AS INTEGER) AS dest_sched_arrivals_this_hour
-  FROM e JOIN dep ON e.o = dep.o AND e.h = dep.h LEFT JOIN arr x ON x.port = e.o AND x.a = e.h LEFT JOIN arr y ON y.port = e.t AND y.a = e.dh WHERE id % 3 <> 0""")
-def _(spark, d):
-    hour = F.make_dt_interval(F.lit(0), F.lit(1))
-    e = read(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 12).cast("int").alias("Origin"), ((F.col("user_id") + F.col("event_id")) % 12).cast("int").alias("Dest"), T.floor_hour(F.col("ts")).alias("dep_hour_local"), T.floor_hour(F.col("ts") - hour).alias("dest_departure_hour_local"), (F.col("ts") - hour).alias("dest_departure_time_local"), (F.col("event_id") % 240).cast("int").alias("CRSElapsedTime"))
-    return demand.add_schedule_demand(e, e.filter("id % 3 <> 0")).select("id", *demand.OUTPUTS)
-
-
-@register("d11_schedule_demand_all", """WITH e AS (SELECT event_id AS id, CAST(user_id % 12 AS INTEGER) AS o, CAST((user_id + event_id) % 12 AS INTEGER) AS t, date_trunc('hour', ts) AS h, date_trunc('hour', ts - INTERVAL 1 HOUR) AS dh, ts - INTERVAL 1 HOUR AS dt, CAST(event_id % 240 AS INTEGER) AS mins FROM events),
   dep AS (SELECT o, h, count(*) AS n FROM e GROUP BY ALL), arr AS (SELECT t AS port, date_trunc('hour', dt + to_minutes(mins)) AS a, count(*) AS n FROM e GROUP BY ALL)
   SELECT id, CAST(dep.n AS INTEGER) AS origin_sched_deps_this_hour, CAST(coalesce(x.n, 0) AS INTEGER) AS origin_sched_arrivals_this_hour, CAST(dep.n + coalesce(x.n, 0) AS INTEGER) AS origin_sched_ops_this_hour, CAST(coalesce(y.n, 0) AS INTEGER) AS dest_sched_arrivals_this_hour
   FROM e JOIN dep ON e.o = dep.o AND e.h = dep.h LEFT JOIN arr x ON x.port = e.o AND x.a = e.h LEFT JOIN arr y ON y.port = e.t AND y.a = e.dh""")
@@ -292,9 +266,76 @@ def _(spark, d):
     return joins.dense(rows.select("carrier").distinct(), joins.calendar_of(rows, "d")).join(counts, ["carrier", "d"], "left").fillna(0, ["n"])
 
 
-@register("f3_destination_clock")
-def _(spark, d):
-    """Rows only: the SQL engine here has no zone tables; a test holds it against Python's zone data."""
-    zones = F.array(*map(F.lit, ("America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/Phoenix")))
+_ZONES = ("America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/Phoenix")
+_CLOCKS = f"""WITH z AS (SELECT {list(_ZONES)} AS names), t(zone, a, b, off) AS (VALUES {", ".join(f"('{z}', TIMESTAMP '{a}', TIMESTAMP '{b}', to_minutes({int(o)}))" for z, a, b, o in transition_rows(_ZONES, 2023, 2025))}),
+  e AS (SELECT event_id, ts + to_days(CAST(event_id % 400 AS INTEGER)) AS ts, names[event_id % 5 + 1] AS src, names[user_id % 5 + 1] AS dst FROM events, z),
+  u AS (SELECT event_id, any_value(e.ts) AS ts, any_value(dst) AS dst, count(*) FILTER (ts >= a + off AND ts < b + off) AS shown, min(ts - off) FILTER (ts >= a + off AND ts < b + off) AS utc, min(a) FILTER (a + off > ts) AS gap_end FROM e JOIN t ON t.zone = e.src GROUP BY event_id),
+  v AS (SELECT event_id, ts, dst, CASE shown WHEN 1 THEN utc WHEN 0 THEN gap_end END AS utc FROM u)
+  SELECT event_id, v.ts, utc + off AS there FROM v LEFT JOIN t ON t.zone = dst AND utc >= a AND utc < b"""
+
+
+def _clocks(spark, d):
+    """Events moved over a year and more, so that both changes of the clock are among them."""
+    zones, moved = F.array(*map(F.lit, _ZONES)), F.make_dt_interval((F.col("event_id") % 400).cast("int"))
     e = read(spark, d, "events")
-    return e.select("event_id", "ts", T.to_zone(F.col("ts"), F.element_at(zones, (F.col("event_id") % 5 + 1).cast("int")), F.element_at(zones, (F.col("user_id") % 5 + 1).cast("int"))).alias("there"))
+    return e.select("event_id", (F.col("ts").cast("timestamp_ntz") + moved).alias("ts"), F.element_at(zones, (F.col("event_id") % 5 + 1).cast("int")).alias("src"), F.element_at(zones, (F.col("user_id") % 5 + 1).cast("int")).alias("dst"))
+
+
+@register("f3_destination_clock", _CLOCKS)
+def _(spark, d):
+    """Spark's own zone rules against the table of intervals, which SQL can read."""
+    return _clocks(spark, d).select("event_id", "ts", T.to_zone(F.col("ts"), F.col("src"), F.col("dst")).alias("there"))
+
+
+@register("f3_x5_d10_clock_by_intervals", _CLOCKS)
+def _(spark, d):
+    rows = add_converted(_clocks(spark, d), "ts", "src", "dst", transitions(spark, _ZONES, 2023, 2025), "there")
+    return rows.select("event_id", "ts", "there")
+
+
+def _streamed(spark, made, name):
+    """What a stream writes that takes all files that are there and ends."""
+    path, state = new_path(spark, name), new_path(spark, f"{name}_state")
+    made.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def _as_stream(spark, table, *parts):
+    """``table`` in files, one for each of ``parts``, which a stream takes one by one."""
+    path = new_path(spark, "incoming")
+    for part in parts:
+        table.filter(part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@register("t3_streaming_snapshots", f"WITH {_SNAP} SELECT airport, hour, t AS observation_time_local, gust AS wind_gust_kt, round((epoch_us(hour) - epoch_us(t)) / 6e7, 4) AS age, CAST(t IS NULL AS INTEGER) AS missing FROM h WHERE hour <= TIMESTAMP '2024-01-28 00:00:00'")
+def _(spark, d):
+    """The grid of ``j1_d14_asof_snapshot`` from a stream, up to the last hour that its watermark is sure to pass."""
+    rows = observations(spark, d)
+    at = F.col("observation_time_local")
+    stream = _as_stream(spark, rows, at < "2024-01-11", (at >= "2024-01-11") & (at < "2024-01-21"), at >= "2024-01-21")
+    out = _streamed(spark, streaming_snapshots(stream, _FIRST, "2024-01-28 00:00:00"), "snapshots")
+    return out.select("airport", "hour", "observation_time_local", "wind_gust_kt", F.round("snapshot_age_minutes", 4).alias("age"), F.col("weather_observation_missing").cast("int").alias("missing"))
+
+
+_CLOSED = RateSpec("pair", ("carrier", "origin"), 50)
+
+
+@register("t2_streaming_expanding_rates", f"""WITH {FLIGHTS}, r AS (SELECT carrier, origin, date_trunc('month', d)::DATE AS m, sum(late) AS p, count(*) AS n FROM f GROUP BY ALL), a AS (SELECT m, sum(p) AS p, sum(n) AS n FROM r GROUP BY m),
+  pr AS (SELECT x.m, coalesce(sum(y.p) / sum(y.n), 0.2) AS prior FROM a x LEFT JOIN a y ON y.m < x.m GROUP BY x.m), g AS (SELECT x.carrier, x.origin, x.m, coalesce(sum(y.p), 0) AS p, coalesce(sum(y.n), 0) AS n FROM r x LEFT JOIN r y ON y.carrier = x.carrier AND y.origin = x.origin AND y.m < x.m GROUP BY ALL)
+  SELECT carrier, origin, m AS month, round(((p + 50 * prior) / (n + 50))::FLOAT::DOUBLE, 4) AS rate, CAST(n AS BIGINT) AS past FROM g JOIN pr USING (m)""")
+def _(spark, d):
+    """Rates of groups and months from two streams: counts by day, then closings of months. Two rows far ahead, one
+    for each stream, end the input: the watermark passes all months."""
+    rows = flights(spark, d).select(F.col("d").alias("FlightDate"), F.col("late").alias("ArrDel15"), "carrier", "origin")
+    last = rows.agg(F.lit("2100-01-01").cast("date").alias("FlightDate"), F.lit(0).alias("ArrDel15"), F.lit("").alias("carrier"), F.min("origin").alias("origin"))
+    ended = rows.unionByName(last).unionByName(last.withColumn("FlightDate", F.lit("2200-01-01").cast("date")))
+    day = F.col("FlightDate")
+    stream = _as_stream(spark, ended, day < "1997-01-01", (day >= "1997-01-01") & (day < "2100-01-01"), day == "2100-01-01", day == "2200-01-01")
+    daily = _streamed(spark, daily_group_counts(stream, [_CLOSED]), "daily")
+    days = spark.readStream.schema(daily.schema).parquet(daily.inputFiles()[0].rsplit("/", 1)[0])
+    closed = _streamed(spark, month_closings(days), "closed")
+    months = rows.select("carrier", "origin", T.month_start(F.col("FlightDate")).cast("date").alias("FlightDate")).distinct()
+    rate, log_count = _CLOSED.outputs
+    out = with_closed_rates(months, closed, [_CLOSED])
+    return out.select("carrier", "origin", F.col("FlightDate").alias("month"), F.round(F.col(rate).cast("double"), 4).alias("rate"), F.round(F.expm1(F.col(log_count).cast("double"))).cast("long").alias("past"))

@@ -59,7 +59,8 @@ def month_closings(daily: DataFrame, lateness: str = "0 days") -> DataFrame:
         state.update((p, n, rest, *([open_[m][i] for m in rest] for i in range(3))))
         if rest:
             state.setTimeoutTimestamp(max(open_[rest[0]][0] * 86_400_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["spec", "key", "day", "p", "n"])
+        if out:
+            yield pd.DataFrame(out, columns=["spec", "key", "day", "p", "n"])
 
     kept = "p long, n long, months array<long>, nexts array<long>, ps array<long>, ns array<long>"
     made = rows.withWatermark("__ts", lateness).groupBy("spec", "key").applyInPandasWithState(step, "spec string, key string, day long, p long, n long", kept, "append", GroupStateTimeout.EventTimeTimeout)

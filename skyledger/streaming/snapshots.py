@@ -61,8 +61,8 @@ def streaming_snapshots(stream: DataFrame, first: str, last: str | None = None,
         state.update((pickle.dumps((hour, held)),))
         if end is None or hour <= end:
             state.setTimeoutTimestamp(max(hour // 1000 + 1, passed // 1000 + 1))
-        made = pd.DataFrame(found, columns=[f.name for f in out])
-        yield made.astype({"__hour": "Int64", "__at": "Int64"})
+        if found:
+            yield pd.DataFrame(found, columns=[f.name for f in out]).astype({"__hour": "Int64", "__at": "Int64"})
 
     made = rows.groupBy("airport").applyInPandasWithState(step, out, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
     local = lambda c: F.timestamp_add("MICROSECOND", F.col(c), F.lit("1970-01-01").cast("timestamp_ntz"))
