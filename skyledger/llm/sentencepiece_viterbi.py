@@ -1,15 +1,14 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The best path maximises the sum of the model's piece scores. Characters of a text arrive one by one. No piece
-is longer than ``longest`` characters, so only that many boundaries can still be extended; whenever the
-window holds twice as many, ids are committed up to the boundary where the backpointers of all live ones meet.
+The best path maximises the sum of the model's piece scores. The characters of a whole text go through one stream. No piece
+is longer than ``longest`` characters, so the stream keeps the boundaries that a piece can still start at and no others; the
+path to each is a chain of steps, a repeated piece one step with a count, so that a long run of spaces, in which paths stay
+apart, takes no more than its window. Whenever all live paths meet in one boundary, ids up to it are committed.
 
-Where no piece of a model crosses the start of a run of spaces or a line break, all paths meet before every
-one of them: there the window holds one boundary and everything before is committed. What lies between two
-such points, a run of spaces with the word after it, then has the same ids wherever it stands, and a worker
-remembers those of short stretches instead of searching them again; a long stretch is committed as it is read.
-Within a run all pieces of spaces are in the search. Under a model with pieces across such points whole texts
-are streamed and nothing is remembered.
+Before a run of spaces and a line break the stream looks whether it has just converged there, with nothing kept from before.
+Then what follows has the ids that it had when the stream last came from such a boundary over the same characters to the next one:
+a worker remembers these stretches where they are short, and the stream steps over them. Nothing is assumed about
+where paths meet: under a model whose pieces cross words the stream meets in fewer places and remembers longer stretches.
 
 The pieces and scores come from the model file. For a model trained by merges the scores are ranks:
 the result is the best path under these scores, which is not the order in which merges apply.
@@ -18,6 +17,7 @@ the result is the best path under these scores, which is not the order in which
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,10 +28,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from skyledger.llm.common import Recent, ids_by_word, map_arrow, picked, portions, text_bytes
+from skyledger.llm.common import map_arrow, picked, portions, text_bytes
 
-#: New stretches for which a worker remembers stretches, and the longest that it remembers, in characters.
-REMEMBERED, SHORT = 100_000, 64
+#: Stretches that a worker remembers (up to twice as many), and the longest that it remembers, in characters.
+REMEMBERED, SHORT = 150_000, 64
+#: A candidate for a boundary to remember is before a run of spaces or a line break.
+_PART = re.compile(" +[^ \n]*|\n[^ \n]*|[^ \n]+")
 
 
 class Model:
@@ -65,8 +67,7 @@ class Model:
         #: A node is (children by character, id of the piece that ends here or -1, its cost).
         self.root: tuple = ({}, -1, 0.0)
         self.longest = max((len(piece) for piece, _, _ in found), default=1)
-        #: Whether all paths meet before every run of spaces and every line break.
-        self.meets = not any(" " in piece.lstrip(" ") or "\n" in piece[1:] for piece, _, _ in found)
+        self.lengths = {i: len(piece) for piece, i, _ in found}
         for piece, i, cost in sorted(found, key=lambda x: -len(x[0])):  # a prefix is made before it becomes a piece
             *path, last = piece
             children = self.root[0]
@@ -75,7 +76,15 @@ class Model:
             children[last] = (children.get(last, ({},))[0], i, cost)
         #: What one byte costs where no piece has the character.
         self.byte_cost = max([1.0, *(cost for _, _, cost in found if cost < 1e8)]) + 10.0
-        self.known = Recent(REMEMBERED, SHORT)
+        #: Packed ids of stretches between two boundaries at which the stream had converged, by the character that follows.
+        self.young: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}, "": {}}
+        self.old: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}, "": {}}
+        self.commits = 0  # boundaries at which the stream converged and that were used
+
+    def remember(self, after: str, stretch: str, ids: bytes) -> None:
+        if sum(map(len, self.young.values())) >= REMEMBERED:
+            self.young, self.old = {c: {} for c in self.young}, self.young
+        self.young[after][stretch] = ids
 
     def fallback(self, c: str) -> tuple[int, ...]:
         return tuple(self.byte_id[b] for b in c.encode())
@@ -84,81 +93,127 @@ class Model:
 class Stream:
     """Viterbi over characters that arrive in any portions; ``ids`` grows as paths converge.
 
-    ``cost`` and ``back`` stand for the boundaries since the last commit: the least cost of a path up to
-    each, and the boundary before it with the ids between.
+    ``cost`` and ``back`` stand for the boundaries from ``first`` on at which a live piece may start: the least cost of a path up
+    to each, and its last step (boundary, step before, ids, how often the ids are repeated).
     """
 
     def __init__(self, model: Model) -> None:
         self.model, self.ids = model, []
+        self.restart()
+
+    def restart(self) -> None:
+        """From a boundary at which nothing is kept from before."""
+        self.first = 0
         self.cost: list[float] = [0.0]
-        self.back: list[tuple] = [()]
+        self.back: list[tuple] = [(0, None, None, 0)]
         self.open: list[tuple[int, tuple]] = []  # (start, node) of pieces that may still grow
-        self.full = 2 * model.longest  # boundaries at which paths are next tried for a common one
+        self.full = 2 * self.model.longest  # boundary at which paths are next tried for a common one
 
     def feed(self, text: str) -> None:
         root = self.model.root
-        cost, back, open_ = self.cost, self.back, self.open
+        cost, back, open_, base = self.cost, self.back, self.open, self.first
         first = root[0]
         for c in text:
-            start = len(cost) - 1
-            best, path, grown = math.inf, None, []
+            start = base + len(cost) - 1
+            best, from_, ids, grown = math.inf, -1, None, []
             for s, node in open_:
                 node = node[0].get(c)
                 if node is not None:
-                    if node[1] >= 0 and cost[s] + node[2] < best:  # of equal costs the longest last piece stays
-                        best, path = cost[s] + node[2], (s, node[1])
+                    if node[1] >= 0 and cost[s - base] + node[2] < best:  # of equal costs the longest last piece stays
+                        best, from_, ids = cost[s - base] + node[2], s, node[1]
                     if node[0]:
                         grown.append((s, node))
             node = first.get(c)
             if node is not None and node[1] >= 0:
-                if cost[start] + node[2] < best:
-                    best, path = cost[start] + node[2], (start, node[1])
+                if cost[-1] + node[2] < best:
+                    best, from_, ids = cost[-1] + node[2], start, node[1]
             else:
                 bytes_ = self.model.fallback(c)
-                if cost[start] + self.model.byte_cost * len(bytes_) < best:
-                    best, path = cost[start] + self.model.byte_cost * len(bytes_), (start, bytes_)
+                if cost[-1] + self.model.byte_cost * len(bytes_) < best:
+                    best, from_, ids = cost[-1] + self.model.byte_cost * len(bytes_), start, bytes_
             if node is not None and node[0]:
                 grown.append((start, node))
+            step = back[from_ - base]
+            # a repeated piece is one step: the boundary between is no place to meet, but the chain stays short
+            back.append((start + 1, step[1], ids, step[3] + 1) if step[2] == ids and type(ids) is int else (start + 1, step, ids, 1))
             cost.append(best)
-            back.append(path)
             open_ = grown
             if start >= self.full:
                 self.open = open_
                 self._converge()
-                cost, back, open_ = self.cost, self.back, self.open
+                cost, back, open_, base = self.cost, self.back, self.open, self.first
         self.open = open_
 
-    def _commit(self, to: int) -> None:
-        """Ids up to boundary ``to`` are final; what is kept starts there."""
-        out, at = [], to
-        while at:
-            at, ids = self.back[at]
-            out.append(ids)
-        for ids in reversed(out):
+    def met(self, boundary: int) -> bool:
+        """Whether all live paths go through ``boundary``, the one before the last character."""
+        return self.first <= boundary and all(s >= boundary for s, _ in self.open) and (len(self.cost) < 2 or self._goes_through(self.back[-1], boundary))
+
+    def _goes_through(self, step: tuple, boundary: int) -> bool:
+        if step[3] > 1:  # the last of a repeated piece may start there
+            return boundary == step[0] - self._length(step[2])
+        return step[1] is not None and step[1][0] == boundary
+
+    def _length(self, ids: int) -> int:
+        return self.model.lengths[ids]
+
+    def take(self, boundary: int) -> None:
+        """Commits up to ``boundary``."""
+        out, step = [], self.back[boundary - self.first]
+        while step[1] is not None:
+            out.append(step)
+            step = step[1]
+        for _, _, ids, n in reversed(out):
             if type(ids) is tuple:
                 self.ids += ids
-            else:
+            elif n == 1:
                 self.ids.append(ids)
-        self.cost = self.cost[to:]
-        self.back = [(), *((s - to, ids) for s, ids in self.back[to + 1 :])]
-        self.open = [(s - to, node) for s, node in self.open]
+            else:
+                self.ids += [ids] * n
 
     def _converge(self) -> None:
-        """Commits up to the last boundary that the paths of all live boundaries share."""
-        live = {len(self.cost) - 1, *(s for s, _ in self.open)}
+        """Commits up to the last step that the paths of all live boundaries share, and forgets boundaries that no live piece starts at."""
+        last = self.first + len(self.cost) - 1
+        starts = {last, *(s for s, _ in self.open)}
+        live = {id(x): x for x in (self.back[s - self.first] for s in starts)}
         while len(live) > 1:
-            last = max(live)
-            live.remove(last)
-            live.add(self.back[last][0] if last else 0)
-        meet = live.pop()
-        if meet:
-            self._commit(meet)
-            self.full = max(2 * self.model.longest, len(self.cost) + self.model.longest // 2)
-        else:  # in a long run of spaces paths stay apart: each try costs as much as the run is long
-            self.full += self.full // 4
+            step = max(live.values(), key=lambda x: x[0])
+            del live[id(step)]
+            if step[1] is None:
+                break
+            live[id(step[1])] = step[1]
+        keep = min(starts)
+        meet = next(iter(live.values())) if len(live) == 1 else None
+        if meet is not None and meet[1] is not None and meet[0] >= self.first:
+            self.take(meet[0])
+            self._cut(meet, keep)
+        else:
+            self._cut(None, keep)
+        self.full = last + self.model.longest
+
+    def _cut(self, root: tuple | None, keep: int) -> None:
+        """Boundaries from ``keep`` on stay; their chains end at ``root``, whose ids are committed."""
+        at = keep - self.first
+        low = min(self.cost[at:])
+        self.cost, self.back, self.first = [x - low for x in self.cost[at:]], self.back[at:], keep
+        if root is None:
+            return
+        made: dict[int, tuple] = {id(root): (root[0], None, None, 0)}
+
+        def again(step: tuple) -> tuple:
+            chain = []
+            while id(step) not in made:
+                chain.append(step)
+                step = step[1]
+            for x in reversed(chain):
+                made[id(x)] = (x[0], made[id(x[1])], x[2], x[3])
+            return made[id(chain[0])] if chain else made[id(step)]
+
+        live = {s for s, _ in self.open} | {self.first + len(self.cost) - 1}
+        self.back = [again(x) if self.first + i in live else (self.first + i, None, None, 0) for i, x in enumerate(self.back)]
 
     def close(self) -> list[int]:
-        self._commit(len(self.cost) - 1)
+        self.take(self.first + len(self.cost) - 1)
+        self.restart()
         return self.ids
 
 
@@ -167,35 +222,48 @@ def load(path: str) -> Model:
     return Model(path)
 
 
-def _streamed(model: Model, text: str) -> list[int]:
-    stream = Stream(model)
-    stream.feed(text)
-    return stream.close()
-
-
-def _stretch_ids(model: Model, words: list[str]) -> list[bytes]:
-    """Packed ids of stretches: spaces and a word, all but the first space as U+2581, or, after the mark, a line break and a word."""
-    out = []
-    for w in words:
-        out.append(array("I", _streamed(model, w[1:] if w.startswith(_BREAK) else " " + w.replace("▁", " "))).tobytes())
-    return out
-
-
-#: A line break gets a space and a mark before it, so that texts split at spaces alone; the mark says that
-#: the space is not the text's. A word can start with it in no other way, since every break has its own.
-_BREAK = "\x01\n"
+def _packed(model: Model, text: str) -> bytes:
+    """Packed ids of a text, its first character included, from one stream over all of it."""
+    parts, out, stream, i = _PART.findall(text), [], Stream(model), 0
+    n = len(parts)
+    young, old = model.young, model.old
+    while i < n:
+        part = parts[i]
+        after = parts[i + 1][0] if i + 1 < n else ""
+        ids = young[after].get(part)
+        if ids is None and (ids := old[after].get(part)) is not None:
+            model.remember(after, part, ids)
+            young, old = model.young, model.old
+        if ids is not None:
+            out.append(ids)
+            i += 1
+            continue
+        stream.ids, begin, at = [], i, 0
+        stream.restart()
+        while True:
+            stream.feed(parts[i] if at == 0 else parts[i][1:])
+            at += len(parts[i])
+            i += 1
+            if i == n:
+                ids = stream.close()
+                break
+            stream.feed(parts[i][0])
+            if stream.met(at):
+                stream.take(at)
+                ids = stream.ids
+                break
+        model.commits += 1
+        packed = array("I", ids).tobytes()
+        out.append(packed)
+        if at <= SHORT and i - begin == 1:
+            model.remember(parts[i][0] if i < n else "", parts[begin], packed)
+            young, old = model.young, model.old
+    return b"".join(out)
 
 
 def encode_texts(model: Model, texts: pa.Array) -> list[np.ndarray]:
     """Ids of each text; like the library, a space is put in front and U+2581 counts as a space. Empty and null: none."""
-    texts = pc.fill_null(texts, "")
-    if not model.meets:
-        return [np.array(_streamed(model, " " + t.replace("▁", " ")) if t else [], np.uint32) for t in texts.to_pylist()]
-    spaced = pc.replace_substring_regex(pc.replace_substring(texts, "▁", " "), "^ ", "▁")
-    spaced = pc.replace_substring(pc.replace_substring(spaced, "  ", " ▁"), "▁ ", "▁▁")  # a run keeps its first space only
-    words = pc.split_pattern(pc.replace_substring(spaced, "\n", " " + _BREAK), " ")
-    out = ids_by_word(words, "<u4", lambda distinct: model.known.of(distinct, lambda new: _stretch_ids(model, new)))
-    return [ids if n else ids[:0] for ids, n in zip(out, pc.binary_length(texts).to_pylist())]
+    return [np.frombuffer(_packed(model, " " + t.replace("▁", " ")) if t else b"", "<u4") for t in texts.to_pylist()]
 
 
 def encode_text(model: Model, text: str) -> np.ndarray:

@@ -136,7 +136,6 @@ class Crossing(v.Model):
 @pytest.mark.parametrize("seed", range(5))
 def test_pieces_across_words_and_lines(seed):
     model, rng = Crossing(seed), random.Random(seed)
-    assert not model.meets and v.load(PATH).meets
     for n in (1, 7, 300):
         text = "".join(rng.choices("ab \nc", k=n))
         best, cost = full_search(model, text)
@@ -153,3 +152,49 @@ def test_whole_documents_in_one_stream_give_the_same(docs):
                 stream.feed((" " if at == 0 else "") + r.text[at : at + 50])
                 widest = max(widest, len(stream.back))
             assert widest <= 4 * model.longest and stream.close() == v.encode_text(model, r.text).tolist()
+
+
+def test_commits_of_whole_texts(docs):
+    """Each stretch that is remembered ends where the stream itself converged; without memory every boundary is found again."""
+    model = v.Model(PATH)
+    texts = [r.text for r in docs.limit(60).collect() if r.text]
+    first = [v._packed(model, " " + t.replace("▁", " ")) for t in texts]
+    learned = model.commits
+    again = [v._packed(model, " " + t.replace("▁", " ")) for t in texts]
+    assert again == first and model.commits - learned < learned / 10  # stepped over, but for long stretches
+    plain = v.Model(PATH)
+    plain.remember = lambda *_: None
+    assert [v._packed(plain, " " + t.replace("▁", " ")) for t in texts] == first
+    assert plain.commits == sum(len(v._PART.findall(" " + t.replace("▁", " "))) for t in texts)  # under this model one for each run of spaces and line break
+
+
+def test_a_long_run_of_spaces_keeps_a_bounded_window():
+    import tracemalloc
+
+    model = v.load(PATH)
+    stream = v.Stream(model)
+    tracemalloc.start()
+    for _ in range(40):
+        stream.feed(" " * 10_000)
+        assert len(stream.back) <= 4 * model.longest
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 2_000_000
+    ids = stream.close()
+    assert len(ids) == 400_000 // 16 and v.decode_ids(model, np.array(ids)) == b" " * 399_999
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_streams_under_odd_models_in_any_portions(seed):
+    model, rng = Crossing(seed), random.Random(seed)
+    text = " " + "".join(rng.choices("ab \nc", k=400)) + " " * 90 + "aaaa" * 40
+    whole = v.Stream(model)
+    whole.feed(text)
+    parts, at = v.Stream(model), 0
+    while at < len(text):
+        n = rng.randrange(1, 9)
+        parts.feed(text[at : at + n])
+        at += n
+    best, cost = full_search(model, text[1:])
+    found = [whole.close(), parts.close(), np.frombuffer(v._packed(model, text), "<u4").tolist()]
+    assert all(cost(ids) == pytest.approx(best) for ids in found)  # paths of equal cost may differ
