@@ -29,6 +29,8 @@ from skyledger.llm.components import connected_components, star
 CHUNK = 2048
 #: Fingerprints in whose anchors full ones are looked for beforehand.
 SAMPLE = 5_000
+#: The greatest number of a group of fingerprints that are tied already.
+TIES = (1 << 32) - 1
 #: Up to this many fingerprints of an anchor are compared by shifts over the whole batch.
 SMALL = 48
 
@@ -144,8 +146,10 @@ def _links(key: np.ndarray, bits: np.ndarray, most: int, group: np.ndarray | Non
         yield from _forest(bits[cut[i] : cut[i] + size[i]], group[cut[i] : cut[i] + size[i]], most)
 
 
-def _covered(nodes: DataFrame, bits: int, prints: Sequence[str]) -> DataFrame:
-    """(cell, and the 64-bit ``prints``): each fingerprint at every anchor within distance 2 of each of its words."""
+def _covered(nodes: DataFrame, bits: int, prints: Sequence[str], grouped: bool) -> DataFrame:
+    """(cell, and the 64-bit ``prints``): each fingerprint at every anchor within distance 2 of each of its words. If
+    ``grouped``, the lower 32 bits of cell are the column ``tie``, a place that the shuffle does not pay for."""
+    more = ("tie",) if grouped else ()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -154,9 +158,12 @@ def _covered(nodes: DataFrame, bits: int, prints: Sequence[str]) -> DataFrame:
             for at in range(0, b.num_rows, 20_000):
                 for part in range(words.shape[1]):
                     row, anchor = anchors(words[at : at + 20_000, part], bits)
-                    yield {"cell": anchor << 6 | part} | {c: x[at : at + 20_000][row] for c, x in zip(prints, every)}
+                    cell = anchor << 6 | part
+                    if grouped:
+                        cell = cell << 32 | b.column("tie").to_numpy()[at : at + 20_000][row]
+                    yield {"cell": cell} | {c: x[at : at + 20_000][row] for c, x in zip(prints, every)}
 
-    return map_arrow(nodes.select(*prints, "words"), {"cell": "long"} | dict.fromkeys(prints, "long"), rows)
+    return map_arrow(nodes.select(*prints, *more, "words"), {"cell": "long"} | dict.fromkeys(prints, "long"), rows)
 
 
 def _met(dealt: DataFrame, most: int, prints: Sequence[str], bound: int | None, grouped: bool) -> DataFrame:
@@ -164,19 +171,21 @@ def _met(dealt: DataFrame, most: int, prints: Sequence[str], bound: int | None,
     ``bound`` rows, the cell and the fingerprint, for another pass."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        cell, fp, full = np.zeros(0, np.int64), np.zeros((0, len(prints)), np.int64), None
+        cell, fp, full = np.zeros(0, np.int64), np.zeros((0, len(prints) + grouped), np.int64), None
 
         def out(edges: list[tuple[int, int]], k: np.ndarray = cell, f: np.ndarray = fp) -> dict:
             no = pa.nulls(len(k), pa.int64())
             link = {"a": pa.concat_arrays([pa.array([x for x, _ in edges], pa.int64()), no]), "b": pa.concat_arrays([pa.array([y for _, y in edges], pa.int64()), no])}
             blank = pa.nulls(len(edges), pa.int64())
-            return link | {"cell": pa.concat_arrays([blank, pa.array(k)])} | {c: pa.concat_arrays([blank, pa.array(f[:, i])]) for i, c in enumerate(prints)}
+            return link | {"cell": pa.concat_arrays([blank, pa.array(k << 32 | f[:, -1] if grouped else k)])} | {c: pa.concat_arrays([blank, pa.array(f[:, i])]) for i, c in enumerate(prints)}
 
         for b in chain(batches, [None]):
             if b is None:
                 done = len(cell)
             else:
                 k, f = b.column("cell").to_numpy(), np.stack([b.column(c).to_numpy() for c in prints], axis=1)
+                if grouped:
+                    k, f = k >> 32, np.column_stack((f, k & TIES))
                 if full is not None:
                     n = int(np.searchsorted(k, full, side="right"))
                     yield out([], k[:n], f[:n])
@@ -216,7 +225,7 @@ def cell_links(nodes: DataFrame, most: int, bits: int = 31, prints: Sequence[str
     """Edges (a, b) that connect the fingerprints of ``nodes`` (prints, words array<int>) that share an anchor of
     a word and differ in at most ``most`` bits. Anchors are the codewords of the Hamming code over ``bits`` bits,
     perfect at 31 and shortened below. A fingerprint is one or more longs ``prints`` and is named by the first; if ``grouped``,
-    the last is no part of it but a group of fingerprints that are tied already (0: none), within which no edge is given.
+    a column ``tie`` numbers the groups of fingerprints that are tied already (1 to ``TIES``, 0: none), within which no edge is given.
 
     Each anchor gives a spanning forest of its links, so that a group of n has at most n - 1 edges for each
     anchor, and with ``contract`` the forests are contracted (not so that each edge can still be tested). Anchors with over ``CHUNK`` fingerprints are dealt out as pairs of
@@ -227,22 +236,27 @@ def cell_links(nodes: DataFrame, most: int, bits: int = 31, prints: Sequence[str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rate = min(1.0, SAMPLE / max(1, nodes.count()))
     some = nodes if rate == 1 else nodes.filter(F.pmod(F.xxhash64(prints[0], F.lit("sample")), F.lit(1_000_003)) < int(rate * 1_000_003) + 1)
-    known = _covered(some, bits, prints).groupBy("cell").count().filter(F.col("count") > max(CHUNK * rate, 16)).select("cell")
+    place = F.shiftright("cell", 32) if grouped else F.col("cell")
+    known = _covered(some, bits, prints, grouped).groupBy(place.alias("cell")).count().filter(F.col("count") > max(CHUNK * rate, 16)).select("cell")
     known = written(known, "known")  # a sample and a least count bound its rows
-    copies = _covered(nodes, bits, prints)
+    copies = _covered(nodes, bits, prints, grouped)
     hot = None
     if not known.isEmpty():
-        hot = copies.join(F.broadcast(known), "cell").select("cell", *prints)
-        copies = copies.join(F.broadcast(known), "cell", "left_anti")
-    met = written(_met(copies.repartition(parts, "cell").sortWithinPartitions("cell", *prints), most, prints, CHUNK, grouped), "met")
+        known = known.toDF("__known")
+        hot = copies.join(F.broadcast(known), place == F.col("__known")).select("cell", *prints)
+        copies = copies.join(F.broadcast(known), place == F.col("__known"), "left_anti")
+    met = written(_met(copies.repartition(parts, place).sortWithinPartitions("cell", *prints), most, prints, CHUNK, grouped), "met")
     edges, more = met.filter("cell is null").select("a", "b"), met.filter("cell is not null").select("cell", *prints)
     if hot is not None or not more.isEmpty():
         more = written((more if hot is None else more.union(hot)).distinct(), "more")
-        n = written(more.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")), "chunks")
+        n = written(more.groupBy(place.alias("hot")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")), "chunks")
         mine = F.pmod(F.xxhash64(prints[0]), "n").cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(mine, j) * F.col("n") + F.greatest(mine, j))
-        dealt = more.join(n, "cell").select(F.col("cell").alias("hot"), *prints, F.explode(pairs).alias("pair")).withColumn("cell", F.xxhash64("hot", "pair"))
-        dealt = dealt.repartition(parts, "cell").sortWithinPartitions("cell", *prints)
+        key = F.xxhash64("hot", "pair")
+        if grouped:
+            key = F.shiftleft(key.bitwiseAND(F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("cell").bitwiseAND(F.lit(TIES)))
+        dealt = more.withColumn("hot", place).join(n, "hot").select("hot", "cell", *prints, F.explode(pairs).alias("pair")).withColumn("cell", key)
+        dealt = dealt.repartition(parts, place).sortWithinPartitions("cell", *prints)
         edges = edges.union(_met(dealt.select("cell", *prints), most, prints, None, grouped).select("a", "b"))
         out = contracted(edges) if contract else written(edges.distinct(), "edges")
         discard(known, met, more, n)
