@@ -3,7 +3,8 @@
 Both models are character bigrams, one of random strings and one of ordinary identifiers and words, fitted
 on labelled samples. A candidate is a secret when the log-likelihood ratio of its transitions, summed and
 per transition, exceeds two limits. Candidates are all runs of ``LEAST`` or more ASCII letters, digits and
-``+/_=-``, letters alone and digits alone among them; shorter strings are found by their shape only.
+``+/_=-``, letters alone and digits alone among them, but for whole UUIDs, dates and times, which name things;
+shorter strings are found by their shape only.
 Offsets are code points, ends exclusive.
 """
 
@@ -23,6 +24,8 @@ HEX = r"[0-9a-f]{32,}"
 #: The strings that the models judge.
 LEAST = 12
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: Whole candidates that name things and are no secrets by themselves: UUIDs, dates and times. What is assigned to a name of a secret is found by its shape all the same.
+ORDINARY = r"^(?:[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9]{2,6}(?:Z|[+-][0-9]{2,4})?)$"
 #: Characters that the models tell apart; all others share one more class.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CLASSES = len(ALPHABET) + 1
@@ -152,7 +155,7 @@ def scan_secrets(docs: DataFrame, model: list[float] | None = None, text_col: st
     rows = docs.withColumn(base_col, F.array_sort(trim(base)))
     random = lambda x: log_ratio(table, x["hit"]) >= F.greatest(F.lit(least_sum), least_mean * (F.length(x["hit"]) - 1))
     beyond = lambda x: ~F.exists(base_col, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
-    more = F.filter(_found(text, CANDIDATE, 0, 3), lambda x: beyond(x) & random(x))
+    more = F.filter(_found(text, CANDIDATE, 0, 3), lambda x: beyond(x) & ~x["hit"].rlike(ORDINARY) & random(x))
     return rows.withColumn(spans_col, F.array_sort(F.concat(base_col, trim(more))))
 
 
