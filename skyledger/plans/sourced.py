@@ -8,7 +8,8 @@ from skyledger.operators import contracts, history, model, prepare, weather, zon
 from skyledger.plans.registry import register
 from skyledger.plans.tables import read, rounded
 from skyledger.sources import flights, lookups, sinks
-from skyledger.sources.scratch import new_path
+from skyledger.sources.archives import write_archives
+from skyledger.sources.scratch import new_path, written
 
 #: Orders as raw flights, 29 years later, so that some years are those of the splits.
 _RAW = """WITH r AS (SELECT o_orderkey AS k, CAST(year(o_orderdate) + 29 AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, substr(o_orderpriority, 1, 1) AS origin, CAST(o_orderkey % 40 AS INTEGER) - 10 AS late,
@@ -46,6 +47,15 @@ def _(spark, d):
     return rows.groupBy("Year", "Month").agg(F.count("*").alias("rows"), F.count("ArrDelay").alias("known"), F.sum("ArrDelay").cast("double").alias("minutes"), F.lit(len(rows.columns)).alias("columns"))
 
 
+@register("s2_zip_members", _RAW + "SELECT y AS \"Year\", m AS \"Month\", count(*) AS rows, count(CASE WHEN NOT gone AND NOT away THEN late END) AS known, CAST(sum(CASE WHEN NOT gone AND NOT away THEN late END) AS DOUBLE) AS minutes FROM r GROUP BY ALL")
+def _(spark, d):
+    """Archives of a year with a member for each month are written from the table and read member by member."""
+    rows = _text_rows(spark, d)
+    made = written(write_archives(rows.withColumns({"archive": F.col("Year"), "member": F.concat_ws("-", "Year", "Month")}), new_path(spark, "zips"), "archive", "member"), "archives")
+    back = flights.typed(flights.read_zips(spark, *(r.path for r in made.collect())))
+    return back.groupBy("Year", "Month").agg(F.count("*").alias("rows"), F.count("ArrDelay").alias("known"), F.sum("ArrDelay").cast("double").alias("minutes"))
+
+
 @register("s5_s15_months_added", _RAW + "SELECT y AS part_year, m AS part_month, count(*) AS rows FROM r GROUP BY ALL")
 def _(spark, d):
     """The second write brings all months: those of the first stay as they are, others are added."""
