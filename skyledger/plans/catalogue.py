@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from skyledger.plans import aggregates, modelling, panels, places, sourced, temporal, weather_reports  # noqa: F401
+from skyledger.plans import aggregates, modelling, panels, places, preparation, sourced, temporal, weather_reports  # noqa: F401

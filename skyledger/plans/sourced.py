@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyledger.operators import contracts, history, model, prepare, weather, zones
+from skyledger.operators import contracts, model, prepare, weather, zones
 from skyledger.plans.registry import register
 from skyledger.plans.tables import read, rounded
 from skyledger.sources import flights, lookups, sinks
@@ -162,14 +162,3 @@ def _(spark, d):
         return False
 
     return spark.createDataFrame([(name, raised(check)) for name, check in tries.items()], "guard string, raised boolean")
-
-
-@register("m1_feature_lists", "SELECT * FROM (VALUES ('01', 37), ('02', 49), ('03', 54), ('03b', 55)) t(experiment, features)")
-def _(spark, d):
-    return spark.createDataFrame([(e, len(set(model.feature_list(e)))) for e in ("01", "02", "03", "03b")], "experiment string, features int")
-
-
-@register("d19_d24_rate_groups", """SELECT name, cols AS columns, CAST(strength AS DOUBLE) AS strength, 'hist_' || name || '_delay_rate' AS rate, 'hist_' || name || '_log_count' AS log_count FROM (VALUES ('carrier', 'Reporting_Airline', 2000), ('origin', 'Origin', 1000), ('dest', 'Dest', 1000),
-  ('route', 'Origin,Dest', 200), ('carrier_route', 'Reporting_Airline,Origin,Dest', 100), ('origin_hour', 'Origin,dep_hour', 250)) t(name, cols, strength)""")
-def _(spark, d):
-    return spark.createDataFrame([(s.name, ",".join(s.columns), float(s.strength), *s.outputs) for s in history.DEFAULT_SPECS], "name string, columns string, strength double, rate string, log_count string")
