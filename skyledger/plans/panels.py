@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from skyledger.functions import stats as S
@@ -112,10 +113,18 @@ def _(spark, d):
     return rounded(model.mean_attributions(found))
 
 
-@register("f21_finite_numbers", "SELECT event_id % 4 AS kind, count(*) AS rows, count(CASE WHEN event_id % 4 <> 0 THEN value END) AS known FROM events GROUP BY ALL")
+@register("f21_finite_numbers", "SELECT event_id % 4 AS kind, count(*) AS rows, count(CASE WHEN event_id % 4 <> 0 THEN value END) AS known, max(event_id % 4 = 1) AS raised FROM events GROUP BY ALL")
 def _(spark, d):
-    e = read(spark, d, "events").withColumn("x", F.when(F.col("event_id") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
-    return e.withColumn("x", model.finite("x")).groupBy((F.col("event_id") % 4).alias("kind")).agg(F.count("*").alias("rows"), F.count("x").alias("known"))
+    """NaN counts as missing; a kind that holds an infinite value raises, and its rows are then counted without the guard."""
+    inf = F.lit(float("inf"))
+    e = read(spark, d, "events").withColumn("kind", F.col("event_id") % 4).withColumn("x", F.when(F.col("kind") == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    holds = e.join(F.broadcast(e.filter("kind = 1").agg(F.max("event_id").alias("last")))).withColumn("x", F.when(F.col("event_id") == F.col("last"), inf).otherwise(F.col("x"))).filter("kind = 1")
+    try:
+        holds.select(model.finite("x").alias("x")).agg(F.count("x")).collect()
+        raised = False
+    except PySparkException as error:
+        raised = "infinite value in x" in str(error)
+    return e.withColumn("x", model.finite("x")).groupBy("kind").agg(F.count("*").alias("rows"), F.count("x").alias("known")).withColumn("raised", (F.col("kind") == 1) & F.lit(raised))
 
 
 @register("s14_m23_reloaded_model", "SELECT count(*) AS rows, count(*) AS same, 'hour,grp' AS features, 3 AS rounds FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-20'")

@@ -27,8 +27,8 @@ _PREPARED = f"""{_SNAP.replace(OBSERVATIONS, _OBSERVED)},
   deps AS (SELECT o, hour, count(*) AS n FROM fz GROUP BY ALL), arr AS (SELECT e, date_trunc('hour', there + to_minutes(CAST(mins AS INTEGER))) AS hour, count(*) AS n FROM fz GROUP BY ALL),
   rows AS (SELECT fz.*, CASE WHEN away THEN div_delay >= 15 ELSE delay >= 15 END AS late FROM fz WHERE NOT gone AND (NOT away OR reached)),
   prepared AS (SELECT id, dep AS dep_time_local, there AS dest_departure_time_local, CAST(late AS INTEGER) AS late, to_next, since, next_name, prev_name, CAST(deps.n AS INTEGER) AS deps, CAST(coalesce(x.n, 0) AS INTEGER) AS arrivals, CAST(deps.n + coalesce(x.n, 0) AS INTEGER) AS ops, CAST(coalesce(y.n, 0) AS INTEGER) AS dest_arrivals,
-    a.cat AS origin_category, round(a.gust, 4) AS origin_gust, a.ifr AS origin_ifr, round(a.rain3, 4) AS origin_rain, round(a.gust3, 3) AS origin_gust3, CAST(round((epoch_us(dep) - epoch_us(a.t)) / 1e6) AS BIGINT) AS origin_age, CAST(a.t IS NULL AS INTEGER) AS origin_missing,
-    b.cat AS dest_category, round(b.gust, 3) AS dest_gust, CAST(round((epoch_us(there) - epoch_us(b.t)) / 1e6) AS BIGINT) AS dest_age, CASE WHEN b.hour IS NOT NULL THEN CAST(b.t IS NULL AS INTEGER) END AS dest_missing
+    a.cat AS origin_category, round(a.gust, 4) AS origin_gust, a.ifr AS origin_ifr, round(a.rain3, 4) AS origin_rain, round(a.gust3, 3) AS origin_gust3, CAST(round(CAST((epoch_us(dep) - epoch_us(a.t)) / 6e7 AS FLOAT)::DOUBLE * 60) AS BIGINT) AS origin_age, CAST(a.t IS NULL AS INTEGER) AS origin_missing,
+    b.cat AS dest_category, round(b.gust, 3) AS dest_gust, CAST(round(CAST((epoch_us(there) - epoch_us(b.t)) / 6e7 AS FLOAT)::DOUBLE * 60) AS BIGINT) AS dest_age, CASE WHEN b.hour IS NOT NULL THEN CAST(b.t IS NULL AS INTEGER) END AS dest_missing
   FROM rows JOIN cn USING (d) JOIN deps ON deps.o = rows.o AND deps.hour = rows.hour LEFT JOIN arr x ON x.e = rows.o AND x.hour = rows.hour LEFT JOIN arr y ON y.e = rows.e AND y.hour = date_trunc('hour', there)
     LEFT JOIN wx a ON a.airport = 'A' || rows.o AND a.hour = rows.hour LEFT JOIN wx b ON b.airport = 'A' || rows.e AND b.hour = date_trunc('hour', there))"""
 

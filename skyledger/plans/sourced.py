@@ -111,10 +111,12 @@ def _(spark, d):
     return rounded(out, 4)
 
 
-@register("s10_read_coordinates", 'SELECT upper(n_name) AS "Airport", CAST(n_nationkey AS DOUBLE) AS "Latitude", CAST(n_regionkey * 10 AS DOUBLE) AS "Longitude" FROM nation')
+@register("s10_read_coordinates", 'SELECT upper(n_name) AS "Airport", CAST(n_nationkey + CASE WHEN n_nationkey % 3 = 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS "Latitude", CAST(n_regionkey * 10 AS DOUBLE) AS "Longitude" FROM nation')
 def _(spark, d):
     path = new_path(spark, "coordinates")
-    read(spark, d, "nation").select(F.lower("n_name").alias("iata"), F.col("n_nationkey").alias("latitude_deg"), (F.col("n_regionkey") * 10).alias("lng")).write.option("header", True).csv(path)
+    rows = read(spark, d, "nation").select(F.lower("n_name").alias("iata"), F.col("n_nationkey").cast("double").alias("latitude_deg"), (F.col("n_regionkey") * 10).alias("lng"))
+    again = rows.filter("latitude_deg % 3 = 0").withColumn("latitude_deg", F.col("latitude_deg") + 0.5)  # every third airport has another row behind its first
+    rows.unionByName(again).coalesce(1).write.option("header", True).csv(path)
     return lookups.read_coordinates(spark, path)
 
 
