@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import map_arrow, picked, portions, written
 
 #: Bytes of text in a chunk, about; a longer text is a chunk by itself.
-CHUNK = 12_000_000
+CHUNK = 8_000_000
 #: Bytes that go to a tokenizer as one text.
 JOINED = 65_536
 #: White space of either tokenizer: no cut is made behind one of these.
