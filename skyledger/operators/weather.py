@@ -101,7 +101,8 @@ def build_hourly(raw: DataFrame, first: str, last: str, max_age_minutes: float =
 def add_weather(flights: DataFrame, hourly: DataFrame, departure: str = "dep_time_local", join_destination: bool = True, dest_hour: str | None = "dest_departure_hour_local", dest_time: str | None = "dest_departure_time_local") -> DataFrame:
     """Weather at the origin in the departure hour and, on its own clock, at the destination.
 
-    Each side also gets the time and age of its observation. An observation later than the departure
+    Each side also gets the time and age of its observation. The hourly table is dealt out, not broadcast: Spark
+    takes its size from the airports that it is made of. An observation later than the departure
     raises. A destination join without a key on the destination's clock is refused; without its exact
     time the age counts to the end of the hour, with a warning.
     """
@@ -119,7 +120,7 @@ def add_weather(flights: DataFrame, hourly: DataFrame, departure: str = "dep_tim
     out = flights.withColumn("__hour", floor_hour(F.col(departure)))
     for p, port, cols, key, reference in sides:
         side = hourly.select(F.col("airport").alias("__port"), F.col("hour").alias("__at"), *(F.col(c).alias(f"{p}_{c}") for c in (*cols, *META_COLUMNS)))
-        out = out.join(side, (F.col(port) == F.col("__port")) & (F.col(key) == F.col("__at")), "left").drop("__port", "__at")
+        out = out.join(side.hint("merge"), (F.col(port) == F.col("__port")) & (F.col(key) == F.col("__at")), "left").drop("__port", "__at")
         age = minutes_between(reference, F.col(f"{p}_{META_COLUMNS[0]}"))
         safe = F.when(age < 0, F.raise_error(F.lit(f"{p} weather is later than the departure")).cast("double")).otherwise(age)
         out = out.withColumn(f"{p}_weather_age_minutes", safe.cast("float"))

@@ -22,7 +22,8 @@ def _events(spark, d):
 
 
 def _joined(spark, d):
-    return _events(spark, d).join(_hourly(spark, d).drop("precip_mm"), ["airport", "hour"], "left")
+    """The hours are many more than Spark takes them for by the airports that they are made of, so they are never broadcast."""
+    return _events(spark, d).join(_hourly(spark, d).drop("precip_mm").hint("merge"), ["airport", "hour"], "left")
 
 
 _JOINED = f"{_SNAP}, {_EVENTS}, x AS (SELECT ev.*, h.t, h.gust, h.cat FROM ev LEFT JOIN h ON h.airport = ev.airport AND h.hour = ev.hour)"
@@ -65,7 +66,7 @@ def _(spark, d):
     hourly = _hourly(spark, d).select("airport", "hour", "flight_category")
     a = hourly.withColumnRenamed("flight_category", "origin_category")
     b = hourly.select((F.col("airport") - 1).alias("airport"), "hour", F.col("flight_category").alias("dest_category"))
-    rows = _events(spark, d).join(a, ["airport", "hour"], "left").join(b, ["airport", "hour"], "left")
+    rows = _events(spark, d).join(a.hint("merge"), ["airport", "hour"], "left").join(b.hint("merge"), ["airport", "hour"], "left")  # as in ``_joined``
     return rounded(rows.groupBy("origin_category", "dest_category").agg(F.count("*").alias("flights"), F.avg("late").alias("rate")))
 
 
