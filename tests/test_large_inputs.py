@@ -16,3 +16,14 @@ def plan_of(df):
 def test_hours_are_not_broadcast(spark, sf, name):
     plan = plan_of(registry.queries()[name](spark, sf))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_hours_are_made_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from skyledger.operators.joins import hours_of
+
+    hour = lambda x: F.lit(x).cast("timestamp_ntz")
+    groups = spark.range(400).select((F.col("id") % 200).alias("g")).distinct().withColumns({"a": hour("2024-01-01 00:00:00"), "z": hour("2024-01-02 23:00:00")})
+    tasks = hours_of(groups, ["g"], "a", "z").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) == 8 and max(r["count"] for r in tasks) < 200 * 48 / 2
