@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.stats import count_positive, ratio, sum_any
+from skyledger.operators.stats import quantiles
+from skyledger.sources.scratch import written
 from skyledger.sources.sinks import largest_first
 
 #: The minutes that explain a delay, and the meanings of cancellation codes.
@@ -100,7 +102,10 @@ def freshness(hourly: DataFrame, by: str | None = None, stale: float = 60) -> Da
     over = lambda m: F.avg((age > m).cast("double"))
     if by:
         return hourly.groupBy(by).agg(F.percentile(age, 0.5).alias("median"), F.percentile(age, 0.95).alias("p95"), over(stale).alias("stale_share"))
-    return hourly.agg(*(F.percentile(age, q).alias(f"p{round(100 * q)}") for q in (0.5, 0.75, 0.9, 0.95, 0.99)), *(over(m).alias(f"over_{m}") for m in (15, 30, 60)))
+    shares = (0.5, 0.75, 0.9, 0.95, 0.99)
+    ages = written(hourly.select(age.alias("snapshot_age_minutes")), "ages")
+    exact = quantiles(ages, "snapshot_age_minutes", shares).toDF(*(f"p{round(100 * q)}" for q in shares))
+    return exact.join(F.broadcast(ages.agg(*(over(m).alias(f"over_{m}") for m in (15, 30, 60)))))  # one row each
 
 
 def coverage(hourly: DataFrame, least: float = 0.8) -> DataFrame:
