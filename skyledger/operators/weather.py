@@ -5,14 +5,13 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import weather as W
 from skyledger.functions.times import floor_hour, minutes_between
-from skyledger.operators.asof import asof_join
 from skyledger.operators.contracts import ContractError, forbid_columns, require_columns, require_none, require_unique
-from skyledger.operators.joins import hours_of
+from skyledger.operators.joins import dealt
 from skyledger.operators.stats import keep_last
 from skyledger.operators.windows import rolling, step_minutes
 
@@ -45,12 +44,27 @@ def clean_observations(raw: DataFrame) -> DataFrame:
 
 
 def snapshots(observations: DataFrame, first: str, last: str, max_age_minutes: float = MAX_AGE_MINUTES) -> DataFrame:
-    """One row for each airport and hour with the last observation not older than the limit; older: nulls, the row stays."""
+    """One row for each airport and hour with the last observation not older than the limit; older: nulls, the row stays.
+
+    An observation goes to the first hour that it can serve, and of each hour only the last one goes on (of equal times the
+    greatest in the order of its columns), so that no airport has more rows than hours. Those and the airports are dealt
+    out by airport once; hours are made behind that shuffle, and a window carries the last observation forward.
+    """
     if max_age_minutes <= 0:
         raise ContractError("the age limit is positive")
-    hour = lambda x: F.lit(x).cast("timestamp_ntz")
-    grid = hours_of(observations.select("airport").distinct().withColumns({"__a": hour(first), "__z": hour(last)}), ["airport"], "__a", "__z")
-    out = asof_join(grid, observations, ["airport"], "hour", "observation_time_local", max_age_minutes)
+    begin, end = (F.lit(x).cast("timestamp_ntz") for x in (first, last))
+    step, values = F.lit(3_600_000_000), [c for c in observations.columns if c != "airport"]
+    at = F.timestamp_diff("MICROSECOND", begin, F.col("observation_time_local").cast("timestamp_ntz"))  # since the first hour
+    served = F.timestamp_add("MICROSECOND", F.greatest(at + F.pmod(-at, step), F.lit(0)), begin)
+    known = observations.filter("airport is not null and observation_time_local is not null").select("airport", served.alias("hour"), F.struct(at.alias("at"), F.struct(*values).alias("row")).alias("__last"))
+    latest = known.filter(F.col("hour") <= end).groupBy("airport", "hour").agg(F.max("__last").alias("__last"))
+    both = dealt(latest.unionByName(observations.select("airport").distinct(), allowMissingColumns=True), ["airport"])
+    hours = F.when(F.col("hour").isNotNull(), F.array("hour")).otherwise(F.sequence(begin, end, F.expr("interval 1 hour")))
+    rows = both.select("airport", F.explode(hours).alias("hour"), "__last", F.col("hour").isNull().alias("__grid"))
+    before = Window.partitionBy("airport").orderBy("hour", "__grid").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("__last", F.last("__last", ignorenulls=True).over(before)).filter("__grid")
+    fits = F.timestamp_diff("MICROSECOND", begin, F.col("hour")) - F.col("__last.at") <= int(max_age_minutes * 60_000_000)
+    out = found.select("airport", "hour", *(F.when(fits, F.col("__last.row")[v]).alias(v) for v in values))
     age = minutes_between(F.col("hour"), F.col("observation_time_local"))
     return out.withColumns({"snapshot_age_minutes": age, "weather_observation_missing": F.col("observation_time_local").isNull().cast("tinyint")})
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from skyledger.plans import registry
 
@@ -19,11 +20,33 @@ def test_hours_are_not_broadcast(spark, sf, name):
 
 
 def test_hours_are_made_in_many_tasks(spark):
-    from pyspark.sql import functions as F
-
     from skyledger.operators.joins import hours_of
 
     hour = lambda x: F.lit(x).cast("timestamp_ntz")
     groups = spark.range(400).select((F.col("id") % 200).alias("g")).distinct().withColumns({"a": hour("2024-01-01 00:00:00"), "z": hour("2024-01-02 23:00:00")})
     tasks = hours_of(groups, ["g"], "a", "z").groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(tasks) == 8 and max(r["count"] for r in tasks) < 200 * 48 / 2
+
+
+def test_snapshots_are_dealt_out_once_by_airport(spark):
+    """One shuffle by airport serves the as-of window and the history behind it; ties, early, old, late and unkeyed observations stay right."""
+    import datetime as dt
+
+    from skyledger.operators import weather
+
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    rows = [("A", at(0, 10), 1.0, "x"), ("A", at(0, 40), 2.0, "x"), ("A", at(2), 3.0, None), ("A", at(2), 3.0, "y"), ("A", at(9), 9.0, "z"), ("B", at(0, 30), 4.0, "b"), (None, at(1), 5.0, "n"), ("C", None, 6.0, "c")]
+    seen = spark.createDataFrame(rows, "airport string, observation_time_local timestamp_ntz, v double, w string")
+    got = weather.snapshots(seen, "2024-01-01 01:00:00", "2024-01-01 05:00:00")
+    found = {(r.airport, r.hour.hour): (r.v, r.w, r.snapshot_age_minutes) for r in got.collect()}
+    assert got.count() == len(found) == 20 and got.columns[:5] == ["airport", "hour", "observation_time_local", "v", "w"]
+    want = {("A", 1): (2.0, "x", 20.0), ("A", 2): (3.0, "y", 0.0), ("A", 3): (3.0, "y", 60.0), ("B", 1): (4.0, "b", 30.0), ("B", 2): (4.0, "b", 90.0)}
+    assert {k: v for k, v in found.items() if v != (None, None, None)} == want
+    full = got.withColumns({"flight_category": F.lit("IFR"), "precip_mm": F.col("v"), "wind_gust_kt": F.col("v")})
+    plan = plan_of(weather.add_history(full, checked=False))
+    plan = plan[: plan.find("Initial Plan")]
+    assert plan[: plan.find("Exchange")].count("Window") >= 2
+
+
+def test_ages_have_no_single_state(spark, sf):
+    assert "percentile" not in plan_of(registry.queries()["q15_q16_snapshot_audit"](spark, sf)).lower()
