@@ -298,28 +298,28 @@ def _(spark, d):
     return rows.select("event_id", "ts", "there")
 
 
-def _streamed(spark, made, name):
-    """What a stream writes that takes all files that are there and ends."""
-    path, state = new_path(spark, name), new_path(spark, f"{name}_state")
+def _taken(made, path, state):
+    """What a stream writes that takes all files that are there, goes on from its checkpoint and ends."""
     made.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(made.schema).parquet(path)
+    return made.sparkSession.read.schema(made.schema).parquet(path)
 
 
-def _as_stream(spark, table, *parts):
-    """``table`` in files, one for each of ``parts``, which a stream takes one by one."""
-    path = new_path(spark, "incoming")
+def _streamed(spark, table, parts, make, name):
+    """(what the stream ``make`` writes, its path) when ``table`` comes to it in ``parts``, one run for each; a part has as many files as tasks write."""
+    incoming, path, state = new_path(spark, "incoming"), new_path(spark, name), new_path(spark, f"{name}_state")
     for part in parts:
-        table.filter(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        table.filter(part).write.mode("append").parquet(incoming)
+        out = _taken(make(spark.readStream.schema(table.schema).parquet(incoming)), path, state)
+    return out, path
 
 
 @register("t3_streaming_snapshots", f"WITH {_SNAP} SELECT airport, hour, t AS observation_time_local, gust AS wind_gust_kt, round((epoch_us(hour) - epoch_us(t)) / 6e7, 4) AS age, CAST(t IS NULL AS INTEGER) AS missing FROM h WHERE hour <= TIMESTAMP '2024-01-28 00:00:00'")
 def _(spark, d):
     """The grid of ``j1_d14_asof_snapshot`` from a stream, up to the last hour that its watermark is sure to pass."""
-    rows = observations(spark, d)
+    rows = written(observations(spark, d), "observations")
     at = F.col("observation_time_local")
-    stream = _as_stream(spark, rows, at < "2024-01-11", (at >= "2024-01-11") & (at < "2024-01-21"), at >= "2024-01-21")
-    out = _streamed(spark, streaming_snapshots(stream, _FIRST, "2024-01-28 00:00:00"), "snapshots")
+    parts = at < "2024-01-11", (at >= "2024-01-11") & (at < "2024-01-21"), at >= "2024-01-21"
+    out, _ = _streamed(spark, rows, parts, lambda stream: streaming_snapshots(stream, _FIRST, "2024-01-28 00:00:00"), "snapshots")
     return out.select("airport", "hour", "observation_time_local", "wind_gust_kt", F.round("snapshot_age_minutes", 4).alias("age"), F.col("weather_observation_missing").cast("int").alias("missing"))
 
 
@@ -332,14 +332,13 @@ _CLOSED = RateSpec("pair", ("carrier", "origin"), 50)
 def _(spark, d):
     """Rates of groups and months from two streams: counts by day, then closings of months. Two rows far ahead, one
     for each stream, end the input: the watermark passes all months."""
-    rows = flights(spark, d).select(F.col("d").alias("FlightDate"), F.col("late").alias("ArrDel15"), "carrier", "origin")
+    rows = written(flights(spark, d).select(F.col("d").alias("FlightDate"), F.col("late").alias("ArrDel15"), "carrier", "origin"), "flights")
     last = rows.agg(F.lit("2100-01-01").cast("date").alias("FlightDate"), F.lit(0).alias("ArrDel15"), F.lit("").alias("carrier"), F.min("origin").alias("origin"))
     ended = rows.unionByName(last).unionByName(last.withColumn("FlightDate", F.lit("2200-01-01").cast("date")))
     day = F.col("FlightDate")
-    stream = _as_stream(spark, ended, day < "1997-01-01", (day >= "1997-01-01") & (day < "2100-01-01"), day == "2100-01-01", day == "2200-01-01")
-    daily = _streamed(spark, daily_group_counts(stream, [_CLOSED]), "daily")
-    days = spark.readStream.schema(daily.schema).parquet(daily.inputFiles()[0].rsplit("/", 1)[0])
-    closed = _streamed(spark, month_closings(days), "closed")
+    parts = day < "1997-01-01", (day >= "1997-01-01") & (day < "2100-01-01"), day == "2100-01-01", day == "2200-01-01"
+    daily, place = _streamed(spark, ended, parts, lambda stream: daily_group_counts(stream, [_CLOSED]), "daily")
+    closed = _taken(month_closings(spark.readStream.schema(daily.schema).parquet(place)), new_path(spark, "closed"), new_path(spark, "closed_state"))
     months = rows.select("carrier", "origin", T.month_start(F.col("FlightDate")).cast("date").alias("FlightDate")).distinct()
     rate, log_count = _CLOSED.outputs
     out = with_closed_rates(months, closed, [_CLOSED])

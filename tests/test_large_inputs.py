@@ -50,3 +50,11 @@ def test_snapshots_are_dealt_out_once_by_airport(spark):
 
 def test_ages_have_no_single_state(spark, sf):
     assert "percentile" not in plan_of(registry.queries()["q15_q16_snapshot_audit"](spark, sf)).lower()
+
+
+def test_a_part_of_a_stream_is_written_by_many_tasks(spark):
+    from skyledger.plans import temporal
+
+    table = spark.range(0, 4000, 1, 4).withColumn("v", F.col("id") % 7)
+    out, path = temporal._streamed(spark, table, (F.col("id") < 2000, F.col("id") >= 2000), lambda stream: stream.filter("v = 3").withColumn("file", F.input_file_name()), "few")
+    assert out.count() == table.filter("v = 3").count() and out.select("file").distinct().count() == 4
