@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
+from skyledger.sources.scratch import new_path, written
+
 #: Bytes of CSV that a task parses at once.
 BLOCK = 4 << 20
 
@@ -88,20 +92,52 @@ def read_members(spark: SparkSession, columns: Sequence[str], *paths: str, suffi
 def write_archives(rows: DataFrame, path: str, archive: str, member: str) -> DataFrame:
     """(path, members) of one ZIP below ``path`` for each value of the column ``archive``, with a CSV for each value of ``member``.
 
-    For exports of a bounded size: an archive is made by the one task that holds its rows.
+    Tasks write their rows of each member to a compressed file of its own in the shared folder, as the rows come (a task has as many files
+    open as it has members); then one task for each archive streams the files into its ZIP. No task holds an archive or a member.
     """
-    names = [c for c in rows.columns if c not in (archive, member)]
+    names, place_of = [c for c in rows.columns if c not in (archive, member)], new_path(rows.sparkSession, "pieces")
 
-    def packed(key: tuple, table: pa.Table) -> pa.Table:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import csv
 
+        store, place = _store(place_of)
+        store.create_dir(place, recursive=True)
+        run, found = uuid.uuid4().hex, {}  # files of an attempt that fails are in no row
+        for batch in batches:
+            table, at = pa.Table.from_batches([batch]).sort_by([("__archive", "ascending"), ("__member", "ascending")]), 0
+            for count, *key in zip(*(c.to_pylist() for c in table.group_by(["__archive", "__member"], use_threads=False).aggregate([([], "count_all")]).select(["count_all", "__archive", "__member"]).columns)):
+                part, at = table.slice(at, count).select(names), at + count
+                if (key := tuple(key)) not in found:
+                    file = f"{place_of}/{run}-{len(found)}"
+                    sink = store.open_output_stream(_store(file)[1], compression="zstd")
+                    found[key] = file, sink, csv.CSVWriter(sink, part.schema, write_options=csv.WriteOptions(include_header=False))
+                found[key][2].write_table(part)
+        for _, sink, writer in found.values():
+            writer.close()
+            sink.close()
+        keys = [pa.array([k[i] for k in found], types.field(i).type) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array([f for f, _, _ in found.values()], pa.string())], ["__archive", "__member", "file"])
+
+    kinds = StructType([StructField("__archive", rows.schema[archive].dataType), StructField("__member", rows.schema[member].dataType), StructField("file", StringType())])
+    types = to_arrow_schema(kinds)
+    made = written(rows.select(F.col(archive).alias("__archive"), F.col(member).alias("__member"), *names).mapInArrow(pieces, kinds), "files")
+    header = ",".join('"' + n.replace('"', '""') + '"' for n in names).encode() + b"\n"
+
+    def packed(key: tuple, table: pa.Table) -> pa.Table:
         store, place = _store(path)
         store.create_dir(place, recursive=True)
-        values = sorted(set(table.column(member).to_pylist()))
+        files: dict = {}
+        for r in table.to_pylist():
+            files.setdefault(r["__member"], []).append(r["file"])
         with store.open_output_stream(f"{place}/{key[0].as_py()}.zip") as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as z:
-            for value in values:
-                with z.open(f"{value}.csv", "w") as out:
-                    csv.write_csv(table.filter(pc.equal(table.column(member), value)).select(names), pa.PythonFile(out, mode="w"))
-        return pa.table({"path": [f"{path}/{key[0].as_py()}.zip"], "members": pa.array([len(values)], pa.int32())})
-
-    return rows.groupBy(archive).applyInArrow(packed, "path string, members int")
+            for value in sorted(files, key=lambda v: (v is None, v)):
+                with z.open(f"{value}.csv", "w", force_zip64=True) as out:
+                    out.write(header)
+                    for file in files[value]:
+                        source, name = _store(file)
+                        with source.open_input_stream(name, compression="zstd") as data:
+                            while block := data.read(BLOCK):
+                                out.write(block)
+        return pa.table({"path": [f"{path}/{key[0].as_py()}.zip"], "members": pa.array([len(files)], pa.int32())})
+
+    return made.groupBy("__archive").applyInArrow(packed, "path string, members int")

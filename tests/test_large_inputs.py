@@ -58,3 +58,24 @@ def test_a_part_of_a_stream_is_written_by_many_tasks(spark):
     table = spark.range(0, 4000, 1, 4).withColumn("v", F.col("id") % 7)
     out, path = temporal._streamed(spark, table, (F.col("id") < 2000, F.col("id") >= 2000), lambda stream: stream.filter("v = 3").withColumn("file", F.input_file_name()), "few")
     assert out.count() == table.filter("v = 3").count() and out.select("file").distinct().count() == 4
+
+
+def test_few_rows_of_a_group_are_ranked(spark):
+    from skyledger.operators import sampling
+
+    df = spark.range(0, 40_000, 1, 8).withColumn("g", F.when(F.col("id") % 3 == 0, None).otherwise(F.lit("a")))
+    got = sampling.per_group(df, ["g"], ["id"], 500)
+    want = {g: {i for _, i in sorted((r.s, r.id) for r in df.filter(F.col("g").eqNullSafe(g)).select("id", sampling.spot(["id"]).alias("s")).collect())[:500]} for g in ("a", None)}
+    assert {g: {r.id for r in got.filter(F.col("g").eqNullSafe(g)).collect()} for g in want} == want
+    assert sampling.per_group(df, ["g"], ["id"], 100_000).count() == 40_000
+    assert "__until" in plan_of(got)
+
+
+def test_an_archive_is_made_of_pieces(spark, tmp_path):
+    from skyledger.sources import archives
+
+    rows = spark.range(0, 30_000, 1, 6).select(F.lit(1).alias("a"), F.when(F.col("id") % 2 == 0, None).otherwise(F.lit("m")).alias("m"), F.col("id").cast("string").alias("v"), F.when(F.col("id") % 5 > 0, 'q,"\n').alias("w"))
+    made = archives.write_archives(rows, str(tmp_path / "zips"), "a", "m").collect()
+    assert [(r.path, r.members) for r in made] == [(f"{tmp_path}/zips/1.zip", 2)]
+    back = archives.read_members(spark, ["v", "w"], made[0].path)
+    assert back.count() == 30_000 and back.exceptAll(rows.select("v", "w")).isEmpty()
