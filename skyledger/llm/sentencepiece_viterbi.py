@@ -22,6 +22,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from skyledger.llm.common import map_arrow, picked, portions, text_bytes
 
-#: Stretches that a worker remembers (up to twice as many), and the longest that it remembers, in characters.
-REMEMBERED, SHORT = 150_000, 64
+#: Bytes of the stretches that a worker remembers (up to twice as many), and the longest that it remembers, in characters.
+REMEMBERED, SHORT = 80_000_000, 64
 #: A candidate for a boundary to remember is before a run of spaces or a line break.
 _PART = re.compile(" +[^ \n]*|\n[^ \n]*|[^ \n]+")
 
@@ -67,7 +68,6 @@ class Model:
         #: A node is (children by character, id of the piece that ends here or -1, its cost).
         self.root: tuple = ({}, -1, 0.0)
         self.longest = max((len(piece) for piece, _, _ in found), default=1)
-        self.lengths = {i: len(piece) for piece, i, _ in found}
         for piece, i, cost in sorted(found, key=lambda x: -len(x[0])):  # a prefix is made before it becomes a piece
             *path, last = piece
             children = self.root[0]
@@ -79,11 +79,13 @@ class Model:
         #: Packed ids of stretches between two boundaries at which the stream had converged, by the character that follows.
         self.young: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}, "": {}}
         self.old: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}, "": {}}
+        self.held = 0  # bytes of the young ones
         self.commits = 0  # boundaries at which the stream converged and that were used
 
     def remember(self, after: str, stretch: str, ids: bytes) -> None:
-        if sum(map(len, self.young.values())) >= REMEMBERED:
-            self.young, self.old = {c: {} for c in self.young}, self.young
+        if self.held >= REMEMBERED:
+            self.young, self.old, self.held = {c: {} for c in self.young}, self.young, 0
+        self.held += getsizeof(stretch) + getsizeof(ids) + 80  # an entry of a dict that has room to grow
         self.young[after][stretch] = ids
 
     def fallback(self, c: str) -> tuple[int, ...]:
@@ -93,8 +95,10 @@ class Model:
 class Stream:
     """Viterbi over characters that arrive in any portions; ``ids`` grows as paths converge.
 
-    ``cost`` and ``back`` stand for the boundaries from ``first`` on at which a live piece may start: the least cost of a path up
-    to each, and its last step (boundary, step before, ids, how often the ids are repeated).
+    ``cost``, ``start`` and ``piece`` stand for the boundaries from ``first`` on: the least cost of a path up to each, and where
+    its last piece starts and which it is. A boundary is settled once all pieces from the ones before it have been followed
+    through the text, so each start walks down the trie once. ``back`` has the last step of each path (boundary, step before, ids,
+    how often the ids are repeated); steps are made when a path has to outlive its window.
     """
 
     def __init__(self, model: Model) -> None:
@@ -105,76 +109,111 @@ class Stream:
         """From a boundary at which nothing is kept from before."""
         self.first = 0
         self.cost: list[float] = [0.0]
-        self.back: list[tuple] = [(0, None, None, 0)]
+        self.start: list[int] = [0]
+        self.piece: list[int | tuple[int, ...] | None] = [None]
+        self.steps: list[tuple] = [(0, None, None, 0)]  # of the earlier boundaries
         self.open: list[tuple[int, tuple]] = []  # (start, node) of pieces that may still grow
         self.full = 2 * self.model.longest  # boundary at which paths are next tried for a common one
 
     def feed(self, text: str) -> None:
-        root = self.model.root
-        cost, back, open_, base = self.cost, self.back, self.open, self.first
-        first = root[0]
-        for c in text:
-            start = base + len(cost) - 1
-            best, from_, ids, grown = math.inf, -1, None, []
-            for s, node in open_:
+        at, n = 0, len(text)
+        while at < n:
+            last = self.first + len(self.cost) - 1
+            if last >= self.full:
+                self._converge()
+            till = at + self.full - last
+            self._search(text if at == 0 and till >= n else text[at:till])
+            at = till
+
+    def _search(self, text: str) -> None:
+        """The boundaries of ``text``; the window holds all of it."""
+        model, cost, from_, ids, base = self.model, self.cost, self.start, self.piece, self.first
+        chars, n = model.root[0], len(text)
+        at = len(cost) - 1  # index of the boundary before the text
+        end = at + n
+        cost += [math.inf] * n
+        from_ += [-1] * n
+        ids += [None] * n
+        grown = []
+        for s, node in self.open:  # of equal costs the longest last piece stays, since earlier starts come first
+            so_far, j = cost[s - base], at
+            for c in text:
                 node = node[0].get(c)
-                if node is not None:
-                    if node[1] >= 0 and cost[s - base] + node[2] < best:  # of equal costs the longest last piece stays
-                        best, from_, ids = cost[s - base] + node[2], s, node[1]
-                    if node[0]:
-                        grown.append((s, node))
-            node = first.get(c)
-            if node is not None and node[1] >= 0:
-                if cost[-1] + node[2] < best:
-                    best, from_, ids = cost[-1] + node[2], start, node[1]
+                if node is None:
+                    break
+                j += 1
+                if node[1] >= 0 and so_far + node[2] < cost[j]:
+                    cost[j], from_[j], ids[j] = so_far + node[2], s, node[1]
+                if not node[0]:
+                    break
+            else:
+                grown.append((s, node))
+        text = " " * at + text  # a character is at the index of the boundary before it
+        for i in range(at, end):
+            so_far, j, c = cost[i], i + 1, text[i]
+            node = chars.get(c)
+            if node is None or node[1] < 0:
+                bytes_ = model.fallback(c)
+                total = so_far + model.byte_cost * len(bytes_)
+                if total < cost[j]:
+                    cost[j], from_[j], ids[j] = total, base + i, bytes_
+                if node is None:
+                    continue
+                children = node[0]
             else:
-                bytes_ = self.model.fallback(c)
-                if cost[-1] + self.model.byte_cost * len(bytes_) < best:
-                    best, from_, ids = cost[-1] + self.model.byte_cost * len(bytes_), start, bytes_
-            if node is not None and node[0]:
-                grown.append((start, node))
-            step = back[from_ - base]
+                children, id_, price = node
+                if so_far + price < cost[j]:
+                    cost[j], from_[j], ids[j] = so_far + price, base + i, id_
+            while children:
+                if j == end:
+                    grown.append((base + i, node))
+                    break
+                node = children.get(text[j])
+                if node is None:
+                    break
+                j += 1
+                children, id_, price = node
+                if id_ >= 0 and so_far + price < cost[j]:
+                    cost[j], from_[j], ids[j] = so_far + price, base + i, id_
+        self.open = grown
+
+    @property
+    def back(self) -> list[tuple]:
+        steps, first = self.steps, self.first
+        for i in range(len(steps), len(self.cost)):
+            step, ids = steps[self.start[i] - first], self.piece[i]
             # a repeated piece is one step: the boundary between is no place to meet, but the chain stays short
-            back.append((start + 1, step[1], ids, step[3] + 1) if step[2] == ids and type(ids) is int else (start + 1, step, ids, 1))
-            cost.append(best)
-            open_ = grown
-            if start >= self.full:
-                self.open = open_
-                self._converge()
-                cost, back, open_, base = self.cost, self.back, self.open, self.first
-        self.open = open_
+            steps.append((first + i, step[1], ids, step[3] + 1) if step[2] == ids and type(ids) is int else (first + i, step, ids, 1))
+        return steps
 
     def met(self, boundary: int) -> bool:
         """Whether all live paths go through ``boundary``, the one before the last character."""
-        return self.first <= boundary and all(s >= boundary for s, _ in self.open) and (len(self.cost) < 2 or self._goes_through(self.back[-1], boundary))
-
-    def _goes_through(self, step: tuple, boundary: int) -> bool:
-        if step[3] > 1:  # the last of a repeated piece may start there
-            return boundary == step[0] - self._length(step[2])
-        return step[1] is not None and step[1][0] == boundary
-
-    def _length(self, ids: int) -> int:
-        return self.model.lengths[ids]
+        return self.first <= boundary and (not self.open or self.open[0][0] >= boundary) and (len(self.cost) < 2 or self.start[-1] == boundary)
 
     def take(self, boundary: int) -> None:
         """Commits up to ``boundary``."""
-        out, step = [], self.back[boundary - self.first]
+        late, out, known, i = [], [], len(self.steps), boundary - self.first
+        while i >= known:
+            late.append(self.piece[i])
+            i = self.start[i] - self.first
+        step = self.steps[i]
         while step[1] is not None:
             out.append(step)
             step = step[1]
         for _, _, ids, n in reversed(out):
+            self.ids += ids if type(ids) is tuple else [ids] * n
+        for ids in reversed(late):
             if type(ids) is tuple:
                 self.ids += ids
-            elif n == 1:
-                self.ids.append(ids)
             else:
-                self.ids += [ids] * n
+                self.ids.append(ids)
 
     def _converge(self) -> None:
         """Commits up to the last step that the paths of all live boundaries share, and forgets boundaries that no live piece starts at."""
         last = self.first + len(self.cost) - 1
         starts = {last, *(s for s, _ in self.open)}
-        live = {id(x): x for x in (self.back[s - self.first] for s in starts)}
+        back = self.back
+        live = {id(x): x for x in (back[s - self.first] for s in starts)}
         while len(live) > 1:
             step = max(live.values(), key=lambda x: x[0])
             del live[id(step)]
@@ -194,7 +233,8 @@ class Stream:
         """Boundaries from ``keep`` on stay; their chains end at ``root``, whose ids are committed."""
         at = keep - self.first
         low = min(self.cost[at:])
-        self.cost, self.back, self.first = [x - low for x in self.cost[at:]], self.back[at:], keep
+        self.cost, self.start, self.piece = [x - low for x in self.cost[at:]], self.start[at:], self.piece[at:]
+        self.steps, self.first = self.steps[at:], keep
         if root is None:
             return
         made: dict[int, tuple] = {id(root): (root[0], None, None, 0)}
@@ -209,7 +249,7 @@ class Stream:
             return made[id(chain[0])] if chain else made[id(step)]
 
         live = {s for s, _ in self.open} | {self.first + len(self.cost) - 1}
-        self.back = [again(x) if self.first + i in live else (self.first + i, None, None, 0) for i, x in enumerate(self.back)]
+        self.steps = [again(x) if self.first + i in live else (self.first + i, None, None, 0) for i, x in enumerate(self.steps)]
 
     def close(self) -> list[int]:
         self.take(self.first + len(self.cost) - 1)
@@ -238,20 +278,21 @@ def _packed(model: Model, text: str) -> bytes:
             out.append(ids)
             i += 1
             continue
-        stream.ids, begin, at = [], i, 0
+        stream.ids, begin, at, fed = [], i, 0, 0
         stream.restart()
         while True:
-            stream.feed(parts[i] if at == 0 else parts[i][1:])
             at += len(parts[i])
             i += 1
             if i == n:
+                stream.feed(parts[-1][fed:])
                 ids = stream.close()
                 break
-            stream.feed(parts[i][0])
+            stream.feed(parts[i - 1][fed:] + parts[i][0])
             if stream.met(at):
                 stream.take(at)
                 ids = stream.ids
                 break
+            fed = 1
         model.commits += 1
         packed = array("I", ids).tobytes()
         out.append(packed)

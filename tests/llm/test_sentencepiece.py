@@ -198,3 +198,39 @@ def test_streams_under_odd_models_in_any_portions(seed):
     best, cost = full_search(model, text[1:])
     found = [whole.close(), parts.close(), np.frombuffer(v._packed(model, text), "<u4").tolist()]
     assert all(cost(ids) == pytest.approx(best) for ids in found)  # paths of equal cost may differ
+
+
+def test_each_start_walks_down_the_trie_once(docs):
+    """Calls of the search for a character: two or three steps down the trie and little else."""
+    import sys
+
+    model, calls = v.load(PATH), 0
+    texts = [" " + r.text for r in docs.limit(20).collect() if r.text]
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "c_call"
+
+    stretches = [x + " " for t in texts for x in v._PART.findall(t) if len(x) < 30]
+    stream = v.Stream(model)
+    sys.setprofile(count)
+    try:
+        for x in stretches:
+            stream.restart()
+            stream.feed(x)
+    finally:
+        sys.setprofile(None)
+    assert calls < 5 * sum(map(len, stretches))
+
+
+def test_a_worker_remembers_as_many_stretches_as_its_bytes_hold(monkeypatch):
+    model = v.Model(PATH)
+    text = " ".join(map(str, range(340_000)))
+    first, learned = v._packed(model, " " + text), model.commits
+    assert v._packed(model, " " + text) == first and model.commits - learned < learned / 100
+    monkeypatch.setattr(v, "REMEMBERED", 100_000)
+    model = v.Model(PATH)
+    for n in (3, 60):  # the longer, the fewer
+        v._packed(model, "".join(f" {i:0{n}}世" for i in range(3000)))
+        kept = [d for side in (model.young, model.old) for d in side.values()]
+        assert 0 < sum(x.__sizeof__() + y.__sizeof__() for d in kept for x, y in d.items()) < 200_000
